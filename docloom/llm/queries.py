@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, licenses, lines, quality, simhash, toxicity
+from . import bpe, decontaminate, html, licenses, lines, quality, repeats, simhash, toxicity
 from .common import table
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.detections(table(spark, sf_dir, "documents"))
 
@@ -54,7 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_licenses, op4_html, op5_simhash, op6_decontaminate, op7_lines, op8_quality, op9_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_licenses, op4_html, op5_simhash, op6_decontaminate, op7_lines, op8_quality, op9_bpe, op10_toxicity)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
