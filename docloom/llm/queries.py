@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, licenses, lines, quality, repeats, simhash, toxicity
+from . import bpe, decontaminate, embeddings, html, licenses, lines, quality, repeats, simhash, toxicity
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.detections(table(spark, sf_dir, "documents"))
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -59,7 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repeats, op2_licenses, op4_html, op5_simhash, op6_decontaminate, op7_lines, op8_quality, op9_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_licenses, op3_embeddings, op4_html, op5_simhash, op6_decontaminate, op7_lines, op8_quality, op9_bpe, op10_toxicity)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
