@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from docloom.plans import text_queries
+
+_ALL = (text_queries,)
+
+QUERIES = {k: f for m in _ALL for k, f in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: s for m in _ALL for k, s in m.ORACLES.items()}
