@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.plans import text_queries
+from docloom.plans import table_queries, text_queries
 
-_ALL = (text_queries,)
+_ALL = (text_queries, table_queries)
 
 QUERIES = {k: f for m in _ALL for k, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: s for m in _ALL for k, s in m.ORACLES.items()}

@@ -156,9 +156,9 @@ def coverage_check(spark, sf_dir):
 
 
 def snippets(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").where(F.instr("text", "http") > 0)
-    at = F.instr(F.col("text"), "http") - 1
-    return d.select("doc_id", at.alias("place"), X.snippet(F.col("text"), at, F.lit(4)).alias("snippet"))
+    d = _t(spark, sf_dir, "documents").where(F.instr("text", "@") > 0)
+    at = F.instr(F.col("text"), "@") - 1
+    return d.select("doc_id", at.alias("place"), X.snippet(F.col("text"), at, F.lit(1)).alias("snippet"))
 
 
 _P = "p AS (SELECT a.doc_id, a.text AS before, b.text AS after FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)"
@@ -197,8 +197,8 @@ ORACLES = {
     "coverage_check": """WITH w AS (SELECT list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') AS w FROM documents),
         i AS (SELECT item_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')[1:5], ' ') AS key FROM benchmark)
         SELECT item_id, key FROM i WHERE NOT EXISTS (SELECT 1 FROM w WHERE len(w) <= 100 AND contains(' ' || array_to_string(w, ' ') || ' ', ' ' || key || ' '))""",
-    "snippets": """WITH d AS (SELECT doc_id, text, CAST(instr(text, 'http') - 1 AS INTEGER) AS place FROM documents WHERE contains(text, 'http'))
-        SELECT doc_id, place, CASE WHEN place > 70 THEN '…' ELSE '' END || substring(text, greatest(place - 70, 0) + 1, least(place + 74, length(text)) - greatest(place - 70, 0)) || CASE WHEN place + 74 < length(text) THEN '…' ELSE '' END AS snippet FROM d""",
+    "snippets": """WITH d AS (SELECT doc_id, text, CAST(instr(text, '@') - 1 AS INTEGER) AS place FROM documents WHERE contains(text, '@'))
+        SELECT doc_id, place, CASE WHEN place > 70 THEN '…' ELSE '' END || substring(text, greatest(place - 70, 0) + 1, least(place + 71, length(text)) - greatest(place - 70, 0)) || CASE WHEN place + 71 < length(text) THEN '…' ELSE '' END AS snippet FROM d""",
 }
 
 QUERIES = {f.__name__: f for f in (lint_counts, lint_findings, lint_verdict, long_sentences, sentence_rate, false_positive_profile, sensitive_scan, line_numbers, paragraph_segments, heading_sections, section_ordinals, normalisers, word_counts, content_tokens, token_recall, lost_figures, condense_acceptance, coverage_check, snippets)}
