@@ -111,7 +111,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
 def main_range(lengths: list[int], surge: int, window: int = WINDOW) -> tuple[int, int]:
     """First line and end of the main text: where window sums first exceed ``surge``, to where the last such window ends.
 
-    Lines at either end of that run that have no characters of their own are not part of it.
+    Lines at either end of that run that a line without characters of its own cuts off are not part of it.
     """
     sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
     high = [i for i, x in enumerate(sums) if x > surge]
@@ -126,11 +126,14 @@ def main_range(lengths: list[int], surge: int, window: int = WINDOW) -> tuple[in
             start = y
     _, first, end = max(runs)
     first = -first
-    while first < end and not lengths[first]:
-        first += 1
-    while end > first and not lengths[end - 1]:
-        end -= 1
-    return first, end
+    # from the lines that make the sums large outwards, as far as every line has characters
+    large = [i for i in range(first, end) if lengths[i] * window > surge]
+    lo, hi = large[0], large[-1] + 1
+    while lo > first and lengths[lo - 1]:
+        lo -= 1
+    while hi < end and lengths[hi]:
+        hi += 1
+    return lo, hi
 
 
 def main_text(page: str) -> str:

@@ -196,12 +196,12 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = own.where(fold(F.col("__id"), 4) != 2)
     rows = inputs.join(known, F.col(id_col) == F.col("__id")).select(F.xxhash64(F.col("__id").cast("string")).alias("h"), "__id", "x", "y")
     rows = rows.orderBy("h", "__id").limit(sample).collect()
-    x = np.array([r["x"] for r in rows], np.float64).reshape(len(rows), -1)
+    x = np.array([r["x"] for r in rows], np.float64).reshape(len(rows), 2 * DIMS + N_SHARES)
     net = spark.sparkContext.broadcast(Network(x, np.array([r["y"] for r in rows], np.float64)))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            x = b.column("x").flatten().to_numpy().reshape(b.num_rows, -1).astype(np.float64)
+            x = b.column("x").flatten().to_numpy().reshape(b.num_rows, 2 * DIMS + N_SHARES).astype(np.float64)
             yield pa.RecordBatch.from_arrays([b.column(id_col), b.column("held_out"), pa.array(net.value(x))], names=[id_col, "held_out", "score"])
 
     source = inputs.select(id_col, F.coalesce(fold(F.col(id_col), 4) == 2, F.lit(False)).alias("held_out"), "x")
