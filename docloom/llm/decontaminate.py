@@ -67,11 +67,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 13, id_col: str = "doc_
     # an entry of no words stands for the document itself, whether anything hits or not
     sets = [F.struct(F.lit(0).alias("k"), F.array(F.lit(0).cast("long")).alias("h")), *(F.struct(F.lit(k).alias("k"), _places(k).alias("h")) for k in sizes)]
     each = source.select("id", "w", F.explode(F.array(*sets)).alias("s")).select("id", "w", "s.k", F.posexplode("s.h").alias("at", "h"))
+    gram = "slice(d.w, d.at + 1, d.k)"
+    if not small:  # a shuffle would copy all of a document's words with each window; it gets the window's own
+        each, gram = each.select("id", "k", "at", "h", F.expr("slice(w, at + 1, k)").alias("g"), F.when(F.col("k") == 0, F.size("w")).alias("n")), "d.g"
+    else:
+        each = each.withColumn("n", F.when(F.col("k") == 0, F.size("w")))
     side = F.broadcast(known) if small else known
     # two inequalities, as an equality of words would be part of the join's key and be made for every window
-    same = "d.h = b.h and d.k = b.k and slice(d.w, d.at + 1, d.k) <= b.gram and slice(d.w, d.at + 1, d.k) >= b.gram"
+    same = f"d.h = b.h and d.k = b.k and {gram} <= b.gram and {gram} >= b.gram"
     met = each.alias("d").join(side.alias("b"), F.expr(same), "left").where("d.k = 0 or b.h is not null")
-    hits = met.select("d.id", F.when(F.col("d.k") == 0, F.size("d.w")).alias("n"), F.when(F.col("d.k") > 0, F.struct("d.at", F.col("d.k").alias("len"))).alias("spot"), "b.items")
+    hits = met.select("d.id", "d.n", F.when(F.col("d.k") > 0, F.struct("d.at", F.col("d.k").alias("len"))).alias("spot"), "b.items")
     return hits.groupBy("id").agg(
         F.max("n").cast("long").alias("n_words"),
         _covered(F.collect_set("spot")).alias("n_hit"),
