@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, stored, text_bytes
+from .common import bounded, text_bytes
 
 BUCKETS, DIMS, SPARSE, REACH = 1 << 13, 32, 4, 2
 #: Labelled rows that the network is fitted on at most: those with the least hashes of their ids.
@@ -117,19 +117,9 @@ def pooled(texts: list[bytes], vectors: np.ndarray, weight: np.ndarray) -> np.nd
     return out
 
 
-def features(docs: DataFrame, vectors: np.ndarray, counts: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, x array of float) of every row."""
-    spark = bounded(docs.sparkSession)
-    model = spark.sparkContext.broadcast((vectors, 1e-3 / (1e-3 + counts / max(counts.sum(), 1))))
-    source = docs.select(F.col(id_col), text_bytes(text_col).alias("data"))
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            x = pooled(b.column("data").to_pylist(), *model.value)
-            cells = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(id_col), cells], names=[id_col, "x"])
-
-    return source.mapInArrow(batches, T.StructType([source.schema[id_col], T.StructField("x", T.ArrayType(T.FloatType()))]))
+def fold(id_col: Column, of: int) -> Column:
+    """crc32 of the id as text, modulo ``of``."""
+    return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(of))
 
 
 class Network:
@@ -177,9 +167,40 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self._logits(self._scaled(x)) / self.temperature, -30, 30)))
 
 
-def fold(id_col: Column, of: int) -> Column:
-    """crc32 of the id as text, modulo ``of``."""
-    return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(of))
+def learned(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> tuple[np.ndarray, np.ndarray, Network]:
+    """Word vectors and weights from all texts, and the network fitted to at most ``sample`` labelled rows."""
+    spark = docs.sparkSession
+    vectors, counts = word_vectors(docs, text_col)
+    model = spark.sparkContext.broadcast((vectors, 1e-3 / (1e-3 + counts / max(counts.sum(), 1))))
+    own = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y")).dropDuplicates(["__id"])
+    picked = own.where(fold(F.col("__id"), 4) != 2).orderBy(F.xxhash64(F.col("__id").cast("string")), "__id").limit(sample)
+    # the sample's size is bounded, so it is broadcast and texts stay where they are
+    rows = docs.select(F.col(id_col), text_bytes(text_col).alias("data")).join(F.broadcast(picked), F.col(id_col) == F.col("__id")).select("__id", "data", "y")
+
+    def inputs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            x = pooled(b.column("data").to_pylist(), *model.value)
+            yield pa.RecordBatch.from_arrays([b.column("__id").cast(pa.string()), pa.array(list(x), pa.list_(pa.float32())), b.column("y")], names=["id", "x", "y"])
+
+    bounded(spark)
+    known = sorted(rows.mapInArrow(inputs, "id string, x array<float>, y int").collect(), key=lambda r: r["id"])
+    x = np.array([r["x"] for r in known], np.float64).reshape(len(known), 2 * DIMS + N_SHARES)
+    return *model.value, Network(x, np.array([r["y"] for r in known], np.float64))
+
+
+def _with_scores(source: DataFrame, model: tuple, data: str) -> DataFrame:
+    """source with column score in place of column ``data``."""
+    shared = source.sparkSession.sparkContext.broadcast(model)
+    keep = [c for c in source.columns if c != data]
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, weight, net = shared.value
+        for b in it:
+            scores = net(pooled(b.column(data).to_pylist(), vectors, weight).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(scores, pa.float64())], names=[*keep, "__score"])
+
+    bounded(source.sparkSession)
+    return source.mapInArrow(batches, T.StructType([*(source.schema[c] for c in keep), T.StructField("__score", T.DoubleType())]))
 
 
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
@@ -189,30 +210,16 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts get a score as any other. Repeated rows give repeated rows; without labels of both kinds every score is the
     smoothed share of label 1; an empty table gives an empty one. At most ``sample`` labelled rows are fitted.
     """
-    spark = docs.sparkSession
-    vectors, counts = word_vectors(docs, text_col)
-    inputs = stored(features(docs, vectors, counts, id_col, text_col), "features")
-    own = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y")).dropDuplicates(["__id"])
-    known = own.where(fold(F.col("__id"), 4) != 2)
-    rows = inputs.join(known, F.col(id_col) == F.col("__id")).select(F.xxhash64(F.col("__id").cast("string")).alias("h"), "__id", "x", "y")
-    rows = rows.orderBy("h", "__id").limit(sample).collect()
-    x = np.array([r["x"] for r in rows], np.float64).reshape(len(rows), 2 * DIMS + N_SHARES)
-    net = spark.sparkContext.broadcast(Network(x, np.array([r["y"] for r in rows], np.float64)))
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            x = b.column("x").flatten().to_numpy().reshape(b.num_rows, 2 * DIMS + N_SHARES).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([b.column(id_col), b.column("held_out"), pa.array(net.value(x))], names=[id_col, "held_out", "score"])
-
-    source = inputs.select(id_col, F.coalesce(fold(F.col(id_col), 4) == 2, F.lit(False)).alias("held_out"), "x")
-    return source.mapInArrow(batches, T.StructType([*source.schema.fields[:2], T.StructField("score", T.DoubleType())]))
+    model = learned(docs, labels, id_col, text_col, label_col, sample)
+    source = docs.select(F.col(id_col), F.coalesce(fold(F.col(id_col), 4) == 2, F.lit(False)).alias("held_out"), text_bytes(text_col).alias("__data"))
+    return _with_scores(source, model, "__data").withColumnRenamed("__score", "score")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose text scores at least ``least``, with all their columns. Rows with a null id are kept.
 
-    Of rows with one id all stay or go, by the best of their scores.
+    Each row is judged by its own text, where it stands; nothing is joined.
     """
-    scores = scored(docs.select(id_col, text_col), labels, id_col, text_col).groupBy(id_col).agg(F.max("score").alias("s"))
-    bad = scores.where((F.col("s") < least) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__bad"))
-    return docs.join(bad, F.col(id_col) == F.col("__bad"), "left_anti")
+    model = learned(docs, labels, id_col, text_col, "quality", SAMPLE)
+    judged = _with_scores(docs.withColumn("__data", text_bytes(text_col)), model, "__data")
+    return judged.where((F.col("__score") >= least) | F.col(id_col).isNull()).select(*docs.columns)
