@@ -23,8 +23,8 @@ def folded_context(spark, sf_dir):
 
 
 def merged_headings(spark, sf_dir):
-    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", F.col("l_partkey").cast("string").alias("text"))
-    return sequences.merged_runs(li, "l_orderkey", ["l_linenumber", "l_partkey"], ["l_returnflag"], "text").select("l_orderkey", F.col("run").cast("long").alias("run"), "l_returnflag", "n", "text")
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", F.col("l_partkey").cast("string").alias("text"))
+    return sequences.merged_runs(li, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], ["l_returnflag"], "text").select("l_orderkey", F.col("run").cast("long").alias("run"), "l_returnflag", "n", "text")
 
 
 def highlight_spans(spark, sf_dir):
@@ -88,9 +88,9 @@ ORACLES = {
     "first_examples": "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 3",
     "folded_context": f"""WITH {_FOLD}, m AS (SELECT *, row_number() OVER w AS n, max(CASE WHEN q > 48 THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY line ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM q WINDOW w AS (PARTITION BY doc ORDER BY line))
         SELECT doc, line, n - coalesce(lag(n) OVER (PARTITION BY doc ORDER BY line), 0) - 1 AS folded FROM m WHERE near = 1""",
-    "merged_headings": """WITH n AS (SELECT *, CASE WHEN lag(l_returnflag) OVER w <> l_returnflag THEN 1 ELSE 0 END AS new FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)),
-        r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS BIGINT) AS run FROM n)
-        SELECT l_orderkey, run, l_returnflag, count(*) AS n, string_agg(CAST(l_partkey AS VARCHAR), ' ' ORDER BY l_linenumber, l_partkey) AS text FROM r GROUP BY l_orderkey, run, l_returnflag""",
+    "merged_headings": """WITH n AS (SELECT *, CASE WHEN lag(l_returnflag) OVER w <> l_returnflag THEN 1 ELSE 0 END AS new FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)),
+        r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS BIGINT) AS run FROM n)
+        SELECT l_orderkey, run, l_returnflag, count(*) AS n, string_agg(CAST(l_partkey AS VARCHAR), ' ' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS text FROM r GROUP BY l_orderkey, run, l_returnflag""",
     "highlight_spans": """WITH RECURSIVE s AS (SELECT l_orderkey, CAST(l_partkey % 50 AS BIGINT) AS b, CAST(l_partkey % 50 AS BIGINT) + CAST(l_quantity AS BIGINT) AS e FROM lineitem),
         o AS (SELECT l_orderkey, b, e, row_number() OVER (PARTITION BY l_orderkey ORDER BY b, e DESC) AS n FROM (SELECT DISTINCT * FROM s)),
         k AS (SELECT l_orderkey, n, b, e, e AS upto, TRUE AS kept FROM o WHERE n = 1
