@@ -235,12 +235,13 @@ def _spans(group: list[tuple], length: int) -> list[tuple]:
     if len(group) < 2:
         return []
     contexts = [(x[5][: x[4]][::-1], x[5][x[4] :]) for x in group]
-    best: dict[int, set[tuple[int, int]]] = {}
+    reach: dict[int, tuple[int, int]] = {}  # all of a context's repeats hold its anchor, so their union is one span
     for left, right, members in maximal_repeats(contexts, length):
         for i in members:
             if not group[i][6]:
-                best.setdefault(i, set()).add((left, right))
-    return [(group[i][1], group[i][2], group[i][3] + group[i][4] - left, group[i][3] + group[i][4] + right) for i, found in best.items() for left, right in found]
+                most = reach.get(i, (0, 0))
+                reach[i] = (max(most[0], left), max(most[1], right))
+    return [(group[i][1], group[i][2], group[i][3] + group[i][4] - left, group[i][3] + group[i][4] + right) for i, (left, right) in reach.items()]
 
 
 def _spans_batch(out: list[tuple]) -> pa.RecordBatch:
