@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,8 @@ from pyspark.sql import types as T
 #: Most rows and bytes that an Arrow batch brings to a Python worker at once.
 BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
-#: Seconds-free identifier of this driver's scratch tables.
-_RUN = uuid.uuid4().hex[:12]
+#: This driver's folder of written tables, and Spark's setting to delete shuffle files when a statement ends.
+_RUN, _CLEAN = uuid.uuid4().hex[:12], "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def bounded(spark: SparkSession) -> SparkSession:
@@ -64,7 +65,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/docloom-{_RUN}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")  # what was shuffled isn't needed once the table stands
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._docloom_path = path
     return out
@@ -78,5 +84,40 @@ def forget(df: DataFrame) -> None:
     where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+#: 64-bit words of a filter of ids: 16 MB at most, however many ids there are.
+FILTER_WORDS = 1 << 21
+
+
+class IdFilter:
+    """Which ids a table may hold: one bit of each id's hash. It never denies an id that is there.
+
+    The bits are merged by Spark and their number is fixed, so the driver and the broadcast hold 16 MB at most; with
+    very many ids it lets more rows through, which costs time only.
+    """
+
+    def __init__(self, ids: DataFrame, col: str):
+        spark = ids.sparkSession
+        h = F.xxhash64(F.col(col).cast("string"))
+        bits = ids.select(F.pmod(h, F.lit(FILTER_WORDS)).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(cast({col} as string)), 58) as int))").alias("b"))
+        found = bits.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+        words = np.zeros(FILTER_WORDS, np.uint64)
+        words[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+        self.words = spark.sparkContext.broadcast(words)
+
+    def split(self, df: DataFrame, col: str, there: bool) -> DataFrame:
+        """The rows of df whose id may be there, or those whose id isn't."""
+        words = self.words
+
+        def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                h = b.column("__h").to_numpy()
+                bit = words.value[h % FILTER_WORDS] >> (h.view(np.uint64) >> np.uint64(58)) & np.uint64(1)
+                yield b.filter(pa.array((bit == 1) == there)).select(names)
+
+        names = df.columns
+        bounded(df.sparkSession)
+        return df.withColumn("__h", F.xxhash64(F.col(col).cast("string"))).mapInArrow(batches, df.schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

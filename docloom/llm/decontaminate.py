@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Benchmark windows up to this many are broadcast (about 100 bytes each); more are joined by shuffle.
 MOST_BROADCAST = 200_000
 
@@ -92,5 +94,6 @@ def contaminated(n_words: Column, n_hit: Column) -> Column:
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns. Rows with a null id are kept."""
     found = scan(docs.where(F.col(id_col).isNotNull()), benchmark, n, id_col, text_col)
-    bad = found.where(contaminated(F.col("n_words"), F.col("n_hit"))).select(F.col(id_col).alias("__bad"))
+    # written first, so that its size is known when the join is planned
+    bad = stored(found.where(contaminated(F.col("n_words"), F.col("n_hit"))).select(F.col(id_col).alias("__bad")), "contaminated")
     return docs.join(bad, F.col(id_col) == F.col("__bad"), "left_anti")
