@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Most rows and bytes that an Arrow batch brings to a Python worker at once.
-BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 250, 4 << 20
 
 #: This driver's folder of written tables, and Spark's setting to delete shuffle files when a statement ends.
 _RUN, _CLEAN = uuid.uuid4().hex[:12], "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

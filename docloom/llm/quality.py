@@ -24,6 +24,8 @@ BUCKETS, DIMS, SPARSE, REACH = 1 << 13, 32, 4, 2
 SAMPLE = 20_000
 HIDDEN, EPOCHS, SEED = 32, 40, 42
 N_SHARES = 9
+#: Bytes of text whose words are worked on at once.
+PIECE = 400_000
 
 _KIND = np.zeros(256, np.uint8)  # 0 space, 1 mark, 2 letter or digit
 _KIND[[*range(9, 14), 32]] = 3
@@ -60,14 +62,15 @@ def _context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """This partition's sums of neighbours' index vectors, a row for each bucket that occurs."""
     sums, counts = np.zeros(BUCKETS * DIMS), np.zeros(BUCKETS, np.int64)
     for b in batches:
-        bucket, doc, _, _ = tokens(b.column("data").to_pylist())
-        counts += np.bincount(bucket, minlength=BUCKETS)
-        for step in range(1, REACH + 1):
-            near = doc[step:] == doc[:-step]
-            left, right = bucket[:-step][near], bucket[step:][near]
-            for own, other in ((left, right), (right, left)):
-                for k in range(SPARSE):
-                    sums += np.bincount(own * DIMS + _AT[other, k], _SIGN[other, k], BUCKETS * DIMS)
+        for texts in _pieces(b.column("data").to_pylist()):
+            bucket, doc, _, _ = tokens(texts)
+            counts += np.bincount(bucket, minlength=BUCKETS)
+            for step in range(1, REACH + 1):
+                near = doc[step:] == doc[:-step]
+                left, right = bucket[:-step][near], bucket[step:][near]
+                for own, other in ((left, right), (right, left)):
+                    for k in range(SPARSE):
+                        sums += np.bincount(own * DIMS + _AT[other, k], _SIGN[other, k], BUCKETS * DIMS)
     seen = np.flatnonzero(counts)
     vectors = sums.reshape(BUCKETS, DIMS)[seen]
     yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen]), *(pa.array(vectors[:, i].copy()) for i in range(DIMS))], names=["bucket", "n", *(f"v{i}" for i in range(DIMS))])
@@ -87,8 +90,26 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, n
     return np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0), counts
 
 
+def _pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in order, in lists of some PIECE bytes: a word takes hundreds of bytes while its vector is at hand."""
+    now, size = [], 0
+    for x in texts:
+        if now and size + len(x) > PIECE:
+            yield now
+            now, size = [], 0
+        now.append(x)
+        size += len(x)
+    if now:
+        yield now
+
+
 def pooled(texts: list[bytes], vectors: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """A row for each text: mean and spread of its words' vectors, and shares. Texts without words give zeros."""
+    rows = [_pooled(x, vectors, weight) for x in _pieces(texts)]
+    return np.concatenate(rows) if rows else np.zeros((0, 2 * DIMS + N_SHARES), np.float32)
+
+
+def _pooled(texts: list[bytes], vectors: np.ndarray, weight: np.ndarray) -> np.ndarray:
     bucket, doc, first, joined = tokens(texts)
     out = np.zeros((len(texts), 2 * DIMS + N_SHARES), np.float32)
     if not len(bucket):
