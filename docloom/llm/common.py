@@ -84,14 +84,14 @@ def forget(df: DataFrame) -> None:
     where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
-#: 64-bit words of a filter of ids: 16 MB at most, however many ids there are.
-FILTER_WORDS = 1 << 21
+#: 64-bit words of a filter of ids: 1 MB, however many ids there are. Each task keeps a copy on its disk for a while.
+FILTER_WORDS = 1 << 17
 
 
 class IdFilter:
     """Which ids a table may hold: one bit of each id's hash. It never denies an id that is there.
 
-    The bits are merged by Spark and their number is fixed, so the driver and the broadcast hold 16 MB at most; with
+    The bits are merged by Spark and their number is fixed, so the driver and the broadcast hold 1 MB; with
     very many ids it lets more rows through, which costs time only.
     """
 
