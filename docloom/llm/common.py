@@ -6,7 +6,6 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,39 +83,28 @@ def forget(df: DataFrame) -> None:
     where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
-#: 64-bit words of a filter of ids: 1 MB, however many ids there are. Each task keeps a copy on its disk for a while.
+#: 64-bit words of a filter of ids, however many ids there are: what is broadcast has as many rows of 16 bytes at most.
 FILTER_WORDS = 1 << 17
 
 
 class IdFilter:
     """Which ids a table may hold: one bit of each id's hash. It never denies an id that is there.
 
-    The bits are merged by Spark and their number is fixed, so the driver and the broadcast hold 1 MB; with
-    very many ids it lets more rows through, which costs time only.
+    The bits are merged by Spark and their number is fixed, so the broadcast is bounded; with very many ids it
+    lets more rows through, which costs time only. Rows are judged by a broadcast join and never leave the JVM.
     """
 
     def __init__(self, ids: DataFrame, col: str):
-        spark = ids.sparkSession
         h = F.xxhash64(F.col(col).cast("string"))
-        bits = ids.select(F.pmod(h, F.lit(FILTER_WORDS)).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(cast({col} as string)), 58) as int))").alias("b"))
-        found = bits.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-        words = np.zeros(FILTER_WORDS, np.uint64)
-        words[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
-        self.words = spark.sparkContext.broadcast(words)
+        bits = ids.select(F.pmod(h, F.lit(FILTER_WORDS)).alias("__w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(cast({col} as string)), 58) as int))").alias("b"))
+        self.words = stored(bits.groupBy("__w").agg(F.bit_or("b").alias("__b")), "filter")
 
     def split(self, df: DataFrame, col: str, there: bool) -> DataFrame:
         """The rows of df whose id may be there, or those whose id isn't."""
-        words = self.words
-
-        def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in it:
-                h = b.column("__h").to_numpy()
-                bit = words.value[h % FILTER_WORDS] >> (h.view(np.uint64) >> np.uint64(58)) & np.uint64(1)
-                yield b.filter(pa.array((bit == 1) == there)).select(names)
-
-        names = df.columns
-        bounded(df.sparkSession)
-        return df.withColumn("__h", F.xxhash64(F.col(col).cast("string"))).mapInArrow(batches, df.schema)
+        hashed = df.withColumn("__h", F.xxhash64(F.col(col).cast("string")))
+        judged = hashed.join(F.broadcast(self.words), F.pmod("__h", F.lit(FILTER_WORDS)) == F.col("__w"), "left")
+        may = F.expr("coalesce(shiftrightunsigned(__b, cast(shiftrightunsigned(__h, 58) as int)) & 1L = 1L, false)")
+        return judged.where(may if there else ~may).select(*df.columns)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
