@@ -153,6 +153,33 @@ def test_lines(spark, monkeypatch, chunk):
     assert lines.deduplicated(docs(spark, [])).collect() == []
 
 
+def changed(rnd, line, share):
+    """A line with so large a share of its characters changed, left out or put in, wherever it falls."""
+    b = bytearray(line)
+    for _ in range(max(1, int(share * len(line)))):
+        p = rnd.randrange(len(b) + 1)
+        b[p : p + rnd.randint(0, 1)] = rnd.choices(b"abcdefghij", k=rnd.randint(0, 1))
+    return bytes(b)
+
+
+def test_lines_meet_all_that_edit_similarity_links(spark):
+    """Against edit similarity alone: all copies with one letter changed, nearly all with a tenth of their characters changed."""
+    rnd = random.Random(21)
+    words = ["".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(2, 9))) for _ in range(500)]
+    rows = []
+    for n in [*range(5, 13), *range(13, 61, 4), 100, 200] * 6:
+        line = " ".join(rnd.choices(words, k=n)).encode()
+        p = rnd.choice([i for i, c in enumerate(line) if c != 32])
+        rows += [(len(rows), line), (len(rows) + 1, line[:p] + b"z" + line[p + 1 :]), (len(rows) + 2, changed(rnd, line, 0.1))]
+    texts = [lines.normal(x) for _, x in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if lines.edit_similar(texts[i], texts[j])]
+    want = roots(range(len(rows)), near)
+    got = {r["doc_id"]: r["__n_removed"] for r in lines.without_repeats(docs(spark, [(i, x.decode()) for i, x in rows])).collect()}
+    assert all(got[i] == int(want[i] != i) for i in want if i % 3 < 2)
+    missed = sum(got[i] != int(want[i] != i) for i in want if i % 3 == 2)
+    assert missed <= 0.03 * len(rows) / 3
+
+
 def plain_repeats(rows, length):
     """Of every document: bytes covered by strings of the length that start twice, and what is left."""
     starts = {}
