@@ -180,6 +180,13 @@ def test_lines_meet_all_that_edit_similarity_links(spark):
     assert missed <= 0.03 * len(rows) / 3
 
 
+def test_short_lines_and_lines_without_spaces(spark):
+    chinese = "这个合同自双方签字之日起生效并且一直有效直到双方另有书面约定"
+    rows = [(1, f"Yes\n{chinese}\n---\n"), (2, f"yes!\n{chinese}\n---\n"), (3, f"read more\n{chinese[:-1]}点"), (4, "Read more\nno"), (5, "ราคานี้รวมภาษีแล้ว\nok"), (6, "ราคานี้รวมภาษีแล้ว\non")]
+    got = {r["doc_id"]: r["__text"] for r in lines.without_repeats(docs(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "---\n", 3: "read more", 4: "no", 5: rows[4][1], 6: "on"}
+
+
 def plain_repeats(rows, length):
     """Of every document: bytes covered by strings of the length that start twice, and what is left."""
     starts = {}
