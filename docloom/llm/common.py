@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,6 +26,18 @@ def bounded(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Larger Arrow batches for what runs inside: rows of a few numbers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def text_bytes(col: str | Column = "text") -> Column:
     """The UTF-8 bytes of a text column; null is the empty text."""
     col = F.col(col) if isinstance(col, str) else col
