@@ -29,8 +29,8 @@ BORDER = re.compile(r"(?<=\S) (?=\S)")
 class Tokenizer:
     """The tokens of a rank file (base64 token and rank in each line), for bytes."""
 
-    #: Parts and pieces up to so many characters are remembered, and so many of each.
-    SHORT, KEPT = 60, 500_000
+    #: Parts and pieces up to so many characters are remembered, so many of each, and so many pairs of tokens: some 10 MB.
+    SHORT, KEPT, PAIRS = 40, 30_000, 50_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.rank, self.split = ranks, regex.compile(pattern).findall
@@ -60,7 +60,7 @@ class Tokenizer:
     def compatible(self, left: int, right: int) -> bool:
         """Whether the merges, applied to the two tokens' bytes, leave just these two."""
         if (known := self.fits.get(key := (left, right))) is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) >= self.PAIRS:
                 self.fits.clear()
             known = self.fits[key] = self._compatible(left, right)
         return known
