@@ -8,23 +8,25 @@ where anchors are equal. A run is a stretch of windows with one anchor, its text
 2. For anchors with different texts, one context of each text is fetched. Sorted by what follows the anchor they are a
    suffix array; a stack scan over neighbours' common prefixes gives the interval tree; within an interval the common
    left extensions are told apart, which gives maximal repeats with all their occurrences.
-3. An anchor with more than MOST texts is not gathered: its windows are counted by their own hashes, as in 1.
+3. The texts of an anchor with more than MOST of them are split: windows that reach far to the left go by what stands
+   there, the others by what stands to the right, and again, halving the range of windows, until a group is small
+   enough for 2 or has one window left, whose bytes are compared in sorted order.
 
 What repeats within a partition is folded before the shuffle, so copies of one text don't meet in one task.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, stored, text_bytes
+from .common import batch_rows, bounded, stored, text_bytes
 
 #: Bytes of an anchor, texts of an anchor that one task gathers, bytes hashed at once, runs remembered for folding.
 ANCHOR, MOST, PIECE, SEEN = 40, 2000, 1 << 20, 1_000_000
@@ -250,50 +252,63 @@ def _spans_batch(out: list[tuple]) -> pa.RecordBatch:
 
 
 def _contexts(length: int):
-    """Of texts with the runs asked for: each run's bytes; for anchors of very many texts its windows instead, folded."""
-
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "u", "k1", "k2", "s", "l", "data", "dup"]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.binary(), pa.bool_())
+        """Of texts with the runs asked for: each run's bytes."""
+        names = ["a", "k1", "k2", "s", "l", "data", "dup"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_())
         for b in it:
             out = []
             for data, k1, k2, asked in zip(*(b.column(c).to_pylist() for c in ("data", "k1", "k2", "asked")), strict=True):
-                for x in asked:
-                    text = data[x["s"] : x["s"] + x["r"] + length - 1]
-                    if not x["hot"]:
-                        out.append((x["a"], x["u"], k1, k2, x["s"], x["l"], text, x["kind"] == 2))
-                        continue
-                    for i in range(x["r"]):
-                        h = xxhash.xxh3_128_intdigest(text[i : i + length])
-                        low, high = h & (1 << 63) - 1, h >> 65
-                        out.append((low, high, k1, k2, x["s"] + i, -1, b"", x["kind"] == 2))
+                out += [(x["a"], k1, k2, x["s"], x["l"], data[x["s"] : x["s"] + x["r"] + length - 1], x["kind"] == 2) for x in asked]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=names)
 
     return batches
 
 
-def _counted(length: int):
-    """Of windows sorted by hash: those that occur twice. One row is kept back, so a group of any size passes."""
+def _same_window(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of contexts sorted by group and their one window: spans of those equal to another. One row is kept back."""
+    last, waiting = None, None
+    for b in it:
+        out = []
+        for g, window, k1, k2, at, dup in zip(*(b.column(c).to_pylist() for c in ("a", "w", "k1", "k2", "at", "dup")), strict=True):
+            if (g, window) != last:
+                last, waiting = (g, window), None
+                if not dup:  # else it is known as a repeat
+                    waiting = (k1, k2, at, at + len(window))
+                continue
+            if waiting:
+                out.append(waiting)
+                waiting = None
+            if not dup:
+                out.append((k1, k2, at, at + len(window)))
+        yield _spans_batch(out)
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, waiting = None, None
-        for b in it:
-            out = []
-            for a, u, k1, k2, s, dup in zip(*(b.column(c).to_pylist() for c in ("a", "u", "k1", "k2", "s", "dup")), strict=True):
-                if (a, u) == last:
-                    if waiting is not None:
-                        out.append(waiting)
-                        waiting = None
-                    out.append((k1, k2, s, s + length))
-                else:
-                    waiting = (k1, k2, s, s + length)
-                    if dup:  # its text occurs elsewhere too
-                        out.append(waiting)
-                        waiting = None
-                last = (a, u)
-            yield _spans_batch(out)
 
-    return batches
+def _split_spans(contexts: DataFrame, length: int) -> DataFrame:
+    """Spans of the contexts' repeats. Columns lo and ro say how much before and from the anchor a group has in common.
+
+    Of the windows left to a group, from ``lo`` to ``length - ro`` bytes before the anchor, those with at least the
+    middle of that before it go by these bytes, the others by those behind: each pair that shares a window meets.
+    """
+    spark, spans = contexts.sparkSession, []
+    now = contexts.withColumns({"lo": F.lit(0), "ro": F.lit(ANCHOR)})
+    while True:
+        sized = now.join(now.groupBy("a").agg(F.count("*").alias("n")), "a")
+        small = sized.where(F.col("n").between(2, MOST)).select("a", "k1", "k2", "s", "l", "data", "dup")
+        last = (F.col("n") > MOST) & (F.col("lo") + F.col("ro") == length)
+        window = F.expr(f"substring(data, l - lo + 1, {length})")
+        alone = sized.where(last).select("a", window.alias("w"), "k1", "k2", (F.col("s") + F.col("l") - F.col("lo")).alias("at"), "dup")
+        with batch_rows(spark, 5000):
+            near = small.repartition("a").sortWithinPartitions("a").mapInArrow(_suffixes(length), "k1 long, k2 long, s int, e int")
+            same = alone.repartition("a", F.xxhash64("w")).sortWithinPartitions("a", "w").mapInArrow(_same_window, "k1 long, k2 long, s int, e int")
+            spans.append(stored(near.unionByName(same), "spans"))
+        many = sized.where((F.col("n") > MOST) & (F.col("lo") + F.col("ro") < length)).drop("n")
+        many = many.withColumn("lm", F.expr(f"lo + ({length} - lo - ro + 1) div 2").cast("int")).withColumn("rm", length + 1 - F.col("lm"))
+        left = many.where("l >= lm").withColumns({"a": F.xxhash64("a", F.lit(0), F.expr("substring(data, l - lm + 1, lm)")), "lo": F.col("lm")})
+        right = many.where("length(data) - l >= rm").withColumns({"a": F.xxhash64("a", F.lit(1), F.expr("substring(data, l + 1, rm)")), "ro": F.col("rm")})
+        now = stored(left.unionByName(right).drop("lm", "rm"), "hot-contexts")
+        if now.isEmpty():
+            return functools.reduce(DataFrame.unionByName, spans)
 
 
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -304,22 +319,20 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     spark = bounded(docs.sparkSession)
     source = docs.select("k1", "k2", "data")
     rows = source.where(F.length("data") >= length).mapInArrow(_run_rows(length), _ROWS)
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    met = stored(rows.repartition("a").sortWithinPartitions("a", "u").mapInArrow(_compared, "kind byte, a long, u long, k1 long, k2 long, s int, l short, r short"), "runs")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    with batch_rows(spark, 20_000):
+        met = stored(rows.repartition("a").sortWithinPartitions("a", "u").mapInArrow(_compared, "kind byte, a long, u long, k1 long, k2 long, s int, l short, r short"), "runs")
     whole = met.where("kind = 0").select("k1", "k2", "s", F.expr(f"s + r + {length - 1}").alias("e"))
-    asked = met.where("kind > 0")
-    many = asked.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > MOST).select("a", F.lit(True).alias("hot"))
-    asked = asked.join(many, "a", "left").groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "u", "s", "l", "r", "kind", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asked"))
+    asked = met.where("kind > 0").groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "s", "l", "r", "kind")).alias("asked"))
     wanted = source.repartition("k1", "k2").join(asked.hint("shuffle_hash"), ["k1", "k2"])
-    contexts = stored(wanted.select("k1", "k2", "data", "asked").mapInArrow(_contexts(length), "a long, u long, k1 long, k2 long, s int, l short, data binary, dup boolean"), "contexts")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
-    near = contexts.where("l >= 0").repartition("a").sortWithinPartitions("a").mapInArrow(_suffixes(length), "k1 long, k2 long, s int, e int")
-    hot = contexts.where("l < 0").drop("data").repartition("a", "u").sortWithinPartitions("a", "u").mapInArrow(_counted(length), "k1 long, k2 long, s int, e int")
-    spans = stored(near.unionByName(hot), "spans")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    return whole.unionByName(spans)
+    contexts = stored(wanted.select("k1", "k2", "data", "asked").mapInArrow(_contexts(length), "a long, k1 long, k2 long, s int, l int, data binary, dup boolean"), "contexts")
+    return whole.unionByName(_split_spans(contexts, length))
+
+
+def _id_key(docs: DataFrame, id_col: str) -> Column:
+    """A whole number for each id: the id itself if it is one, else its text's hash; null ids share one."""
+    own = F.col(id_col)
+    whole = isinstance(docs.schema[id_col].dataType, T.IntegralType)
+    return F.coalesce(own.cast("long") if whole else F.xxhash64(own.cast("string")), F.lit(-(1 << 63)))
 
 
 def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -329,7 +342,7 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     Null and empty texts have no bytes. A repeated row counts as another document, so its text goes; rows with a null
     id and rows that share an id are told apart by their texts. An empty table gives an empty one.
     """
-    source = docs.select(F.col(id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64(text_bytes(text_col)).alias("k2"), text_bytes(text_col).alias("data"))
+    source = docs.select(F.col(id_col), _id_key(docs, id_col).alias("k1"), F.xxhash64(text_bytes(text_col)).alias("k2"), text_bytes(text_col).alias("data"))
     spans = repeated_spans(source, length).groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     joined = source.repartition("k1", "k2").join(spans.hint("shuffle_hash"), ["k1", "k2"], "left").select(id_col, "data", "spans")
     bounded(docs.sparkSession)

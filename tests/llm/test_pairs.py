@@ -244,7 +244,7 @@ def plain_repeats(rows, length):
 
 @pytest.mark.parametrize(("length", "most"), [(200, 2000), (60, 2000), (60, 2), (200, 1)])
 def test_repeats(spark, monkeypatch, length, most):
-    monkeypatch.setattr(repeats, "MOST", most)  # with few texts to an anchor, windows are counted instead
+    monkeypatch.setattr(repeats, "MOST", most)  # anchors with more texts are split
     rnd = random.Random(length + most)
     words = ["".join(rnd.choices("abcdefghé", k=rnd.randint(2, 9))) for _ in range(300)]
     say = lambda n: " ".join(rnd.choices(words, k=n))
@@ -263,6 +263,13 @@ def test_repeats(spark, monkeypatch, length, most):
     assert found == plain_repeats(rows, length)
 
 
+def test_repeats_of_text_ids(spark):
+    say = "".join(random.Random(3).choices("abcdefg ", k=400))
+    rows = [("x1", say), ("x2", "y" + say), (None, None), ("x1", "short")]
+    got = repeats.without_repeats(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"]) for r in got) == [("None", 0, 0), ("x1", 5, 0), ("x1", 400, 400), ("x2", 401, 400)]
+
+
 def test_repeats_of_long_texts(spark):
     rnd = random.Random(11)
     long = "".join(rnd.choices("abcdefghij ", k=2_600_000))
