@@ -193,7 +193,7 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     spark = docs.sparkSession
     vectors, counts = word_vectors(docs, text_col)
     model = spark.sparkContext.broadcast((vectors, 1e-3 / (1e-3 + counts / max(counts.sum(), 1))))
-    own = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y")).dropDuplicates(["__id"])
+    own = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y")).groupBy("__id").agg(F.min("y").alias("y"))
     picked = own.where(fold(F.col("__id"), 4) != 2).orderBy(F.xxhash64(F.col("__id").cast("string")), "__id").limit(sample)
     # the sample's size is bounded, so it is broadcast and texts stay where they are
     rows = docs.select(F.col(id_col), text_bytes(text_col).alias("data")).join(F.broadcast(picked), F.col(id_col) == F.col("__id")).select("__id", "data", "y")
@@ -227,7 +227,7 @@ def _with_scores(source: DataFrame, model: tuple, data: str) -> DataFrame:
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
     """(id, held_out, score) of every row, texts scored whole; learned from labelled rows that aren't held out.
 
-    Held out are rows whose crc32(id as text) mod 4 is 2. Null labels and null ids aren't learned from; null and empty
+    Held out are rows whose crc32(id as text) mod 4 is 2. An id with two labels counts as label 0. Null labels and null ids aren't learned from; null and empty
     texts get a score as any other. Repeated rows give repeated rows; without labels of both kinds every score is the
     smoothed share of label 1; an empty table gives an empty one. At most ``sample`` labelled rows are fitted.
     """

@@ -1,8 +1,8 @@
 """Toxicity by a noisy channel: obfuscated words are decoded by Viterbi under a character model, then scored.
 
-The character model holds trigram counts of the whole corpus's text. A word with look-alike characters, single letters
-set apart, or letters repeated is a lattice of what it may stand for; the likeliest path under model and channel is the
-restored word. A document's score comes from the toxic weight of its restored words and their beginnings (so that
+The character model holds trigram counts of the whole corpus's text. A word with look-alike characters or letters
+repeated, and a run of short pieces set apart by blanks, is a lattice of what it may stand for: a path may keep or drop
+each repeated letter, each mark and each blank. The likeliest path under model and channel is the restored text. A document's score comes from the toxic weight of its restored words and their beginnings (so that
 inflected forms count that were never seen), learned from a bounded sample of labelled rows.
 """
 
@@ -23,12 +23,12 @@ from .quality import fold
 
 #: Labelled rows that weights are learned from at most: those with the least hashes of their ids.
 SAMPLE = 20_000
-#: Weights kept at most, and the least documents that a weight must come from: a number and a share of the toxic ones.
+#: Weights kept at most (those that mark most toxic documents; a bound of the model), and the least documents that a weight must come from: a number and a share of the toxic ones.
 WEIGHTS, LEAST, SHARE = 20_000, 3, 0.004
 #: Lengths of the beginnings of words that have weights of their own.
 BEGINNINGS = (4, 5, 6)
 #: Words that a worker remembers.
-KEPT = 300_000
+KEPT = 200_000
 
 #: What a character may stand for besides itself. Fixed values.
 LOOKS = {
@@ -36,8 +36,10 @@ LOOKS = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c", "<": "c",
     "*": "aeiou", "#": "h", "%": "x", "&": "e",
 }
-#: Log costs in the channel: a look-alike, a repeated letter left out, a mark between letters left out.
-COST_LOOK, COST_REPEAT, COST_MARK = -0.7, -0.4, -1.2
+#: Log costs in the channel: a look-alike, a repeated letter left out, a mark between letters left out, a blank left out.
+COST_LOOK, COST_REPEAT, COST_MARK, COST_BLANK = -0.7, -0.4, -1.2, -0.8
+#: Letters of the pieces that may be one word set apart.
+PIECE = 3
 
 SIZE = 32
 _CLASS = np.zeros(256, np.int64)
@@ -45,7 +47,9 @@ for _i in range(26):
     _CLASS[97 + _i] = _CLASS[65 + _i] = _i + 1
 _CLASS[128:] = 27
 _EDGE = " \t\n\r\v\f.,;:!?\"'()[]{}<>«»“”‘’-–—_*#%&$/\\|=+~^`"
-_SPACED = re.compile(r"(?<!\S)(?:[^\W\d_]|[0-9@$!*])(?: (?:[^\W\d_]|[0-9@$!*])){3,}(?!\S)")
+_SPACED = re.compile(rf"(?<!\S)\S{{1,{PIECE}}}(?:\s+\S{{1,{PIECE}}})+(?!\S)")
+_ALONE = re.compile(r"(?<!\S)\S(?!\S).*(?<!\S)\S(?!\S)", re.S)
+_TWICE = re.compile(r"([^\W\d_])\1")
 _APART = re.compile(r"\w(?:[.\-_*~/]\w){2,}")
 _ODD = re.compile(r"[^\W\d_][0-9@$!|+€£¡(<*#%&]+[^\W\d_]|[0-9@$!|€£¡(<*]+[^\W\d_]|([^\W\d_])\1\1|[^\W\d_][0-9@$€]")
 
@@ -78,10 +82,14 @@ def _letter(c: str) -> int:
 
 
 def decode(word: str, model: np.ndarray) -> str:
-    """The likeliest plain word for an obfuscated one (lower case), by Viterbi over the lattice of its characters."""
-    states = {(0, 0): (0.0, "")}  # the last two letters' classes -> score and word so far
-    before = ""
-    for c in word[:64]:  # no obfuscated word is longer; what follows can't change how the word begins
+    """The likeliest plain text for an obfuscated one (lower case), by Viterbi over the lattice of its characters.
+
+    Blanks are part of the lattice: a path drops one, or keeps it as the end of a word. Wherever a single path is left
+    what it says is final, so time is in proportion to the length.
+    """
+    states = {(0, 0): (0.0, "")}  # the last two letters' classes -> score and text since all paths were one
+    before, done = "", []
+    for c in word:
         after: dict[tuple[int, int], tuple[float, str]] = {}
         options = [(c, 0.0)] if c.isalpha() else []
         options += [(x, COST_LOOK) for x in LOOKS.get(c, "")]
@@ -89,19 +97,32 @@ def decode(word: str, model: np.ndarray) -> str:
             ways = [((b, k), score + cost + model[a, b, k], text + x) for x, cost in options if (k := _letter(x))]
             if c == before:
                 ways.append(((a, b), score + COST_REPEAT, text))
-            if not c.isalnum():
+            if c == " ":
+                ways.append(((a, b), score + COST_BLANK, text))
+                if b:
+                    ways.append(((b, 0), score + model[a, b, 0], text + c))
+            elif not c.isalnum():
                 ways.append(((a, b), score + COST_MARK, text))
             for state, s, t in ways:
                 if state not in after or (s, t) > after[state]:
                     after[state] = (s, t)
         if not after:  # a digit or mark that stands for nothing
             after = states
+        if len(after) == 1:
+            ((state, (score, text)),) = after.items()
+            done.append(text)
+            after = {state: (score, "")}
         states, before = after, c
-    return max((s + model[a, b, 0], t) for (a, b), (s, t) in states.items())[1]
+    return "".join(done) + max((s + model[a, b, 0], t) for (a, b), (s, t) in states.items())[1]
 
 
 def restored(token: str, model: np.ndarray) -> set[str]:
-    """What a token of lower-cased text may be: itself without marks at its ends, and decoded if it looks obfuscated."""
+    """What a token of lower-cased text may be: itself without marks at its ends, and decoded if it looks obfuscated.
+
+    A token that begins with a zero byte is a run of pieces with blanks between them.
+    """
+    if token[:1] == "\0":
+        return {x for x in decode(" ".join(token[1:].split()), model).split() if len(x) > 2}
     plain = token.strip(_EDGE)
     found = {plain}
     if _APART.fullmatch(plain):
@@ -111,14 +132,24 @@ def restored(token: str, model: np.ndarray) -> set[str]:
     for x in {plain, body}:
         if len(x) > 2 and _ODD.search(x) and any(c.isalpha() for c in x):
             found.add(decode(x, model))
+    if _TWICE.search(plain):  # the path without repeated letters, which the corpus may make the less likely one
+        found.add(_TWICE.sub(r"\1", plain))
     return {x for x in found if len(x) > 2}
 
 
 def words_of(data: bytes) -> set[str]:
-    """The distinct tokens of a text, lower-cased, single letters set apart joined."""
+    """The distinct tokens of a text, lower-cased, and the runs of pieces in it that hold single characters, marked by a zero byte.
+
+    Of other runs every two pieces are joined: the path that drops the blank between them and keeps all others.
+    """
     text = data.decode("utf-8", "replace").lower()
     own = set(text.split())
-    own.update("\0" + x.replace(" ", "") for x in _SPACED.findall(text))
+    for run in _SPACED.findall(text):
+        if _ALONE.search(run):
+            own.add("\0" + run)
+        else:
+            pieces = run.split()
+            own.update(map(str.__add__, pieces, pieces[1:]))
     return own
 
 
@@ -135,7 +166,7 @@ def _evidence(model):
             for data, y in zip(b.column("data").to_pylist(), b.column("y").to_pylist(), strict=True):
                 words = words_of(data)
                 key = min((xxhash.xxh3_64_intdigest(x) >> 1 for x in words), default=0)
-                own = {p for t in words for x in restored(t.lstrip("\0"), model.value) for p in _parts(x)}
+                own = {p for t in words for x in restored(t, model.value) for p in _parts(x)}
                 out["feature"] += own
                 out["key"] += [key] * len(own)
                 out["y"] += [y] * len(own)
@@ -151,17 +182,17 @@ class Scorer:
         self.weights, self.model, self.line, self.prior, self.known = weights, model, line, prior, {}
 
     def weight(self, token: str) -> float:
-        found = max((self.weights.get(p, 0.0) for x in restored(token.lstrip("\0"), self.model) for p in _parts(x)), default=0.0)
+        found = max((self.weights.get(p, 0.0) for x in restored(token, self.model) for p in _parts(x)), default=0.0)
         if len(self.known) >= KEPT:
             self.known.clear()
-        if len(token) <= 40:
+        if len(token) <= 48:
             self.known[token] = found
         return found
 
     def inputs(self, data: bytes) -> list[float]:
         words = words_of(data)
         known = self.known.get
-        top = sorted(filter(None, (self.weight(t) if (w := known(t)) is None else w for t in words)), reverse=True)[:20]
+        top = sorted(filter(None, (self.weight(t) if (w := known(t)) is None else w for t in words)), reverse=True)
         return [1.0, *(top + [0.0, 0.0, 0.0])[:3], float(np.log1p(sum(top)))]
 
     def __call__(self, data: bytes) -> float:
@@ -185,7 +216,7 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     spark = docs.sparkSession
     model = character_model(docs, text_col)
     shared = spark.sparkContext.broadcast(model)
-    own = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y")).dropDuplicates(["__id"])
+    own = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y")).groupBy("__id").agg(F.max("y").alias("y"))
     picked = own.where(fold(F.col("__id"), 5) != 0).orderBy(F.xxhash64(F.col("__id").cast("string")), "__id").limit(sample)
     # the sample's size is bounded, so it is broadcast
     rows = docs.select(F.col(id_col), text_bytes(text_col).alias("data")).join(F.broadcast(picked), F.col(id_col) == F.col("__id")).select("__id", "data", "y")
@@ -218,7 +249,7 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> DataFrame:
     """(id, held_out, score) of every row, texts scored whole; learned from labelled rows that aren't held out.
 
-    Held out are rows whose crc32(id as text) mod 5 is 0. Null labels aren't learned from; null and empty texts have
+    Held out are rows whose crc32(id as text) mod 5 is 0. An id with two labels counts as label 1. Null labels aren't learned from; null and empty texts have
     no toxic words; without labels of both kinds every score is the smoothed share of label 1. Repeated rows give
     repeated rows; an empty table gives an empty one; other columns aren't read.
     """

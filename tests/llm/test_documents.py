@@ -160,12 +160,15 @@ def test_toxicity(spark):
                 own.insert(rnd.randrange(len(own)), rnd.choice(bad))
         rows.append((i, " ".join(own)))
         labels.append((i, None if i % 70 == 1 else int(i % 4 == 0)))
-    extra = [(2001, "you st*pid therone 1d10t ingaone"), (2002, "s t u p i d therthe m0r0n"), (2003, "therone ingation"), (2004, None), (2005, "")]
+    extra = [(2001, "you st*pid therone 1d10t ingaone"), (2002, "s t u p i d therthe m0r0n"), (2003, "therone ingation"), (2004, None), (2005, ""), (2006, "therone id iot ingation " * 2), (2007, "therone y o u  i d\ti o t ering"), (2008, "therthe " * 40_000 + "m o r o n idiiot"), (2001, "therone")]
+    every = toxicity.scored(docs(spark, rows + extra), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert sorted(r["score"] >= 0.5 for r in every if r["doc_id"] == 2001) == [False, True]  # repeated ids: each row by its own text
     got = {r["doc_id"]: r for r in toxicity.scored(docs(spark, rows + extra), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
     assert all(r["held_out"] == (_fold(i, 5) == 0) for i, r in got.items())
     held = [i for i, r in got.items() if r["held_out"] and i < 700]
     assert np.mean([(got[i]["score"] >= 0.5) == (i % 4 == 0) for i in held]) > 0.97
-    assert [got[i]["score"] >= 0.5 for i in (2001, 2002, 2003, 2004, 2005)] == [True, True, False, False, False]
+    assert [got[i]["score"] >= 0.5 for i in (2002, 2003, 2004, 2005, 2006, 2007, 2008)] == [True, False, False, False, True, True, True]
+    assert toxicity.scored(docs(spark, []), spark.createDataFrame(labels, "doc_id long, toxic int")).collect() == []
     none = toxicity.scored(docs(spark, rows[:3]), spark.createDataFrame([], "doc_id long, toxic int")).collect()
     assert {r["score"] for r in none} == {0.5}
 
@@ -193,7 +196,7 @@ def brute(text, n=13):
     return len(own), len(hit), sorted(items)
 
 
-@pytest.mark.parametrize("limit", [0, 200_000])
+@pytest.mark.parametrize("limit", [0, 1 << 20])
 def test_decontaminate(spark, monkeypatch, limit):
     monkeypatch.setattr(decontaminate, "MOST_BROADCAST", limit)  # both ways of joining
     long = BENCH[0][1]
@@ -202,6 +205,9 @@ def test_decontaminate(spark, monkeypatch, limit):
     got = {r["doc_id"]: r for r in decontaminate.scan(docs(spark, list(enumerate(texts))), bench).collect()}
     for i, t in enumerate(texts):
         assert (got[i]["n_words"], got[i]["n_hit"], got[i]["items"]) == brute(t)
+    twice = decontaminate.scan(docs(spark, [(None, long), (None, "x"), (1, long), (1, "x y")]), bench).collect()  # a row for each row
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"]) for r in twice) == [("1", 2, 0), ("1", 14, 14), ("None", 1, 0), ("None", 14, 14)]
+    assert decontaminate.scan(docs(spark, []), bench).collect() == []
     none = decontaminate.scan(docs(spark, [(1, "a b")]), spark.createDataFrame([], "item_id long, text string")).collect()
     assert [(r["n_words"], r["n_hit"], r["items"]) for r in none] == [(2, 0, [])]
     kept = decontaminate.clean(docs(spark, [(1, long), (2, "fine"), (None, long), (2, "fine")]), bench)
