@@ -1,9 +1,10 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one for each block element, with menus, notices and the like left out by element and by
-class. Over the lines, text lengths are summed in sliding windows; the main text runs from the window where the sums
-surge to where they dive. An article element, where a page has one, bounds the lines that are looked at, and within it
-any text at all is a surge: the method alone would lose short paragraphs at an article's ends.
+class. Every line has a weight: its characters outside links, more if it stands in an article element, less if the page
+has such elements and it stands outside. Over all lines of a page the weights are summed in sliding windows; the main
+text runs from the window where the sums surge to where they dive for good. So tags only weigh: pages without them, and
+text beside them, are judged by the same sums.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import per_row
 
-#: Lines in a window, and characters that the windows must sum to on a page without an article element.
+#: Lines in a window, and the weight that windows must sum to.
 WINDOW, SURGE = 3, 80
+#: What an article element adds to the weight of each line in it, and the share that is left to lines outside of it.
+INSIDE, OUTSIDE = SURGE + 1, 0.05
 
 #: Elements left out whole; the text of the first ones isn't markup.
 RAW = frozenset("script style noscript template textarea iframe svg math title".split())
@@ -44,6 +47,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     text: list[str] = []
     links = skip = in_link = articles = 0
     stack: list[tuple[str, bool, int]] = []  # open elements: name, whether left out, article number before it
+    opened: dict[str, int] = {}  # how many of each name are open
     now = at = 0
 
     def flush() -> None:
@@ -67,9 +71,10 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         if m[1]:
             if name in BLOCKS and not skip:
                 flush()
-            if any(x[0] == name for x in stack):
+            if opened.get(name):
                 while stack:
                     own, left_out, before = stack.pop()
+                    opened[own] -= 1
                     skip -= left_out
                     in_link -= own == "a"
                     if before != now:
@@ -93,7 +98,9 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         left_out = left_out or name == "article" and bool(re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", marks))
         if name in ("p", "li", "option", "tr", "td", "th", "dd", "dt") and stack and stack[-1][0] == name:
             skip -= stack.pop()[1]  # its end tag may be left out
+            opened[name] -= 1
         stack.append((name, left_out, now))
+        opened[name] = opened.get(name, 0) + 1
         if left_out:
             if not skip:
                 flush()
@@ -108,47 +115,62 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     return lines
 
 
-def main_range(lengths: list[int], surge: int, window: int = WINDOW) -> tuple[int, int]:
+def main_range(weights: list[float], surge: float, window: int = WINDOW) -> tuple[int, int]:
     """First line and end of the main text: where window sums first exceed ``surge``, to where the last such window ends.
 
-    Lines at either end of that run that a line without characters of its own cuts off are not part of it.
+    Dives between two surges are part of it if the lines there have weight of their own (a list of short items, say);
+    lines without any, such as blocks of links, part the text, and of the parts the one with the most weight is it.
+    Lines at either end that a line without weight cuts off, or that no large line is near, are not part of it.
     """
-    sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
-    high = [i for i, x in enumerate(sums) if x > surge]
+    before = [0.0]
+    for x in weights:
+        before.append(before[-1] + x)
+    n = len(weights)
+    high = [i for i in range(n) if before[min(i + window, n)] - before[i] > surge]
     if not high:
         return 0, 0
-    # the run with the most text between a surge and a dive
     runs, start = [], high[0]
     for x, y in zip(high, [*high[1:], None], strict=True):
-        if y is None or y > x + window:
-            end = min(len(lengths), x + window)
-            runs.append((sum(lengths[start:end]), -start, end))
+        end = min(n, x + window)
+        if y is None or y > end and not all(weights[end:y]):
+            runs.append((before[end] - before[start], -start, end))
             start = y
     _, first, end = max(runs)
     first = -first
-    # from the lines that make the sums large outwards, as far as every line has characters
-    large = [i for i in range(first, end) if lengths[i] * window > surge]
-    lo, hi = large[0], large[-1] + 1
-    while lo > first and lengths[lo - 1]:
+    # from the lines that make the sums large outwards, as far as every line has weight
+    large = [i for i in range(first, end) if weights[i] * window > surge]
+    lo, hi = (large[0], large[-1] + 1) if large else (first, end)
+    while lo > first and weights[lo - 1]:
         lo -= 1
-    while hi < end and lengths[hi]:
+    while hi < end and weights[hi]:
         hi += 1
     return lo, hi
 
 
-def main_text(page: str) -> str:
-    """The lines of a page's main text, joined by newlines; empty if it has none."""
-    lines = lines_of(page)
+def weights_of(lines: list[tuple[str, int, int]]) -> list[float]:
+    """The weight of each line: characters outside links, by whether it is in one of the page's article elements.
+
+    Where articles lie side by side, those with less than a tenth of the text of the longest are teasers: outside.
+    """
     sizes: dict[int, int] = {}
     for text, _, article in lines:
         if article:
             sizes[article] = sizes.get(article, 0) + len(text)
-    if sizes:
-        best = max(sizes, key=lambda k: (sizes[k], -k))
-        lines = [(text, len(text), 0) for text, _, article in lines if article == best]
-    first, end = main_range([x[1] for x in lines], 0 if sizes else SURGE)
+    if not sizes:
+        return [own for _, own, _ in lines]
+    most = max(sizes.values())
+    return [len(text) + INSIDE if 10 * sizes.get(article, 0) >= most else OUTSIDE * own for text, own, article in lines]
+
+
+def main_text(page: str) -> str:
+    """The lines of a page's main text, joined by newlines; empty if it has none."""
+    lines = lines_of(page)
+    weights = weights_of(lines)
+    first, end = main_range(weights, SURGE)
     if first == end:  # no surge: a page with so little text is kept as it is
-        first, end = main_range([x[1] for x in lines], 0)
+        first, end = main_range(weights, 0)
+    if any(x[2] for x in lines):  # what doesn't surge between two articles or beside one
+        return "\n".join(x[0] for x, w in zip(lines[first:end], weights[first:end], strict=True) if w > INSIDE or w * WINDOW > SURGE)
     return "\n".join(x[0] for x in lines[first:end])
 
 

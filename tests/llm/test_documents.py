@@ -103,6 +103,40 @@ def test_html(spark):
         assert (got[i]["url"], got[i]["text"], got[i]["n_chars"]) == (f"http://x/{i}", text, len(text))
 
 
+SF = "/root/testdata/sf0.001"
+
+
+def test_html_without_article_elements(spark):
+    """The sums alone: pages whose article and main elements are made plain ones give nearly the same lines."""
+    pages = [r["html"] or "" for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()]
+    right = found = extra = judged = 0
+    for page in pages:
+        bare = re.sub(r"(?i)<(/?)(?:article|main)\b", r"<\1div", re.sub(r"(?i)itemprop\s*=\s*\"articleBody\"|role\s*=\s*\"(?:main|article)\"", "", page))
+        own, other = html.main_text(page).split("\n"), html.main_text(bare).split("\n")
+        right, found, extra = right + len({*own}), found + len({*own} & {*other}), extra + len({*other} - {*own})
+        judged += not any(x[2] for x in html.lines_of(bare))
+    assert judged == len(pages) and found >= 0.95 * right and extra <= 0.02 * right
+
+
+def test_html_lists_and_sections_stay_together():
+    para = lambda c: f"<p>{c * 60} {c * 60}</p>"
+    page = "<div>" + para("a") + para("b") + "<ul>" + "".join(f"<li>item number {i} here</li>" for i in range(10)) + "</ul>" + para("c") + "</div>"
+    assert html.main_text(page).count("\n") == 12
+    links = "".join(f"<div><a href=x>link number {i}</a></div>" for i in range(9))
+    assert html.main_text(links + page + links) == html.main_text(page)
+    two = "<article>" + para("a") + "</article><article>" + para("b") + "</article><div><p>beside</p></div>"
+    assert [x[0] for x in html.main_text(two).split("\n")] == ["a", "b"]
+    assert html.main_text("<div>" * 20_000 + "</b>" * 20_000 + para("a")) != ""
+
+
+def test_html_tables(spark):
+    schema = "page_id long, url string, html string, text string, n_chars int"
+    assert html.extract(spark.createDataFrame([], schema)).collect() == []
+    rows = [(1, None, "<p>" + "long " * 100_000, "t", 0), (1, None, "<p>x", None, None), (1, None, "<p>x", None, None), (None, "u", "<p>y", "", 1)]
+    got = sorted((str(r["page_id"]), r["n_chars"]) for r in html.extract(spark.createDataFrame(rows, schema)).collect())
+    assert got == [("1", 1), ("1", 1), ("1", 499_999), ("None", 1)]
+
+
 def test_html_surge_and_dive():
     assert html.main_range([0, 2, 0, 90, 120, 80, 0, 0, 0, 3], 80) == (3, 6)
     assert html.main_range([1, 1, 1], 80) == (0, 0)
