@@ -29,8 +29,8 @@ BORDER = re.compile(r"(?<=\S) (?=\S)")
 class Tokenizer:
     """The tokens of a rank file (base64 token and rank in each line), for bytes."""
 
-    #: Parts and pieces up to so many characters are remembered, so many of each, and so many pairs of tokens: some 10 MB.
-    SHORT, KEPT, PAIRS = 40, 30_000, 50_000
+    #: Parts and pieces up to so many characters are remembered, so many of each, and so many pairs of tokens: some 100 MB.
+    SHORT, KEPT, PAIRS = 40, 200_000, 200_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.rank, self.split = ranks, regex.compile(pattern).findall
