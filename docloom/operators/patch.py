@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from difflib import SequenceMatcher
+from itertools import pairwise
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,35 +25,91 @@ def loose(text: str) -> str:
     return " ".join(plain.translate(_QUOTES).split()).strip("' .")
 
 
+#: A heading's number or code, and what sets it apart from the title. Fixed values.
+_NUMBER = re.compile(r"((?:[a-z]+-)?\d+(?:\.\d+)*)\s*[.):·–-]*\s*")
+#: Least likeness of a heading to the section asked for, and that of one whose words hold the other's. Fixed values.
+LEAST_LIKE, HOLDS = 0.6, 0.9
+_STOP = re.compile(r"(?<=[.!?])\s+")
+
+
+class Section(NamedTuple):
+    title: str
+    level: int
+    start: int
+    end: int
+
+
+def sections(text: str) -> list[Section]:
+    """Every section of a Markdown text, each up to the next heading of its level or above, in one pass over its lines."""
+    out: list[Section] = []
+    open_: list[int] = []  # places in out of sections that haven't ended, the innermost last
+    at = 0
+    for line in text.split("\n"):
+        marks = len(line) - len(line.lstrip("#"))
+        if marks and line[marks : marks + 1].isspace():
+            while open_ and out[open_[-1]].level >= marks:
+                k = open_.pop()
+                out[k] = out[k]._replace(end=at)
+            open_.append(len(out))
+            out.append(Section(line[marks:].strip(), marks, at, len(text)))
+        at += len(line) + 1
+    return out
+
+
+def likeness(title: str, asked: str) -> float:
+    """How like a heading is to the section asked for: 0 if both have numbers and they differ, 1 if they say the same."""
+    title, asked = loose(title), loose(asked.strip().lstrip("#"))
+    if not asked or title == asked:
+        return float(bool(asked))
+    (number, words), (other, wanted) = _numbered(title), _numbered(asked)
+    if number and other and number != other:
+        return 0.0
+    held = bool(wanted) and (wanted in words or words in wanted)
+    ratios = (SequenceMatcher(None, x, y).ratio() for x, y in ((title, asked), (words, wanted)))
+    return max(HOLDS * held, *ratios)
+
+
+def _numbered(heading: str) -> tuple[str, str]:
+    m = _NUMBER.match(heading)
+    return (m[1], heading[m.end() :]) if m else ("", heading)
+
+
 def section_range(text: str, section: str) -> tuple[int, int] | None:
-    """Where the section with this title or number stands: from its heading to the next one of its level or above."""
-    heads = [(m.start(), len(m[1]), m[2]) for m in re.finditer(r"^(#+)\s+(.*)$", text, re.M)]
-    want, number = loose(section), re.match(r"\d+(?:\.\d+)*", section.strip())
-    for n, (at, level, title) in enumerate(heads):
-        own = re.match(r"\d+(?:\.\d+)*", title)
-        same_number = bool(number and own and own[0] == number[0])
-        if loose(title) == want or loose(re.sub(r"^[\d.\s]+", "", title)) == want and not number or same_number and (number[0] == section.strip(" .") or want in loose(title)):
-            end = next((a for a, lv, _ in heads[n + 1 :] if lv <= level), len(text))
-            return at, end
-    return None
+    """Where the section most like the one asked for stands, the first of equals; None if none is like enough."""
+    like = [(likeness(x.title, section), -x.start, x.end) for x in sections(text)]
+    score, start, end = max(like, default=(0.0, 0, 0))
+    return (-start, end) if score >= LEAST_LIKE else None
+
+
+def _pieces(text: str) -> set[tuple[int, int]]:
+    """Places of all lines and of all sentences within lines, without white space at their ends."""
+    out, at = set(), 0
+    for line in text.split("\n"):
+        cuts = [0, *(m.end() for m in _STOP.finditer(line)), len(line)]
+        for lo, hi in {(0, len(line)), *pairwise(cuts)}:
+            part = line[lo:hi]
+            if part.strip():
+                start = at + lo + len(part) - len(part.lstrip())
+                out.add((start, start + len(part.strip())))
+        at += len(line) + 1
+    return out
 
 
 def locate(text: str, fragment: str) -> tuple[list[tuple[int, int]], bool]:
-    """Where a fragment stands, and whether only approximately: as it is, else with other white space, else loosely equal
-    to a line or sentence."""
-    if not fragment:
+    """Where a fragment stands, and whether only approximately.
+
+    White space may differ, unless it stands somewhere just so. If it stands nowhere: whole lines and sentences that
+    differ from it in case, accents, quotes or dashes alone.
+    """
+    words = fragment.split()
+    if not words:
         return [], False
-    found = [(m.start(), m.end()) for m in re.finditer(re.escape(fragment), text)]
+    found = [m.span() for m in re.finditer(r"\s+".join(map(re.escape, words)), text)]
+    just_so = [(i, j) for i, j in found if text[i:j] == fragment.strip()]
     if found:
-        return found, False
-    flexible = r"\s+".join(map(re.escape, fragment.split()))
-    if flexible and (found := [(m.start(), m.end()) for m in re.finditer(flexible, text)]):
-        return found, True
+        return just_so or found, False
     want = loose(fragment)
-    pieces = [(m.start(), m.end()) for m in re.finditer(r"[^\n]+", text)]
-    for at, end in list(pieces):
-        pieces += [(at + m.start(), at + m.end()) for m in re.finditer(r"\S.*?(?:[.!?](?=\s)|$)", text[at:end])]
-    return sorted({p for p in pieces if loose(text[p[0] : p[1]]) == want}), True
+    return sorted(x for x in _pieces(text) if loose(text[slice(*x)]) == want), True
 
 
 def apply_plan(text: str, changes: list[dict]) -> tuple[str, list[dict]]:

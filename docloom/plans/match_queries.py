@@ -39,7 +39,7 @@ def fuzzy_pairs(spark, sf_dir):
 def patch_apply(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
     first = F.regexp_extract("text", r"^([^.!?\n]+[.!?])", 1)
-    changes = docs.where("doc_id % 2 = 0").select("doc_id", F.lit(1).alias("seq"), F.lit(None).cast("string").alias("section"), first.alias("old"), F.lit("Replaced.").alias("new"), F.lit(None).cast("string").alias("insert_after"))
+    changes = docs.select("doc_id", F.lit(1).alias("seq"), F.lit(None).cast("string").alias("section"), first.alias("old"), F.lit("Replaced.").alias("new"), F.lit(None).cast("string").alias("insert_after"))
     again = changes.withColumn("seq", F.lit(2))
     out = patch.apply_changes(docs, changes.unionByName(again), "doc_id")
     return out.select("doc_id", F.md5("text").alias("digest"), F.array_join(F.transform("results", lambda x: x["state"]), ",").alias("states"))

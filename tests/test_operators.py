@@ -25,7 +25,7 @@ REPORT = "# Report\n\n## 1. Rates\n\nThe rates are old. They were set in 2019.\n
         ({"old": "Nobody signs.", "new": ""}, patch.DELETED, "old. \n"),
         ({"old": 'Area tecnica "principal"', "new": "Area."}, patch.APPROXIMATE, "\nArea.\n"),
         ({"insert_after": "Nobody signs.", "new": " Yet."}, patch.INSERTED, "Nobody signs. Yet."),
-        ({"old": "They were\nset in 2019.", "new": "Set."}, patch.APPROXIMATE, "old. Set."),
+        ({"old": "They were\nset in 2019.", "new": "Set."}, patch.APPLIED, "old. Set."),
     ],
 )
 def test_patch_states(change, state, has):
@@ -154,3 +154,13 @@ def test_merged_turns_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r["speaker"], r["n"]) for r in spark.table("turns").orderBy("first").collect()] == [("A", 2), ("B", 1)]
+
+
+def test_patch_sections_by_likeness():
+    text = "# Report\n## 1. Access control reviews\nOne.\n### Detail\nIn.\n## 2. Access control reviews\nTwo.\n## Overall opinion of the auditors\nEnd.\n"
+    cut = lambda s: text[slice(*patch.section_range(text, s))] if patch.section_range(text, s) else None
+    assert cut("2. Access control reviews").startswith("## 2.") and "Two." in cut("2. Access control reviews")
+    assert cut("### 1) access control review").endswith("In.\n")
+    assert cut("Overall opinion").startswith("## Overall")
+    assert cut("3. Access control reviews") is None and cut("Budget") is None and cut("") is None
+    assert patch.sections("no heading") == [] and patch.section_range("", "x") is None
