@@ -6,10 +6,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docloom.functions import text as X
 from docloom.operators import segment
 
+#: Parts that each fragment's documents are dealt to before the first ones are chosen.
+PARTS = 64
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -96,11 +100,16 @@ def profile(found: DataFrame, id_col: str) -> DataFrame:
 
     examples are the ids of the first three documents; action is what the counts suggest for the rule.
     """
-    key = F.lower("fragment")
-    grouped = found.groupBy(key.alias("fragment")).agg(
-        F.count("*").alias("n"), F.countDistinct(id_col).alias("documents"), F.slice(F.array_sort(F.collect_set(id_col)), 1, 3).alias("examples"), F.max_by("kind", F.struct(id_col, "pos")).alias("kind")
-    )
-    return grouped.withColumn("action", F.when((F.col("documents") > 1) | (F.col("n") >= 3), "review the rule").otherwise("look at the context"))
+    each = found.groupBy(F.lower("fragment").alias("fragment"), id_col).agg(F.count("*").alias("n"), F.max_by("kind", "pos").alias("kind"))
+    grouped = each.groupBy("fragment").agg(F.sum("n").alias("n"), F.count("*").alias("documents"), F.max_by("kind", F.col(id_col)).alias("kind"))
+    # first three of each of PARTS parts, then of all: no fragment's documents are ever gathered
+    part = F.pmod(F.xxhash64(id_col), F.lit(PARTS))
+    some = each.select("fragment", id_col, part.alias("_part"))
+    for by in (["fragment", "_part"], ["fragment"]):
+        some = some.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(id_col))).where("_place <= 3").drop("_place")
+    examples = some.groupBy("fragment").agg(F.array_sort(F.collect_list(id_col)).alias("examples"))
+    out = grouped.join(examples, "fragment").select("fragment", "n", "documents", "examples", "kind")
+    return out.withColumn("action", F.when((F.col("documents") > 1) | (F.col("n") >= 3), "review the rule").otherwise("look at the context"))
 
 
 def missing_fields(records: DataFrame, fields: dict[str, bool], id_col: str) -> DataFrame:

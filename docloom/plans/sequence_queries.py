@@ -41,7 +41,7 @@ def rule_merge(spark, sf_dir):
 
 
 def inbox(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# Inbox\n--- "), F.left("text", F.lit(60))).alias("text"))
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# Inbox\n--- "), "text").alias("text"))
     return d.select("doc_id", F.md5(sequences.after_mark(F.col("text"))).alias("digest"))
 
 
@@ -99,7 +99,7 @@ ORACLES = {
     "rule_merge": """WITH a AS (SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS nth, c_mktsegment AS old FROM customer WHERE c_custkey % 3 <> 0),
         b AS (SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS nth, CASE WHEN c_custkey % 2 = 0 THEN 'NEW' ELSE c_mktsegment END AS new FROM customer WHERE c_custkey % 3 <> 1)
         SELECT c_nationkey, CAST(nth AS INTEGER) AS nth, old, new, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'removed' WHEN old = new THEN 'kept' ELSE 'changed' END AS change FROM a FULL JOIN b USING (c_nationkey, nth)""",
-    "inbox": "SELECT doc_id, md5(trim(left(text, 60))) AS digest FROM documents",
+    "inbox": "SELECT doc_id, md5(trim(text)) AS digest FROM documents",
     "forgotten": "SELECT o_custkey, count(DISTINCT o_orderkey) AS n FROM orders GROUP BY o_custkey HAVING NOT bool_or(o_orderkey % 7 = 0)",
     "set_operations": """WITH o AS (SELECT o_custkey AS k FROM orders), c AS (SELECT c_custkey AS k FROM customer), u AS (
           SELECT 'union all' AS operation, k FROM (SELECT k FROM o UNION ALL SELECT k FROM c) UNION ALL SELECT 'union', k FROM (SELECT k FROM o UNION SELECT k FROM c) UNION ALL SELECT 'intersect', k FROM (SELECT k FROM o INTERSECT SELECT k FROM c)

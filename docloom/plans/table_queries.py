@@ -112,7 +112,7 @@ def latest_different(spark, sf_dir):
 
 
 def snapshot_names(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders").where("o_custkey <= 500")
+    o = _t(spark, sf_dir, "orders")
     named = versions.snapshot_names(o, F.col("o_orderdate").cast("timestamp"), F.col("o_custkey").cast("string"), F.col("o_orderpriority"), ["o_orderkey"])
     return named.select("o_orderkey", "file", F.unix_micros(versions.snapshot_time(F.col("file"))).alias("taken"))
 
@@ -287,7 +287,7 @@ ORACLES = {
     "latest_orders": f"SELECT o_custkey, o_orderkey, o_orderstatus FROM {_LATEST} WHERE rn = 1",
     "latest_different": f"""WITH n AS (SELECT o_custkey, o_orderstatus AS now FROM {_LATEST} WHERE rn = 1)
         SELECT o_custkey, o_orderkey, o_orderstatus FROM orders JOIN n USING (o_custkey) WHERE o_orderstatus <> now QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""",
-    "snapshot_names": """WITH n AS (SELECT o_orderkey, o_orderdate, strftime(o_orderdate, '%Y-%m-%dT%H-%M-%S') || '_' || o_custkey || '_' || trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '-', 'g'), '-') AS f, row_number() OVER (PARTITION BY date_trunc('second', o_orderdate), o_custkey ORDER BY o_orderkey) - 1 AS k FROM orders WHERE o_custkey <= 500)
+    "snapshot_names": """WITH n AS (SELECT o_orderkey, o_orderdate, strftime(o_orderdate, '%Y-%m-%dT%H-%M-%S') || '_' || o_custkey || '_' || trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '-', 'g'), '-') AS f, row_number() OVER (PARTITION BY date_trunc('second', o_orderdate), o_custkey ORDER BY o_orderkey) - 1 AS k FROM orders)
         SELECT o_orderkey, CASE WHEN k = 0 THEN f ELSE f || '.' || k END AS file, epoch_us(date_trunc('second', o_orderdate)) AS taken FROM n""",
     "registry_upsert": "WITH c AS (SELECT c_nationkey AS k, c_custkey % 2 AS side, max(c_custkey) AS v, count(*) AS amount FROM customer GROUP BY 1, 2) SELECT k, arg_max(v, side) AS v, CAST(sum(amount) AS BIGINT) AS amount FROM c GROUP BY k",
     "draft_pairs": "SELECT 'informe ' || CAST(floor(d.doc_id / 3) AS BIGINT) AS key, d.doc_id, max(a.doc_id) AS approved_doc_id FROM documents d JOIN documents a ON d.doc_id % 3 = 0 AND a.doc_id IN (d.doc_id + 1, d.doc_id + 2) GROUP BY d.doc_id",

@@ -101,8 +101,8 @@ def section_ordinals(spark, sf_dir):
 
 
 def normalisers(spark, sf_dir):
-    t = F.left(F.col("text"), F.lit(400))
-    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(X.fold(F.col("text"))).alias("folded"), F.md5(X.fold_label(t)).alias("label"), F.md5(X.ascii_key(t)).alias("ascii_key"), F.md5(X.field_key(t)).alias("field_key"))
+    t = F.col("text")
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(X.fold(t)).alias("folded"), F.md5(X.fold_label(t)).alias("label"), F.md5(X.ascii_key(t)).alias("ascii_key"), F.md5(X.field_key(t)).alias("field_key"))
 
 
 def word_counts(spark, sf_dir):
@@ -144,15 +144,17 @@ def condense_acceptance(spark, sf_dir):
 
 
 def coverage_check(spark, sf_dir):
-    """Benchmark items whose first five words stand in no document of at most 100 words."""
+    """Benchmark items whose first five words stand in no document."""
     words = lambda c: F.concat(F.lit(" "), F.array_join(X.words(F.lower(c)), " "), F.lit(" "))
     key = F.array_join(F.slice(X.words(F.lower("text")), 1, 5), " ")
     items = _t(spark, sf_dir, "benchmark").select("item_id", key.alias("key"))
-    docs = _t(spark, sf_dir, "documents").where(X.n_words(F.col("text")) <= 100).select(words(F.col("text")).alias("t"))
+    docs = _t(spark, sf_dir, "documents").select(words(F.col("text")).alias("t"))
     # five-word windows make the containment an equality, which joins by hash instead of by comparing all with all
     w = F.split(F.trim("t"), " ")
-    windows = docs.where(F.size(w) >= 5).select(F.explode(F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.array_join(F.slice(w, i, 5), " "))).alias("key")).distinct()
-    return items.join(windows, "key", "left_anti").select("item_id", "key")
+    windows = docs.where(F.size(w) >= 5).select(F.explode(F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.array_join(F.slice(w, i, 5), " "))).alias("key"))
+    # the items' few keys meet the windows where these are made; only keys that stand somewhere are shuffled
+    met = windows.join(items.select("key"), "key", "left_semi").distinct()
+    return items.join(met, "key", "left_anti").select("item_id", "key")
 
 
 def snippets(spark, sf_dir):
@@ -185,7 +187,7 @@ ORACLES = {
         SELECT conv_id, section, heading, count(*) AS lines, min(line) AS first_line FROM s GROUP BY conv_id, section, heading""",
     "section_ordinals": f"""WITH {_LINES}, s AS (SELECT *, last_value(CASE WHEN starts_with(text, '## ') THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY line) AS heading FROM l)
         SELECT conv_id, line, heading, ordinal FROM (SELECT *, count(*) FILTER (starts_with(text, '> ')) OVER (PARTITION BY conv_id, heading ORDER BY line) AS ordinal FROM s) WHERE starts_with(text, '> ')""",
-    "normalisers": """WITH d AS (SELECT doc_id, text, left(text, 400) AS t FROM documents)
+    "normalisers": """WITH d AS (SELECT doc_id, text, text AS t FROM documents)
         SELECT doc_id, md5(strip_accents(lower(text))) AS folded, md5(trim(regexp_replace(strip_accents(lower(t)), '\\s+', ' ', 'g'))) AS label,
                md5(trim(regexp_replace(regexp_replace(strip_accents(lower(t)), '[^\\x00-\\x7F]', '', 'g'), '\\s+', ' ', 'g'))) AS ascii_key,
                md5(regexp_replace(trim(strip_accents(lower(t))), '[\\s-]+', '_', 'g')) AS field_key FROM d""",
@@ -196,7 +198,7 @@ ORACLES = {
     "condense_acceptance": f"WITH {_P} SELECT doc_id, CASE WHEN trim(after) = '' THEN 'empty' WHEN {_WORDS.format('after')} >= {_WORDS.format('before')} THEN 'not shorter' WHEN len({_LOST}) > 0 THEN 'lost figures' ELSE 'accepted' END AS reason FROM p",
     "coverage_check": """WITH w AS (SELECT list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') AS w FROM documents),
         i AS (SELECT item_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')[1:5], ' ') AS key FROM benchmark)
-        SELECT item_id, key FROM i WHERE NOT EXISTS (SELECT 1 FROM w WHERE len(w) <= 100 AND contains(' ' || array_to_string(w, ' ') || ' ', ' ' || key || ' '))""",
+        SELECT item_id, key FROM i WHERE NOT EXISTS (SELECT 1 FROM w WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' ' || key || ' '))""",
     "snippets": """WITH d AS (SELECT doc_id, text, CAST(instr(text, '@') - 1 AS INTEGER) AS place FROM documents WHERE contains(text, '@'))
         SELECT doc_id, place, CASE WHEN place > 70 THEN '…' ELSE '' END || substring(text, greatest(place - 70, 0) + 1, least(place + 71, length(text)) - greatest(place - 70, 0)) || CASE WHEN place + 71 < length(text) THEN '…' ELSE '' END AS snippet FROM d""",
 }
