@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import batch_rows, bounded, stored, text_bytes
 
 #: Bytes of an anchor, texts of an anchor that one task gathers, bytes hashed at once, runs remembered for folding.
-ANCHOR, MOST, PIECE, SEEN = 40, 2000, 1 << 20, 1_000_000
+ANCHOR, MOST, PIECE, SEEN = 40, 20_000, 1 << 20, 1_000_000
 
 _MASK = np.uint64((1 << 24) - 1)
 _BYTE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -294,6 +294,8 @@ def _split_spans(contexts: DataFrame, length: int) -> DataFrame:
     now = contexts.withColumns({"lo": F.lit(0), "ro": F.lit(ANCHOR)})
     while True:
         sized = now.join(now.groupBy("a").agg(F.count("*").alias("n")), "a")
+        if spans:  # few contexts are left, and each of the parts below would join them again
+            sized = stored(sized, "hot-sizes")
         small = sized.where(F.col("n").between(2, MOST)).select("a", "k1", "k2", "s", "l", "data", "dup")
         last = (F.col("n") > MOST) & (F.col("lo") + F.col("ro") == length)
         window = F.expr(f"substring(data, l - lo + 1, {length})")
