@@ -1,11 +1,11 @@
 """Embedding near-duplicates by NN-descent.
 
 Equal vectors become one node. A first neighbour graph comes from random hyperplanes: sorted by its signs, each vector
-is compared with some hundred around it, for several sets of planes. The graph is then refined: neighbours of a vector,
+is compared with a few around it, for a few sets of planes. The graph is then refined: neighbours of a vector,
 in either direction, are compared with each other, and whoever is nearer goes into the lists. Lists that are full of
 links grow to twice their length. After each round a fixed sample is compared with every vector; while it shows a
-missing link, or new links are still found, another round follows with new planes. Of the graph the threshold edges
-stay; within each component they join, all pairs are compared in blocks, so every vector's links are counted exactly.
+missing link, or new links are still found, another round follows, with one more set of planes; if that hasn't ended
+after ROUNDS, an error says so. Of the graph the threshold edges stay; within each component they join, all pairs are compared in blocks, so every vector's links are counted exactly.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from .common import bounded, stored
 from .components import components
 
 #: Sets of planes in the first and in later rounds, vectors compared at once, and by how many the next ones overlap.
-SETS, MORE_SETS, NEAR, OVERLAP = 8, 4, 400, 200
+SETS, MORE_SETS, NEAR, OVERLAP = 4, 1, 100, 50
 #: Length of a neighbour list; below this cosine no neighbour can lead to a link; rounds at most; sample for the audit.
-LIST, FLOOR, ROUNDS, AUDIT = 10, 0.9, 6, 256
+LIST, FLOOR, ROUNDS, AUDIT = 10, 0.9, 25, 256
 #: Vectors of a component in one block, and neighbours of one vector in one row.
 BLOCK, FAN = 1000, 256
 
@@ -78,11 +78,14 @@ def _signs(seeds: list[int]):
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            vectors = [np.array(x) for x in b.column("v").to_pylist()]
+            vectors = b.column("v").to_pylist()
+            sizes = np.array([len(x) for x in vectors])
+            of = {n: np.flatnonzero(sizes == n) for n in np.unique(sizes).tolist()}  # those of one length in one product
             for seed in seeds:
-                planes = {n: _planes(n, seed) for n in {len(x) for x in vectors}}
-                codes = [int((x @ planes[len(x)] > 0) @ weights) for x in vectors]
-                yield pa.RecordBatch.from_arrays([b.column("part"), pa.array([seed] * b.num_rows, pa.int32()), pa.array(codes, pa.int64()), b.column("id"), b.column("v")], names=["part", "seed", "code", "id", "v"])
+                codes = np.zeros(len(vectors), np.int64)
+                for n, at in of.items():
+                    codes[at] = (_matrix([vectors[i] for i in at.tolist()]) @ _planes(n, seed) > 0) @ weights
+                yield pa.RecordBatch.from_arrays([b.column("part"), pa.array([seed] * b.num_rows, pa.int32()), pa.array(codes), b.column("id"), b.column("v")], names=["part", "seed", "code", "id", "v"])
 
     return batches
 
@@ -128,7 +131,7 @@ def _first_graph(nodes: DataFrame, seeds: list[int], least: float) -> DataFrame:
     return coded.repartitionByRange(n, "part", "seed", "code", "id").sortWithinPartitions("part", "seed", "code", "id").mapInArrow(_neighbourhoods(least), _EDGE)
 
 
-def _refined(edges: DataFrame, nodes: DataFrame, least: float, length: int) -> DataFrame:
+def _refined(edges: DataFrame, nodes: DataFrame, least: float, length: int, round_: int) -> DataFrame:
     """Edges among the neighbours of each vector, neighbours in either direction."""
     both = edges.select(F.col("a").alias("v"), F.col("b").alias("u"), "sim").unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("u"), "sim"))
     full = both.where(F.col("sim") >= least).groupBy("v").agg(F.count("*").alias("n"))
@@ -136,7 +139,7 @@ def _refined(edges: DataFrame, nodes: DataFrame, least: float, length: int) -> D
     place = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("sim"), "u"))
     lists = both.join(full, "v", "left").withColumn("place", place).where(F.col("place") <= F.when(F.col("n") >= length, 2 * length).otherwise(length)).select("v", "u")
     members = lists.unionByName(lists.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct()
-    spread = members.withColumn("c", F.floor((F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64("u"))) - 1) / FAN))
+    spread = members.withColumn("c", F.floor((F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64("u", F.lit(round_)))) - 1) / FAN))  # other parts in each round
     near = spread.join(nodes.select(F.col("id").alias("u"), F.col("v").alias("x")), "u")
     grouped = near.groupBy("v", "c").agg(F.collect_list(F.struct(F.col("u").alias("id"), F.col("x").alias("v"))).alias("near")).where(F.size("near") > 1)
     return grouped.select("near").mapInArrow(_local_joins(least), _EDGE)
@@ -213,12 +216,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     ).withColumns({"h1": F.when(F.col("sound"), F.xxhash64("label", "v")), "h2": F.when(F.col("sound"), F.xxhash64(F.lit(1), "v", "label"))})
     named = stored(named, "vectors")
     classes = named.where("sound").groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(id_col).alias("id"), F.first("label").alias("label"), F.first("v").alias("v"), F.first("norm").alias("norm"))
-    nodes = stored(classes.select("h1", "h2", "n", "id", F.xxhash64("label", F.size("v")).alias("part"), F.transform("v", lambda x: x / F.col("norm")).alias("v")), "nodes")
-    own = nodes.select("part", "id", "v")
+    # a node is known by its vector's hash; ids may be shared
+    nodes = stored(classes.select(F.col("h1").alias("node"), "h1", "h2", "n", "id", F.xxhash64("label", F.size("v")).alias("part"), F.transform("v", lambda x: x / F.col("norm")).alias("v")), "nodes")
+    own = nodes.select("part", F.col("node").alias("id"), "v")
     edges = stored(_first_graph(own, list(range(SETS)), least).distinct(), "graph")
     length, before = LIST, -1
     for round_ in range(ROUNDS):
-        new = _refined(edges, own, least, length)
+        new = _refined(edges, own, least, length, round_)
         if round_:
             new = new.unionByName(_first_graph(own, list(range(SETS + MORE_SETS * (round_ - 1), SETS + MORE_SETS * round_)), least))
         edges = stored(edges.unionByName(new).groupBy("a", "b").agg(F.max("sim").alias("sim")), "graph")
@@ -228,12 +232,16 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
         if not apart and now == before:
             break
         before, length = now, 2 * length
-    grouped = nodes.join(linked, F.col("id") == F.col("node")).select("id", "n", "v", "component")
+    else:
+        raise RuntimeError(f"links were still found after {ROUNDS} rounds")
+    grouped = nodes.join(linked, "node").select(F.col("node").alias("id"), "n", "v", "component")
     sizes = grouped.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
     cut = grouped.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     pairs = cut.groupBy("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("block", "id", "n", "v")).alias("rows"))
     counts = pairs.select("i", "j", "rows").mapInArrow(_counts(least), "id long, n long").groupBy("id").agg(F.sum("n").alias("others"))
-    of = nodes.select("id", "h1", "h2", "n").join(linked.withColumnRenamed("node", "id"), "id", "left").join(counts, "id", "left")
-    of = of.select("h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "id").alias("component"))
+    firsts = nodes.join(linked, "node").groupBy("component").agg(F.min("id").alias("first"))
+    placed = linked.join(firsts, "component").select("node", "first")
+    of = nodes.select("node", "id", "h1", "h2", "n").join(placed, "node", "left").join(counts.withColumnRenamed("id", "node"), "node", "left")
+    of = of.select("h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("first", "id").alias("component"))
     out = named.join(of, ["h1", "h2"], "left").select(id_col, F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("component"), F.col(id_col)).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

@@ -333,6 +333,34 @@ def test_embeddings(spark, monkeypatch, block):
     assert embeddings.near_duplicates(vectors(spark, [])).collect() == []
 
 
+def test_embeddings_need_the_join_of_neighbours(spark, monkeypatch):
+    """On crowded vectors two small windows alone lose components; neighbours of neighbours find them."""
+    rng = np.random.default_rng(14)
+    centres = rng.normal(size=(1, 24)) + 0.25 * rng.normal(size=(150, 24))
+    x = np.repeat(centres, 4, axis=0) + 0.06 * rng.normal(size=(600, 24))
+    monkeypatch.setattr(embeddings, "SETS", 2)
+    monkeypatch.setattr(embeddings, "NEAR", 12)
+    monkeypatch.setattr(embeddings, "OVERLAP", 6)
+    rows = vectors(spark, [(i, v, 0) for i, v in enumerate(x.tolist())])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    close = x @ x.T >= 0.98
+    np.fill_diagonal(close, False)
+    want = roots(range(600), [(int(a), int(b)) for a, b in zip(*np.nonzero(close), strict=True)])
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(rows).collect()}
+    assert sum((r["n_links"], r["component_id"]) != (int(close[i].sum()), want[i]) for i, r in got.items()) <= 6
+    own = rows.select(embeddings.F.lit(0).cast("long").alias("part"), embeddings.F.col("vec_id").alias("id"), embeddings.F.transform("embedding", lambda v: v.cast("double")).alias("v"))
+    unit = own.withColumn("v", embeddings.F.transform("v", lambda v: v / embeddings.F.sqrt(embeddings.F.aggregate("v", embeddings.F.lit(0.0), lambda a, y: a + y * y))))
+    first = stored(embeddings._first_graph(unit, [0, 1], 0.98).distinct(), "first")
+    found = lambda e: e.where("sim >= 0.98").select("a", "b").distinct().count()
+    assert found(embeddings._refined(first, unit, 0.98, 10, 0).unionByName(first)) > 1.1 * found(first)
+
+
+def test_embeddings_that_share_an_id(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    got = embeddings.near_duplicates(vectors(spark, [(1, a, 0), (1, b, 0), (2, a, 0), (3, b, 0), (4, b, 0)])).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1)]
+
+
 def test_stored_outlives_its_source(spark):
     df = stored(spark.range(5).toDF("a"), "x")
     assert sorted(r["a"] for r in df.collect()) == [0, 1, 2, 3, 4]
