@@ -154,11 +154,15 @@ def test_line_fingerprints():
 
 def test_least_hashes():
     rnd = random.Random(23)
-    for _ in range(200):
-        grams = [rnd.randint(0, rnd.choice([20, 1 << 30])) << 10 for _ in range(rnd.randint(1, 90))]
-        got = lines._least(np.array([g | i for i, g in enumerate(grams)], np.uint64), 1023)
-        want = {g: grams.index(g) if grams.count(g) == 1 else -1 for g in sorted(set(grams))[: lines.KEYS]}
-        assert got == want
+    for _ in range(40):
+        texts = [[rnd.randrange(rnd.choice([20, 1 << 30, 1 << 44])) << 20 for _ in range(rnd.choice([0, 1, 9, 90, 400]))] for _ in range(9)]
+        # some bytes after each line start no n-gram of it
+        after = [0, 0, 0]
+        sizes = np.array([len(x) for x in texts])
+        got = lines._least(np.array([g for x in texts for g in [*x, *after]], np.uint64), np.cumsum(sizes + 3) - sizes - 3, sizes)
+        for i, grams in enumerate(texts):
+            want = {g: grams.index(g) if grams.count(g) == 1 else -1 for g in sorted(set(grams))[: lines.KEYS]}
+            assert {int(h): int(at) for line, h, at in zip(*got, strict=True) if line == i} == want
 
 
 @pytest.mark.parametrize("part", [2, 20_000])
