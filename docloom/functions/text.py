@@ -149,3 +149,69 @@ def clean_whitespace(x: Column) -> Column:
     """Line ends as newlines, no blanks before them, at most one blank line in a row, one newline at the end."""
     plain = F.regexp_replace(F.regexp_replace(x, r"\r\n?", "\n"), r"[ \t]+(?=\n|$)", "")
     return F.concat(strip(F.regexp_replace(plain, r"\n{3,}", "\n\n")), F.lit("\n"))
+
+
+def legible(x: Column, share: float = 0.6, least: int = 20) -> Column:
+    """Lines that read as prose: at least ``share`` letters and blanks, and two words of four letters, five if none is lower-case.
+
+    Empty if fewer than ``least`` characters are left.
+    """
+    own = F.filter(F.transform(F.split(x, r"\r?\n"), strip), lambda l: l != "")
+    letters = lambda l: F.length(F.regexp_replace(l, r"[^\p{L}\p{Z}\s]", ""))
+    words_of = lambda l: F.regexp_count(l, F.lit(r"[A-Za-zÁÉÍÓÚÜÑáéíóúüñ]{4,}"))
+    kept = F.filter(own, lambda l: (letters(l) >= share * F.length(l)) & (words_of(l) >= F.when(l.rlike(r"\p{Ll}"), 2).otherwise(5)))
+    out = F.array_join(kept, "\n")
+    return F.when(F.length(out) >= least, out).otherwise("")
+
+
+def file_name(x: Column, most: int = 60) -> Column:
+    """Letters, digits, points, hyphens and underscores, at most ``most``; blanks inside become underscores."""
+    return F.replace(F.trim(F.left(F.regexp_replace(x, r"[^\p{L}\p{N}_\-. ]", ""), F.lit(most))), F.lit(" "), F.lit("_"))
+
+
+def finding_kind(x: Column) -> Column:
+    """sugerencia for labels that begin with «sug» or «mejora», else recomendacion."""
+    return F.when(fold_label(x).rlike("^(sug|mejora)"), "sugerencia").otherwise("recomendacion")
+
+
+# Reasons of a snapshot and how the change after it is shown.
+ORIGINS = {
+    "cambio": "Chat del asistente",
+    "reunion": "Acta de reunión",
+    "aplicar-cambios": "Buzón de instrucciones",
+    "web": "Edición manual",
+    "corregir": "Corrección de estilo",
+    "condensar": "Condensación",
+    "redactar-contexto": "Redacción de introducción y resumen",
+    "redactar-conclusiones": "Volcado de conclusiones",
+    "antes-de-deshacer": "Deshacer",
+    "revision": "Revisión de vocabulario",
+}
+
+
+def change_origin(reason: Column) -> Column:
+    """How a change is shown by its reason; one that isn't known by its own words, none as «Cambio»."""
+    spaced = F.lower(F.replace(reason, F.lit("-"), F.lit(" ")))
+    own = F.concat(F.upper(F.left(spaced, F.lit(1))), F.substring(spaced, 2, 1 << 30))
+    known = F.create_map(*(F.lit(v) for pair in ORIGINS.items() for v in pair))
+    return F.coalesce(F.try_element_at(known, reason), F.nullif(own, F.lit("")), F.lit("Cambio"))
+
+
+def month_label(x: Column) -> Column:
+    """The month's English name and the year."""
+    return F.date_format(x, "MMMM yyyy")
+
+
+# Spanish prepositions and conjunctions.
+STOP_WORDS = (
+    "a", "ante", "bajo", "cabe", "con", "contra", "de", "desde", "durante", "en", "entre",
+    "excepto", "hacia", "hasta", "mediante", "para", "por", "salvo", "según", "sin", "so",
+    "sobre", "tras", "vía",
+    "aunque", "como", "e", "mas", "ni", "o", "pero", "porque", "pues", "que", "si", "sino", "u", "y",
+)
+
+
+def contentless(x: Column, least: int = 4) -> Column:
+    """Whether a fragment says nothing: fewer than ``least`` letters, digits and underscores, or a stop word."""
+    plain = F.lower(F.regexp_replace(x, r"[^\p{L}\p{N}_]", ""))
+    return (F.length(plain) < least) | plain.isin(*STOP_WORDS)

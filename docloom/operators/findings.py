@@ -51,3 +51,31 @@ def annex(rows: DataFrame, ident: str, text: Column) -> DataFrame:
     parts = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
     each = rows.select(ident, F.posexplode(parts).alias("_k", "part"))
     return each.select(ident, (F.col("_k") + 1).alias("k"), F.concat_ws(".", F.col(ident).cast("string"), (F.col("_k") + 1).cast("string")).alias("number"), F.when(F.col("_k") == 0, F.col(ident).cast("string")).otherwise("").alias("shown"), "part")
+
+
+def applied(plan: DataFrame, key: str, state: str) -> DataFrame:
+    """(key, done, conflicts, total, summary) of the changes of a plan by their states."""
+    n = plan.groupBy(key).agg(F.count_if(F.col(state).rlike("^(aplicado|insertado|eliminado)")).alias("done"), F.count_if(F.col(state).startswith("conflicto")).alias("conflicts"), F.count("*").alias("total"))
+    return n.withColumn("summary", F.format_string("Aplicados %d de %d cambios en el informe", "done", "total"))
+
+
+def by_paragraph(found: DataFrame, keys: list[str], order: str, message: str) -> DataFrame:
+    """(keys, n, messages in order): all findings of a paragraph as one row, for one rewriting of it."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(message).alias("m"))))
+    return found.groupBy(*keys).agg(F.count("*").alias("n"), F.transform(rows, lambda x: x["m"]).alias("messages"))
+
+
+def out_of_range(chosen: DataFrame, totals: DataFrame, key: str, index: str, total: str) -> DataFrame:
+    """Chosen rows whose index, from zero, isn't below the total of their key, or whose key has none."""
+    own = totals.select(F.col(key).alias("_k"), F.col(total).alias("_n"))
+    each = chosen.join(own, F.col(key) == F.col("_k"), "left")
+    return each.where(F.col("_n").isNull() | (F.col(index) < 0) | (F.col(index) >= F.col("_n"))).select(*chosen.columns)
+
+
+def numbered_tests(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, code, title) of lines «2.11. TITLE IN CAPITALS»; a code's first title counts."""
+    line = F.col("_line")
+    pattern = r"^\s*(\d{1,2}\.\d{1,2})\.?\s+([A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑ0-9 ,/()\-–—:]{10,})\s*$"
+    each = docs.select(key, F.posexplode(F.split(text, "\n")).alias("_pos", "_line")).where(line.rlike(pattern))
+    cut = each.select(key, "_pos", F.regexp_extract(line, pattern, 1).alias("code"), F.trim(F.regexp_extract(line, pattern, 2)).alias("title"))
+    return cut.groupBy(key, "code").agg(F.min_by("title", "_pos").alias("title"))

@@ -62,3 +62,27 @@ def outside(lines: DataFrame, tables: DataFrame, page: str) -> DataFrame:
 def alone(lines: DataFrame, page: str, band: str) -> DataFrame:
     """lines with column alone: whether nothing else stands in their band."""
     return lines.withColumn("alone", F.count("*").over(Window.partitionBy(page, band)) == 1)
+
+
+def line_style(spans: DataFrame, keys: list[str], text: str = "text", size: str = "size", bold: str = "bold") -> DataFrame:
+    """(keys, size, bold) of lines: sizes weighed by characters, bold if half of the characters are. Empty spans don't count."""
+    n = F.length(text)
+    total = F.sum(n)
+    out = spans.groupBy(*keys).agg((F.sum(F.col(size) * n) / F.nullif(total, F.lit(0))).alias("_s"), (F.sum(F.when(F.col(bold), n).otherwise(0)) * 2 >= total).alias("_b"), total.alias("_n"))
+    return out.select(*keys, F.coalesce("_s", F.lit(0.0)).alias("size"), ((F.col("_n") > 0) & F.col("_b")).alias("bold"))
+
+
+def real_table(chars: Column, area: Column, least: int = 20, density: float = 0.0003) -> Column:
+    """Whether a detected table holds enough text, in all and for its area."""
+    return (chars >= least) & ((area <= 0) | (chars >= density * area))
+
+
+def real_image(width: Column, height: Column, least: float = 40) -> Column:
+    """Whether an image is more than an icon or a rule."""
+    return (width >= least) & (height >= least)
+
+
+def separator_before(lines: DataFrame, page: str, order: str, text: str = "text") -> DataFrame:
+    """lines with column before: what follows the number of the line before on the page; null if that has no number."""
+    own = F.nullif(F.regexp_extract(F.trim(text), r"^\d+(?:\.\d+)*([.)\-])", 1), F.lit(""))
+    return lines.withColumn("before", F.lag(own).over(Window.partitionBy(page).orderBy(order)))

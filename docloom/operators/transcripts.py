@@ -101,3 +101,20 @@ def isolated_labels(segments: DataFrame, known: DataFrame, part: str, speaker: s
     return segments.join(names, F.col(speaker) == F.col("_name"), "left").withColumn(
         speaker, F.when(F.col("_name").isNull(), F.concat(F.col(speaker), F.lit("·p"), F.col(part).cast("string"))).otherwise(F.col(speaker))
     ).drop("_name")
+
+
+def n_parts(seconds: Column, longest: int = 300, margin: int = 5) -> Column:
+    """Parts that a recording is cut into; a rest shorter than ``margin`` belongs to the part before."""
+    n = F.greatest(F.ceil(F.coalesce(seconds, F.lit(1)) / longest), F.lit(1)).cast("long")
+    return F.when((n > 1) & (seconds - (n - 1) * longest < margin), n - 1).otherwise(n)
+
+
+def renamed(turns: DataFrame, names: DataFrame, speaker: str = "speaker") -> DataFrame:
+    """turns under the speakers' final names (speaker, name); those without one are left out."""
+    own = names.select(F.col(speaker).alias("_s"), "name").where("name is not null")
+    return turns.join(own, F.col(speaker) == F.col("_s")).drop("_s", speaker).withColumnRenamed("name", speaker)
+
+
+def recordings(parts: DataFrame, key: str, seconds: str, failed: str) -> DataFrame:
+    """(key, seconds, failed part numbers in order) of meetings by their parts."""
+    return parts.groupBy(key).agg(F.sum(seconds).alias("seconds"), F.array_sort(F.collect_list(F.when(F.col(failed), F.col("part")))).alias("failed"))

@@ -62,3 +62,21 @@ def pairs(drafts: DataFrame, approved: DataFrame, key: str, order: list[str]) ->
     """Drafts with the approved version of their key; of several the last one."""
     own = latest(approved, [key], order)
     return drafts.join(own.select(key, *(F.col(c).alias("approved_" + c) for c in own.columns if c != key)), key)
+
+
+def restored(versions: DataFrame, key: str, order: str, back: DataFrame) -> DataFrame:
+    """Rows to append that bring a version back: of each key in ``back`` the version named there, or the newest if that is null."""
+    asked = back.select(F.col(key).alias("_k"), F.col(order).alias("_o"))
+    found = versions.join(asked, F.col(key) == F.col("_k")).where(F.col("_o").isNull() | (F.col(order) == F.col("_o")))
+    return latest(found.drop("_k", "_o"), [key], [order])
+
+
+def deleted(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """rows without those whose keys are named by a tombstone."""
+    return rows.join(gone.select(*keys).distinct(), keys, "left_anti")
+
+
+def rewritten(texts: DataFrame, paragraphs: DataFrame, answers: DataFrame, key: str, ident: str) -> DataFrame:
+    """(key, ident, rewritten text) of the answers whose paragraph still stands in the text."""
+    own = paragraphs.select(key, ident, F.col("paragraph"))
+    return answers.join(own, [key, ident]).join(texts, key).where(F.contains("text", "paragraph")).select(key, ident, "answer")
