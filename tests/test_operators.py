@@ -164,3 +164,13 @@ def test_patch_sections_by_likeness():
     assert cut("Overall opinion").startswith("## Overall")
     assert cut("3. Access control reviews") is None and cut("Budget") is None and cut("") is None
     assert patch.sections("no heading") == [] and patch.section_range("", "x") is None
+
+
+def test_text_labels_of_nulls_and_empty_texts(spark):
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, "según"), (4, "antes-de-deshacer"), (5, "sug: a\tb/c"), (6, "#### ||| ==\nuna frase con letras y palabras")], "id int, x string")
+    x = F.col("x")
+    out = {r["id"]: tuple(r)[1:] for r in rows.select("id", X.legible(x), X.file_name(x), X.finding_kind(x), X.change_origin(x), X.contentless(x)).collect()}
+    assert out[1] == ("", None, "recomendacion", "Cambio", None)
+    assert out[2] == ("", "", "recomendacion", "Cambio", True)
+    assert out[3][4] is True and out[4][3] == "Deshacer" and out[5][1:3] == ("sug_abc", "sugerencia")
+    assert out[6][0] == "una frase con letras y palabras"
