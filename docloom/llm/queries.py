@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embeddings, html, licenses, lines, quality, repeats, simhash, toxicity
+from . import bpe, decontaminate, embeddings, html, licenses, lines, packing, quality, repeats, simhash, sortmeans, toxicity, whitening
 from .common import table
 
 
@@ -63,7 +63,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repeats, op2_licenses, op3_embeddings, op4_html, op5_simhash, op6_decontaminate, op7_lines, op8_quality, op9_bpe, op10_toxicity)}
+def op11_sortmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sortmeans.clusters(table(spark, sf_dir, "embeddings"))
+    mark = F.sha2(F.concat_ws(",", F.col("centroid").cast("array<string>")), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", mark.alias("centroid_sha256"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    each = found.select("vec_id", "n", F.col("deviation").try_cast("long").alias("deviation"), "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "c"))
+    return each.select("vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_repeats, op2_licenses, op3_embeddings, op4_html, op5_simhash, op6_decontaminate, op7_lines, op8_quality, op9_bpe, op10_toxicity, op11_sortmeans, op12_packing, op13_whitening)
+}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
