@@ -12,6 +12,7 @@ import functools
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -25,26 +26,79 @@ from .common import bounded, forget, stored
 #: Buckets of hashed tokens, dimensions of the curve, bits of a dimension, and deviations on either side that the cells span.
 BUCKETS, DIMS, BITS, SPAN = 1024, 4, 15, 4.0
 #: Words kept with their ids by a worker, characters of such a word, and tokens in one range of the sort.
-WORDS, WORD_CHARS, RANGE_TOKENS = 1 << 17, 40, 1 << 24
+WORDS, WORD_CHARS, RANGE_TOKENS = 1 << 19, 40, 1 << 24
+#: Characters encoded in one call, and of a word that has calls of its own.
+CALL_CHARS, LONG = 100_000, 10_000
 #: Within words too long to keep, places where no token and no normal form reaches across.
 _SAFE = re.compile(r"(?<=[0-9。、，])(?=[A-Za-zぁ-ゖァ-ヺ一-鿿])")
 
+#: Words that any normal form and lower-casing leave alone; characters outside those of which capitals are the plain ones of a small letter; signs after letters.
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+_SIMPLE = re.compile("[^\x00-\xff\u2013-\u2026\u3001\u3002\u4e00-\u9fff]")
+_SIGNS = re.compile(r"[.,;:!?](?<=[a-zß-öø-ÿ].)[.,;:!?]*(?=[ \n]|$)")
+
 
 class _Words(dict):
-    """Word -> its ids as little-endian unsigned numbers of ``width`` bytes."""
+    """Word -> its ids as little-endian unsigned numbers of ``width`` bytes.
+
+    New words are encoded many in one call: words of small letters of Latin-1, which no normaliser changes and every
+    tokenizer with word ends takes whole, set apart by blanks and told apart by those ends; any others set apart by a special token,
+    which ends a word as the end of a text does.
+    """
 
     def __init__(self, path: str):
         super().__init__()
-        self.model = tokenizers.Tokenizer.from_file(path)
+        self.model, self.bare = tokenizers.Tokenizer.from_file(path), tokenizers.Tokenizer.from_file(path)
+        self.bare.normalizer = None
         self.width = 2 if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-
-    def __missing__(self, word: str) -> bytes:
-        parts = [word] if len(word) < 10_000 else _SAFE.split(word)
-        ids = [i for part in parts for i in self.model.encode(part, add_special_tokens=False).ids]
-        found = np.array(ids, f"<u{self.width}").tobytes()
-        if len(word) <= WORD_CHARS and len(self) < WORDS:
-            self[word] = found
-        return found
+        self.marks = {t.content: i for i, t in self.model.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)}
+        suffix, vocabulary = getattr(self.model.model, "end_of_word_suffix", None), self.model.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+
+    def encoded(self, text: str, model: tokenizers.Tokenizer | None = None) -> np.ndarray:
+        return np.array((model or self.model).encode_batch_fast([text], add_special_tokens=False)[0].ids, f"<u{self.width}")
+
+    def learn(self, words: list[str]) -> None:
+        """Enter the ids of words."""
+        mark, number = next(iter(self.marks.items()), ("", -1))
+        alone = [w for w in words if len(w) >= LONG or not mark or any(m in w for m in self.marks)]
+        for word in alone:
+            parts = [word] if len(word) < LONG else _SAFE.split(word)
+            self[word] = b"".join(self.encoded(part).tobytes() for part in parts)
+        rest = sorted(set(words).difference(alone))
+        plain = list(filter(_LETTERS.fullmatch, rest)) if self.last.any() else []
+        left = []
+        for group in _groups(plain):
+            ids = self.encoded(" ".join(group), self.bare)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(group):
+                self._enter(group, ids, [0, *ends.tolist()], ends.tolist())
+            else:
+                left += group
+        for group in _groups(sorted(set(rest).difference(plain).union(left))):
+            ids = self.encoded(mark.join(group))
+            at = np.flatnonzero(ids == number).tolist()
+            self._enter(group, ids, [0, *(i + 1 for i in at)], [*at, len(ids)])
+
+    def _enter(self, group: list[str], ids: np.ndarray, starts: list[int], ends: list[int]) -> None:
+        raw, width = ids.tobytes(), self.width
+        for word, start, end in zip(group, starts, ends, strict=False):
+            self[word] = raw[start * width : end * width]
+
+
+def _groups(words: list[str]) -> Iterator[list[str]]:
+    """Words in lists of about CALL_CHARS characters."""
+    group, chars = [], 0
+    for word in words:
+        group.append(word)
+        chars += len(word)
+        if chars > CALL_CHARS:
+            yield group
+            group, chars = [], 0
+    if group:
+        yield group
 
 
 @functools.lru_cache(1)
@@ -52,9 +106,25 @@ def _words(path: str) -> _Words:
     return _Words(path)
 
 
-def token_ids(text: str, words: _Words) -> bytes:
-    """The ids of a text. Blanks end words for the tokenizer too, so the words between them can be encoded one by one."""
-    return b"".join(map(words.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+def _split(text: str) -> list[str]:
+    """Words of a text. Blanks end words for the tokenizer too, and so does a change from letters to signs; it reads capitals of the letters that _SIMPLE leaves as small ones."""
+    if not _SIMPLE.search(text) and "<|" not in text:
+        text = _SIGNS.sub(r" \g<0>", text.lower())
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+
+def token_ids(texts: list[str], words: _Words) -> list[bytes]:
+    """The ids of texts, each word encoded once."""
+    split = [_split(text) for text in texts]
+    new = set(filterfalse(words.__contains__, chain.from_iterable(split)))
+    room = WORDS - len(words)
+    words.learn(list(new))
+    out = [b"".join(map(words.__getitem__, own)) for own in split]
+    for word in new:  # what isn't kept goes when the batch is done
+        room -= len(word) <= WORD_CHARS
+        if room < 0 or len(word) > WORD_CHARS:
+            del words[word]
+    return out
 
 
 @functools.lru_cache(1)
@@ -62,14 +132,21 @@ def _projection(seed: int = 12) -> np.ndarray:
     return np.random.default_rng(seed).normal(size=(BUCKETS, DIMS))
 
 
+@functools.lru_cache(1)
+def _buckets() -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and sign of every token id, by its last 16 bits."""
+    mixed = np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(40)).astype(np.int64) % BUCKETS, np.where(mixed >> np.uint64(20) & np.uint64(1), 1.0, -1.0)
+
+
 def cells_of(token_lists: list[np.ndarray]) -> np.ndarray:
-    """Cells of documents: token counts hashed to BUCKETS with signs, their logarithms normalised and projected to DIMS dimensions."""
+    """Cells of documents: token counts hashed to BUCKETS with signs, damped by logarithms, normalised and projected to DIMS dimensions."""
+    bucket, sign = _buckets()
     vectors = np.zeros((len(token_lists), BUCKETS))
     for v, ids in zip(vectors, token_lists, strict=True):
-        kinds, counts = np.unique(ids, return_counts=True)
-        mixed = kinds.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        signs = np.where(mixed >> np.uint64(20) & np.uint64(1), 1.0, -1.0)
-        v += np.bincount((mixed >> np.uint64(40)).astype(np.int64) % BUCKETS, weights=signs * np.log1p(counts), minlength=BUCKETS)
+        own = ids & 0xFFFF
+        v += np.bincount(bucket[own], weights=sign[own], minlength=BUCKETS)
+    vectors = np.sign(vectors) * np.log1p(np.abs(vectors))
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     at = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0) @ _projection()
     return np.clip((at + SPAN) * (1 << BITS) / (2 * SPAN), 0, (1 << BITS) - 1).astype(np.int64)
@@ -144,7 +221,7 @@ def packed(docs: DataFrame, path: str, size: int = 4096, end: int = 2, id_col: s
         words = _words(path)
         kept, last = f"<u{words.width}", np.array([end], f"<u{words.width}").tobytes()
         for b in it:
-            ids = [token_ids(t, words) + last for t in b.column("text").to_pylist()]
+            ids = [i + last for i in token_ids(b.column("text").to_pylist(), words)]
             key = hilbert(cells_of([np.frombuffer(i, kept)[:-1] for i in ids]), BITS)
             n = np.array([len(i) // words.width for i in ids], np.int64)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(key), pa.array(n), pa.array(ids, pa.binary())], names=["id", "key", "n", "ids"])
