@@ -8,11 +8,11 @@ at every ``size`` tokens give the sequences. What is left at the end is cut at i
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +26,9 @@ from .common import bounded, forget, stored
 #: Buckets of hashed tokens, dimensions of the curve, bits of a dimension, and deviations on either side that the cells span.
 BUCKETS, DIMS, BITS, SPAN = 1024, 4, 15, 4.0
 #: Words kept with their ids by a worker, characters of such a word, and tokens in one range of the sort.
-WORDS, WORD_CHARS, RANGE_TOKENS = 1 << 19, 40, 1 << 24
-#: Characters encoded in one call, and of a word that has calls of its own.
-CALL_CHARS, LONG = 100_000, 10_000
+WORDS, WORD_CHARS, RANGE_TOKENS = 300_000, 40, 1 << 24
+#: Characters encoded in one call, of a word that has calls of its own, and of the texts worked on at once.
+CALL_CHARS, LONG, SLICE = 100_000, 10_000, 1 << 19
 #: Within words too long to keep, places where no token and no normal form reaches across.
 _SAFE = re.compile(r"(?<=[0-9。、，])(?=[A-Za-zぁ-ゖァ-ヺ一-鿿])")
 
@@ -116,15 +116,27 @@ def _split(text: str) -> list[str]:
 def token_ids(texts: list[str], words: _Words) -> list[bytes]:
     """The ids of texts, each word encoded once."""
     split = [_split(text) for text in texts]
-    new = set(filterfalse(words.__contains__, chain.from_iterable(split)))
+    found = [list(map(words.get, own)) for own in split]
+    gaps = [list(_nones(row)) for row in found]
+    new = {own[i] for own, at in zip(split, gaps, strict=True) for i in at}
     room = WORDS - len(words)
     words.learn(list(new))
-    out = [b"".join(map(words.__getitem__, own)) for own in split]
+    for own, row, at in zip(split, found, gaps, strict=True):
+        for i in at:
+            row[i] = words[own[i]]
     for word in new:  # what isn't kept goes when the batch is done
         room -= len(word) <= WORD_CHARS
         if room < 0 or len(word) > WORD_CHARS:
             del words[word]
-    return out
+    return [b"".join(row) for row in found]
+
+
+def _nones(row: list) -> Iterator[int]:
+    at = -1
+    with contextlib.suppress(ValueError):
+        while True:
+            at = row.index(None, at + 1)
+            yield at
 
 
 @functools.lru_cache(1)
@@ -133,19 +145,18 @@ def _projection(seed: int = 12) -> np.ndarray:
 
 
 @functools.lru_cache(1)
-def _buckets() -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and sign of every token id, by its last 16 bits."""
+def _buckets() -> np.ndarray:
+    """Bucket of every token id, by its last 16 bits; BUCKETS more for those that count as negative."""
     mixed = np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(40)).astype(np.int64) % BUCKETS, np.where(mixed >> np.uint64(20) & np.uint64(1), 1.0, -1.0)
+    return (mixed >> np.uint64(40)).astype(np.int64) % BUCKETS + np.where(mixed >> np.uint64(20) & np.uint64(1), 0, BUCKETS)
 
 
 def cells_of(token_lists: list[np.ndarray]) -> np.ndarray:
     """Cells of documents: token counts hashed to BUCKETS with signs, damped by logarithms, normalised and projected to DIMS dimensions."""
-    bucket, sign = _buckets()
-    vectors = np.zeros((len(token_lists), BUCKETS))
-    for v, ids in zip(vectors, token_lists, strict=True):
-        own = ids & 0xFFFF
-        v += np.bincount(bucket[own], weights=sign[own], minlength=BUCKETS)
+    counts = np.zeros((len(token_lists), 2, BUCKETS))
+    for c, ids in zip(counts, token_lists, strict=True):
+        c[:] = np.bincount(_buckets().take(ids if ids.itemsize == 2 else ids & 0xFFFF), minlength=2 * BUCKETS).reshape(2, BUCKETS)
+    vectors = counts[:, 0] - counts[:, 1]
     vectors = np.sign(vectors) * np.log1p(np.abs(vectors))
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     at = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0) @ _projection()
@@ -204,6 +215,15 @@ def pieces_of(first: int, n: int, total: int, size: int) -> list[tuple[int, int,
     return out
 
 
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of some SLICE bytes of text: what is held of a part's words is many times its text."""
+    start, ends = 0, np.cumsum([len(t) for t in b.column("text").to_pylist()])
+    while start < b.num_rows:
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE)))
+        yield b.slice(start, end - start)
+        start = end
+
+
 def packed(docs: DataFrame, path: str, size: int = 4096, end: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, length, ids, doc_tokens, sequence_id, offset) of every piece; ids are little-endian unsigned 32-bit numbers.
 
@@ -220,7 +240,7 @@ def packed(docs: DataFrame, path: str, size: int = 4096, end: int = 2, id_col: s
     def encoded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(path)
         kept, last = f"<u{words.width}", np.array([end], f"<u{words.width}").tobytes()
-        for b in it:
+        for b in (part for whole in it for part in _slices(whole)):
             ids = [i + last for i in token_ids(b.column("text").to_pylist(), words)]
             key = hilbert(cells_of([np.frombuffer(i, kept)[:-1] for i in ids]), BITS)
             n = np.array([len(i) // words.width for i in ids], np.int64)
