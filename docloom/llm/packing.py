@@ -26,7 +26,7 @@ from .common import bounded, forget, stored
 #: Buckets of hashed tokens, dimensions of the curve, bits of a dimension, and deviations on either side that the cells span.
 BUCKETS, DIMS, BITS, SPAN = 1024, 4, 15, 4.0
 #: Words kept with their ids by a worker, characters of such a word, and tokens in one range of the sort.
-WORDS, WORD_CHARS, RANGE_TOKENS = 300_000, 40, 1 << 24
+WORDS, WORD_CHARS, RANGE_TOKENS = 600_000, 40, 1 << 24
 #: Characters encoded in one call, of a word that has calls of its own, and of the texts worked on at once.
 CALL_CHARS, LONG, SLICE = 100_000, 10_000, 1 << 19
 #: Within words too long to keep, places where no token and no normal form reaches across.
@@ -63,12 +63,12 @@ class _Words(dict):
     def learn(self, words: list[str]) -> None:
         """Enter the ids of words."""
         mark, number = next(iter(self.marks.items()), ("", -1))
-        alone = [w for w in words if len(w) >= LONG or not mark or any(m in w for m in self.marks)]
+        plain = [w for w in words if _LETTERS.fullmatch(w) and len(w) < LONG] if self.last.any() else []
+        rest = set(words).difference(plain)
+        alone = [w for w in rest if len(w) >= LONG or not mark or any(m in w for m in self.marks)]
         for word in alone:
             parts = [word] if len(word) < LONG else _SAFE.split(word)
             self[word] = b"".join(self.encoded(part).tobytes() for part in parts)
-        rest = sorted(set(words).difference(alone))
-        plain = list(filter(_LETTERS.fullmatch, rest)) if self.last.any() else []
         left = []
         for group in _groups(plain):
             ids = self.encoded(" ".join(group), self.bare)
@@ -77,7 +77,7 @@ class _Words(dict):
                 self._enter(group, ids, [0, *ends.tolist()], ends.tolist())
             else:
                 left += group
-        for group in _groups(sorted(set(rest).difference(plain).union(left))):
+        for group in _groups(list(rest.difference(alone)) + left):
             ids = self.encoded(mark.join(group))
             at = np.flatnonzero(ids == number).tolist()
             self._enter(group, ids, [0, *(i + 1 for i in at)], [*at, len(ids)])
