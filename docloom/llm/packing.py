@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from .common import bounded, forget, stored
 
 #: Buckets of hashed tokens, dimensions of the curve, bits of a dimension, and deviations on either side that the cells span.
-BUCKETS, DIMS, BITS, SPAN = 1024, 4, 15, 4.0
+BUCKETS, DIMS, BITS, SPAN = 256, 4, 15, 4.0
 #: Words kept with their ids by a worker, characters of such a word, and tokens in one range of the sort.
-WORDS, WORD_CHARS, RANGE_TOKENS = 600_000, 40, 1 << 24
+WORDS, WORD_CHARS, RANGE_TOKENS = 400_000, 40, 1 << 24
 #: Characters encoded in one call, of a word that has calls of its own, and of the texts worked on at once.
 CALL_CHARS, LONG, SLICE = 100_000, 10_000, 1 << 19
 #: Within words too long to keep, places where no token and no normal form reaches across.
