@@ -1,5 +1,8 @@
 """Operators that SQL can't express, on small cases."""
 
+import itertools
+import random
+import re
 import zipfile
 
 import pandas as pd
@@ -8,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import external
 from docloom.functions import text as X
-from docloom.operators import budget, diff, lint, markdown, patch
+from docloom.operators import budget, diff, edits, lint, markdown, patch, reports
 from docloom.sources import readers
 from docloom.streaming import incremental
 
@@ -57,6 +60,160 @@ def test_line_diff_marks_tokens():
     assert rows[1]["parts"] == [{"text": "one ", "changed": False}, {"text": "2", "changed": True}]
 
 
+def test_sections_that_move(spark):
+    """Order decides: a moved section is deleted and new, repeated titles match by their turn, and marks of rewritten lines go."""
+    cols = "doc int, kind string, title string, ord int, text string"
+    row = lambda titles: [(1, "f", t, i, f"words of {t}") for i, t in enumerate(titles)]
+    old, new = spark.createDataFrame(row("ABCDEAF"), cols), spark.createDataFrame(row("BCADEAF"), cols)
+    got = sorted((r["a_ord"], r["b_ord"], r["state"]) for r in diff.compare_sections(old, new, "doc").select(F.coalesce("a_ord", F.lit(-1)).alias("a_ord"), F.coalesce("b_ord", F.lit(-1)).alias("b_ord"), "state").collect())
+    assert got == [(-1, 2, "new"), (0, -1, "deleted"), (1, 0, "equal"), (2, 1, "equal"), (3, 3, "equal"), (4, 4, "equal"), (5, 5, "equal"), (6, 6, "equal")]
+    # of two runs of one length the one whose values are least; prose decides where titles differ, lines of data don't count
+    a = spark.createDataFrame([(1, "f", "Old title", 1, "### 1. Old title\n- Area: x\nThe rates were set in spring"), (1, "f", "Z", 2, "z")], cols)
+    b = spark.createDataFrame([(1, "f", "Quite another", 1, "### 4. Quite another\n- Area: y\nThe rates were set in autumn"), (1, "f", "Z", 2, "z")], cols)
+    assert {(r["title"], r["state"], r["added"]) for r in diff.compare_sections(a, b, "doc").collect()} == {("Quite another", "modified", 3), ("Z", "equal", 0)}
+    assert diff.compare_sections(a.limit(0), b, "doc").count() == 2 == diff.compare_sections(a, b.limit(0), "doc").count()
+
+
+def test_lines_written_anew():
+    rows = diff.compared_lines("alpha beta gamma\n\nkeep", "completely other, words!\nkeep\nmore")
+    assert [(r["kind"], r["text"], r["parts"]) for r in rows] == [("del", "alpha beta gamma", []), ("add", "completely other, words!", []), ("equal", "keep", []), ("add", "more", [])]
+    uneven = diff.compared_lines("one two three\nx", "one two 3\ny y\nz z")
+    assert [(r["kind"], [p["text"] for p in r["parts"]]) for r in uneven] == [("del", ["one two ", "three"]), ("del", []), ("add", ["one two ", "3"]), ("add", []), ("add", [])]
+    assert diff.compared_lines(None, None) == []
+
+
+def test_edit_scripts():
+    def plain(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        return t[-1][-1]
+
+    rnd = random.Random(1)
+    for _ in range(300):
+        a, b = ([rnd.randint(0, 6) for _ in range(rnd.randint(0, 15))] for _ in range(2))
+        exact, quick = edits.longest_common(a, b), edits.aligned(a, b)
+        assert len(exact) == plain(a, b)
+        for pairs in (exact, quick):
+            assert all(a[i] == b[j] for i, j in pairs) and all(i < k and j < m for (i, j), (k, m) in itertools.pairwise(pairs))
+        made, i, j = [], 0, 0
+        for equal, x, n, y, m in edits.stretches(quick, len(a), len(b)):
+            assert (x, y) == (i, j) and (not equal or a[x:n] == b[y:m])
+            made, i, j = made + b[y:m], n, m
+        assert made == b and (i, j) == (len(a), len(b))
+        run = [a[i] for i in edits.rising(a)]
+        longest = max((k for k in range(len(a) + 1) if any(all(p < q for p, q in itertools.pairwise(c)) for c in itertools.combinations(a[:9], k))), default=0)
+        assert all(p < q for p, q in itertools.pairwise(run)) and len(run) >= longest
+
+
+WRITTEN = """# Informe
+> nota
+
+## Introducción
+
+> instrucciones
+Primera línea.
+
+## Resumen ejecutivo
+
+Texto.
+
+**Evaluación global:** Mejorable
+
+**Próximos pasos:** fijo
+
+## Detalle de conclusiones
+
+### 1. Tarifas · 2.11
+
+- Prueba: 2.11 a) Contrastar: todo
+- Nivel de riesgo: medio (propuesto por el modelo, sin evidencia en PT)
+- Ref: desconocida
+- Área: no es dato ya
+
+Párrafo
+en dos líneas.
+> fuera
+
+*A continuación, se muestran los detalles descriptivos de la situación anterior:*
+- uno
+* dos
+
+Cierre.
+- Plazo: tampoco es dato
+
+**Recomendación N.1.** Primera.
+Sigue.
+
+Y sigue.
+
+**Recomendación 1.2**  Segunda.
+### Sin número
+## Sugerencias de mejora
+
+_(ninguna)_
+"""
+
+
+def test_parse_reports(spark):
+    docs = spark.createDataFrame([(1, WRITTEN), (2, None), (3, "no sections\n### 1. x"), (4, "## Introducción\n_(pendiente)_\n## Resumen\n\n## Conclusiones\n### 1) A\n# otra\n### 2) B")], "id int, text string")
+    heads = {r["id"]: (r["introduction"], r["summary"], r["rating"]) for r in reports.parse_heads(docs, "id").collect()}
+    assert heads == {1: ("Primera línea.", "Texto.", "Mejorable"), 2: ("", "", ""), 3: ("", "", ""), 4: ("", "", "")}
+    got = {(r["id"], r["number"]): r for r in reports.parse_entries(docs, "id").collect()}
+    assert {k: r["title"] for k, r in got.items()} == {(1, 1): "Tarifas · 2.11", (1, 2): "Sin número", (4, 1): "A"}
+    r = got[1, 1]
+    assert (r["test"], r["risk"], r["proposed"], r["area"]) == ("2.11 a) Contrastar: todo", "Medio", True, "")
+    assert r["incidence"] == "- Ref: desconocida\n- Área: no es dato ya\n\nPárrafo\nen dos líneas."
+    assert (r["details"], r["consequences"]) == ("- uno\n- dos", "Cierre.\n- Plazo: tampoco es dato")
+    assert r["recommendation"] == "Primera.\nSigue.\nY sigue.\n\nSegunda."
+    assert [got[1, 2][c] for c in ("test", "incidence", "details", "recommendation")] == [""] * 4
+
+
+def test_compare_reports(spark):
+    retitled = WRITTEN.replace("### 1. Tarifas · 2.11", "### 1. Tarifas desactualizadas · 2.11").replace("Cierre.", "Cierre nuevo.")
+    pairs = spark.createDataFrame([(1, WRITTEN, WRITTEN), (2, WRITTEN, retitled), (3, WRITTEN, WRITTEN.replace("# Informe", "# Otro")), (4, "uno", "dos"), (5, None, WRITTEN)], "id int, old string, new string")
+    rows = reports.compare_reports(pairs, "id").collect()
+    of = lambda i: sorted((r["kind"], r["state"]) for r in rows if r["id"] == i)
+    same = [("introduction", "equal"), ("recommendation", "equal"), ("recommendation", "equal"), ("summary", "equal")]
+    assert of(1) == same and of(3) == sorted([("document", "modified"), *same]) and of(4) == [("document", "modified")]
+    assert of(2) == [("introduction", "equal"), ("recommendation", "equal"), ("recommendation", "modified"), ("summary", "equal")]
+    assert of(5) == [("introduction", "new"), ("recommendation", "new"), ("recommendation", "new"), ("summary", "new")]
+    marked = next(r for r in rows if r["id"] == 2 and r["state"] == "modified")
+    assert (marked["added"], marked["deleted"]) == (2, 2)
+
+
+def patched(old, text):
+    """What a unified difference makes of a text."""
+    lines, out, at = (old or "").splitlines(), [], 0
+    for hunk in re.split(r"(?m)^(?=@@ )", text)[1:]:
+        head, *body = hunk.split("\n")
+        start, n = re.match(r"@@ -(\d+)(?:,(\d+))?", head).groups()
+        start = int(start) - (n != "0")
+        out += lines[at:start]
+        at = start
+        for line in body:
+            if line[:1] in (" ", "-"):
+                assert lines[at] == line[1:]
+                at += 1
+            if line[:1] in (" ", "+"):
+                out.append(line[1:])
+    return out + lines[at:]
+
+
+def test_unified(spark):
+    rnd = random.Random(4)
+    rows = [(i, "\n".join(rnd.choice("abcde") * 2 for _ in range(rnd.randint(1, 30))), "\n".join(rnd.choice("abcde") * 2 for _ in range(rnd.randint(1, 30)))) for i in range(40)]
+    rows += [(100, None, "x\ny"), (101, "x", None), (102, "same\nsame", "same\nsame"), (103, None, None), (104, "\n".join(map(str, range(300))), "\n".join(str(x) for x in range(300) if x % 50))]
+    pairs = spark.createDataFrame(rows, "id int, old string, new string")
+    got = {r["id"]: r["diff"] for r in edits.unified(pairs, "id").collect()}
+    assert got.keys() == {r[0] for r in rows} and got[102] == got[103] == ""
+    for i, old, new in rows:
+        assert patched(old, got[i]) == (new or "").splitlines()
+    assert got[104].count("@@ -") == 6 and got[104].startswith("--- old\n+++ new\n@@ -1,3 +1,2 @@\n-0\n 1\n 2\n@@ -49,5 +48,4 @@")
+    assert got[100] == "--- old\n+++ new\n@@ -0,0 +1,2 @@\n+x\n+y"
+
+
 def test_best_pairs(spark):
     a = spark.createDataFrame([(1, 1, "the rates are old"), (1, 2, "nobody signs"), (1, 3, "zzz")], "g int, id int, t string")
     b = spark.createDataFrame([(1, 7, "the rates are old."), (1, 8, "the rates are cold"), (1, 9, "nobody ever signs")], "g int, id int, t string")
