@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions import text as X
 
-def bands(lines: DataFrame, page: str, low: str, high: str, out: str = "band") -> DataFrame:
+
+def bands(lines: DataFrame, page: str | list[str], low: str, high: str, out: str = "band") -> DataFrame:
     """lines with a band number: lines whose extents overlap, directly or through others, share one."""
     w = Window.partitionBy(page).orderBy(low, high)
     reach = F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -86,3 +88,43 @@ def separator_before(lines: DataFrame, page: str, order: str, text: str = "text"
     """lines with column before: what follows the number of the line before on the page; null if that has no number."""
     own = F.nullif(F.regexp_extract(F.trim(text), r"^\d+(?:\.\d+)*([.)\-])", 1), F.lit(""))
     return lines.withColumn("before", F.lag(own).over(Window.partitionBy(page).orderBy(order)))
+
+
+# Fixed values of column detection: longest marker, marks of lists.
+MARKER_LENGTH, BULLETS = 15, ("•", "-", "*", "▪", "◦", "‣", "·", "●", "○")
+
+
+def is_marker(text: Column) -> Column:
+    """Whether a text is only a list mark or a short number with a stop or bracket after it."""
+    own = F.regexp_replace(text, r"^\s+|\s+$", "")
+    numbered = F.regexp_like(F.concat(own, F.lit(" x")), F.lit(r"^\d+(\.\d+){0,3}[.)]\s+\S"))
+    return (F.length(own) < MARKER_LENGTH) & (own.isin(*BULLETS) | numbered)
+
+
+def reading_order(lines: DataFrame, page: str, ident: str, text: str = "text", gap: float = 8, tolerance: float = 8, least: int = 3) -> DataFrame:
+    """(page, ident, band, column from 0, place from 1, breaks) of lines with x0, x1, y0, y1: where columns are confirmed, each is read before the next.
+
+    Lines whose heights overlap are a band; in it, those whose widths overlap are a piece. A piece may begin a column if
+    ``gap`` lies between it and the one before, which isn't a mere marker. The page votes: pieces with content that may begin one are
+    gathered by their left edges, and only an edge where ``least`` of them stand, each within ``tolerance`` of the next,
+    confirms. breaks holds for the first line of every column but the first, and of a band after one of several columns.
+    ``ident`` tells lines of a page apart. Everything is a window or an aggregate within a page; pages of any number are spread.
+    """
+    cut = bands(bands(lines, page, "y0", "y1"), [page, "band"], "x0", "x1", "piece")
+    told = F.array_sort(F.collect_list(F.struct("x0", F.col(ident).alias("i"), F.coalesce(text, F.lit("")).alias("t"))))
+    pieces = cut.groupBy(page, "band", "piece").agg(F.min("x0").alias("left"), F.max("x1").alias("right"), told.alias("told"))
+    w = Window.partitionBy(page, "band").orderBy("piece")
+    words = F.array_join(F.transform("told", lambda x: x["t"]), " ")
+    parted = F.coalesce((F.col("left") - F.lag("right").over(w) >= gap) & ~is_marker(F.lag(words).over(w)), F.lit(False))
+    candidates = pieces.select(page, "band", "piece", "left", parted.alias("parted"), (~X.contentless(F.col("told")[0]["t"])).alias("votes"))
+    votes = clusters(candidates.where("parted and votes"), page, "left", tolerance, least).select(F.col(page).alias("_page"), "from_at", "to_at")
+    agreed = F.expr(f"{page} = _page and parted and left between from_at - {tolerance} and to_at + {tolerance}")
+    confirmed = candidates.join(votes, agreed, "left_semi").select(page, "band", "piece", F.lit(1).alias("confirmed"))
+    columns = candidates.select(page, "band", "piece").join(confirmed, [page, "band", "piece"], "left").withColumn("column", F.coalesce(F.sum("confirmed").over(w), F.lit(0)).cast("int"))
+    placed = cut.join(columns, [page, "band", "piece"]).select(page, ident, "band", "column", "x0", "y0")
+    down = Window.partitionBy(page).orderBy("band", "column", "y0", "x0", ident)
+    first = F.row_number().over(Window.partitionBy(page, "band", "column").orderBy("y0", "x0", ident)) == 1
+    several = placed.withColumns({"first": first, "several": F.max("column").over(Window.partitionBy(page, "band")) > 0, "place": F.row_number().over(down)})
+    row = Window.partitionBy(page).orderBy("place")
+    after = F.lag("several").over(row) & (F.lag("band").over(row) != F.col("band"))
+    return several.select(page, ident, "band", "column", "place", ((F.col("first") & (F.col("column") > 0)) | F.coalesce(after, F.lit(False))).alias("breaks"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import diff, edits, reports
+from docloom.operators import diff, edits, layout, meetings, reports
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,7 +73,28 @@ def unified_diff(spark, sf_dir):
     return both.select("doc_id", gained.alias("gained"), F.md5(F.array_join(edits.with_hunks(F.col("old"), F.col("h")), "\n")).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (report_entries, report_heads, report_changes, section_alignment, unified_diff)}
+def reading_order(spark, sf_dir):
+    """Eight orders as the rows of a page, their lines as pieces of a row: pages of one column, of several, and of gaps that don't recur."""
+    page = F.floor(F.col("l_orderkey") / 8)
+    x0 = (F.col("l_linenumber") - 1) * 100 + F.when(page % 3 == 1, F.col("l_partkey") % 90).otherwise(F.col("l_partkey") % 5)
+    text = F.when(F.col("l_partkey") % 7 == 0, "1.").when(F.col("l_partkey") % 11 == 0, "de").otherwise(F.concat(F.lit("Item "), F.col("l_partkey")))
+    y0 = (F.col("l_orderkey") % 8) * 20 + F.col("l_partkey") % 3
+    ident = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    lines = _t(spark, sf_dir, "lineitem").select(page.alias("page"), ident.alias("ident"), text.alias("text"), x0.alias("x0"), (x0 + F.when(page % 3 == 0, 99).otherwise(60)).alias("x1"), y0.alias("y0"), (y0 + 12).alias("y1"))
+    return layout.reading_order(lines, "page", "ident")
+
+
+def meeting_files(spark, sf_dir):
+    """A file for each order in its customer's folder, under keys that are cut at many lengths."""
+    o = _t(spark, sf_dir, "orders")
+    word = F.concat("o_orderstatus", F.replace("o_orderpriority", F.lit(" "), F.lit("_")), F.lit("_"), "o_orderstatus", "o_orderpriority")
+    mark, ending = F.when(F.col("o_orderkey") % 2 == 0, "_Transcripcion").otherwise(""), F.element_at(F.array(*map(F.lit, ("md", "txt", "VTT", "png"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    name = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd_HHmm_"), F.left(word, (F.col("o_orderkey") % 13 + 1).cast("int")), mark, F.lit("."), ending)
+    found = meetings.meetings(o.select(F.col("o_custkey").alias("folder"), name.alias("name")), "folder", "name")
+    return found.select("folder", "origin", "newest", F.array_join("minutes", ",").alias("minutes"), F.array_join("transcripts", ",").alias("transcripts"))
+
+
+QUERIES = {f.__name__: f for f in (report_entries, report_heads, report_changes, section_alignment, unified_diff, reading_order, meeting_files)}
 
 _ENTRIES = r"""
     SELECT c_nationkey AS report, CASE WHEN c_custkey % 3 = 0 THEN 'suggestion' ELSE 'recommendation' END AS kind, CAST(c_custkey AS INTEGER) AS num,
@@ -105,4 +126,29 @@ ORACLES = {
         n AS (SELECT doc_id, old, array_to_string(list_transform(list_filter(range(len(l)), lambda i: i % 3 <> 1), lambda i: CASE WHEN i % 5 = 2 THEN l[i + 1] || ' more' ELSE l[i + 1] END), chr(10)) AS new FROM d),
         t AS (SELECT doc_id, regexp_replace(old, '\\n\\z', '') AS old, new AS raw, regexp_replace(new, '\\n\\z', '') AS new FROM n)
         SELECT doc_id, CAST((CASE WHEN raw = '' THEN 0 ELSE len(string_split(new, chr(10))) END) - (CASE WHEN old = '' THEN 0 ELSE len(string_split(old, chr(10))) END) AS BIGINT) AS gained, md5(new) AS digest FROM t""",
+    "reading_order": r"""WITH g AS (SELECT CAST(floor(l_orderkey / 8) AS BIGINT) AS page, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS ident, CASE WHEN l_partkey % 7 = 0 THEN '1.' WHEN l_partkey % 11 = 0 THEN 'de' ELSE 'Item ' || l_partkey END AS text,
+            (l_linenumber - 1) * 100 + CASE WHEN floor(l_orderkey / 8) % 3 = 1 THEN l_partkey % 90 ELSE l_partkey % 5 END AS x0, (l_orderkey % 8) * 20 + l_partkey % 3 AS y0 FROM lineitem),
+        l AS (SELECT *, x0 + CASE WHEN page % 3 = 0 THEN 99 ELSE 60 END AS x1, y0 + 12 AS y1 FROM g),
+        b0 AS (SELECT *, CASE WHEN y0 >= max(y1) OVER (PARTITION BY page ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS n FROM l),
+        b AS (SELECT * EXCLUDE (n), sum(n) OVER (PARTITION BY page ORDER BY y0, y1) AS band FROM b0),
+        p0 AS (SELECT *, CASE WHEN x0 >= max(x1) OVER (PARTITION BY page, band ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS n FROM b),
+        p AS (SELECT * EXCLUDE (n), sum(n) OVER (PARTITION BY page, band ORDER BY x0, x1) AS piece FROM p0),
+        s AS (SELECT page, band, piece, min(x0) AS x0, max(x1) AS x1, string_agg(text, ' ' ORDER BY x0, ident) AS words, first(text ORDER BY x0, ident) AS text FROM p GROUP BY page, band, piece),
+        c AS (SELECT *, coalesce(x0 - lag(x1) OVER w >= 8 AND NOT (length(trim(lag(words) OVER w)) < 15 AND regexp_matches(trim(lag(words) OVER w) || ' x', '^[0-9]+(\.[0-9]+){0,3}[.)]\s+\S')), false) AS parted,
+                     length(regexp_replace(text, '\W', '', 'g')) >= 4 AS votes FROM s WINDOW w AS (PARTITION BY page, band ORDER BY piece)),
+        v0 AS (SELECT page, x0, CASE WHEN x0 - lag(x0) OVER (PARTITION BY page ORDER BY x0) > 8 THEN 1 ELSE 0 END AS n FROM c WHERE parted AND votes),
+        v1 AS (SELECT page, x0, sum(n) OVER (PARTITION BY page ORDER BY x0) AS k FROM v0),
+        v AS (SELECT page, min(x0) AS lo, max(x0) AS hi FROM v1 GROUP BY page, k HAVING count(*) >= 3),
+        f AS (SELECT c.page, c.band, c.piece, CAST(parted AND EXISTS (SELECT 1 FROM v WHERE v.page = c.page AND c.x0 BETWEEN lo - 8 AND hi + 8) AS INTEGER) AS ok FROM c),
+        k AS (SELECT page, band, piece, CAST(sum(ok) OVER (PARTITION BY page, band ORDER BY piece) AS INTEGER) AS col FROM f),
+        r AS (SELECT p.page, ident, p.band, col, row_number() OVER (PARTITION BY p.page ORDER BY p.band, col, y0, x0, ident) AS place, row_number() OVER (PARTITION BY p.page, p.band, col ORDER BY y0, x0, ident) = 1 AS first, max(col) OVER (PARTITION BY p.page, p.band) > 0 AS several FROM p JOIN k USING (page, band, piece))
+        SELECT page, ident, CAST(band AS BIGINT) AS band, col AS "column", CAST(place AS INTEGER) AS place, (first AND col > 0) OR coalesce(lag(several) OVER w AND lag(band) OVER w <> band, false) AS breaks FROM r WINDOW w AS (PARTITION BY page ORDER BY place)""",
+    "meeting_files": """WITH f AS (SELECT o_custkey AS folder, strftime(o_orderdate, '%Y-%m-%d_%H%M_') || left(o_orderstatus || replace(o_orderpriority, ' ', '_') || '_' || o_orderstatus || o_orderpriority, CAST(o_orderkey % 13 + 1 AS INTEGER))
+                || CASE WHEN o_orderkey % 2 = 0 THEN '_Transcripcion' ELSE '' END || '.' || ['md', 'txt', 'VTT', 'png'][CAST(o_orderkey % 4 + 1 AS INTEGER)] AS name FROM orders),
+        k AS (SELECT folder, name, lower(regexp_replace(regexp_replace(regexp_replace(name, '\\.[^.]*$', ''), '^([0-9]{4}-[0-9]{2}-[0-9]{2}_[0-9]{4}_)+', ''), '_Transcripcion$', '')) AS key,
+                CASE WHEN name LIKE '%.md' THEN 'm' WHEN lower(name) LIKE '%.txt' OR lower(name) LIKE '%.vtt' THEN 't' END AS kind FROM f),
+        d AS (SELECT DISTINCT folder, key FROM k WHERE kind IS NOT NULL),
+        r AS (SELECT a.folder, a.key, arg_min(b.key, length(b.key)) AS root FROM d a JOIN d b ON a.folder = b.folder AND starts_with(a.key, b.key) GROUP BY a.folder, a.key)
+        SELECT folder, root AS origin, replace(left(max(name), 16), '_', ' ') AS newest, coalesce(string_agg(name, ',' ORDER BY name DESC) FILTER (kind = 'm'), '') AS minutes,
+               coalesce(string_agg(name, ',' ORDER BY name DESC) FILTER (kind = 't'), '') AS transcripts FROM k JOIN r USING (folder, key) WHERE kind IS NOT NULL GROUP BY folder, root""",
 }
