@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as X
+from docloom.functions.durable import kept
 from docloom.operators import diff, edits, segment
 
 # The words of the format.
@@ -34,6 +35,8 @@ DATA_LINE = r"^\s*[-*]\s*([^:]+?)\s*:\s*(.*)$"
 OPENING = r"(?iu)^\*\*(?:recomendaci[oó]n|propuesta de mejora|sugerencia de mejora)\s*[\dNX]+(?:\.\d+)?\.?\*\*\s*(.*)$"
 BULLET = r"^\s*[-*•/]\s+"
 
+#: Columns of an entry besides its report's id.
+ENTRY = ("kind", "number", "title", "test", "risk", "proposed", "area", "owner", "due", "reference", "incidence", "details", "consequences", "recommendation")
 #: States of the automaton.
 _DATA, _PROSE, _DETAILS, _AFTER, _RECOMMENDATION = range(5)
 _PLAIN = {"Prueba": "prueba", "Nivel de riesgo": "nivel de riesgo", "Área": "area", "Responsable": "responsable", "Plazo": "plazo", "Ref. recomendación": "ref. recomendacion"}
@@ -203,7 +206,8 @@ def sections(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
 
 
 def compare_reports(pairs: DataFrame, id_col: str, old: str = "old", new: str = "new") -> DataFrame:
-    """What compare_sections gives for the two versions of each report; where texts differ outside of all sections, one row of kind document compares them whole."""
+    """What compare_sections gives for the two versions of each report; where texts differ outside of all sections, one row of kind document compares them whole. The pairs are checkpointed, as they are read several times."""
+    pairs = kept(pairs.select(id_col, old, new))
     found = diff.compare_sections(sections(pairs, id_col, old), sections(pairs, id_col, new), id_col)
     changed = found.where("state <> 'equal'").select(id_col).distinct()
     rest = pairs.where(~F.coalesce(F.col(old), F.lit("")).eqNullSafe(F.coalesce(F.col(new), F.lit("")))).join(changed, id_col, "left_anti")

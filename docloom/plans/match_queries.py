@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import external
-from docloom.operators import diff, markdown, patch, segment
+from docloom.operators import diff, markdown, matching, patch, segment
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,8 +32,9 @@ def similarity(spark, sf_dir):
 
 
 def fuzzy_pairs(spark, sf_dir):
-    n = _t(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", "n_name")
-    return diff.best_pairs(n, n.withColumn("n_name", F.reverse("n_name")), "n_regionkey", "n_nationkey", "n_name", 0.3).withColumn("score", F.round("score", 6))
+    """Of each source, documents of even id matched one to one with those of odd id whose words are alike, the most similar first."""
+    d = _t(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    return matching.best_pairs(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1"), "source", "doc_id", "text", 0.8).withColumn("score", F.round("score", 6))
 
 
 def patch_apply(spark, sf_dir):

@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import zipfile
+from difflib import SequenceMatcher
 
 import pandas as pd
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import external
 from docloom.functions import text as X
-from docloom.operators import budget, diff, edits, lint, markdown, patch, reports
+from docloom.operators import budget, diff, edits, lint, markdown, matching, patch, publishing, reports
 from docloom.sources import readers
 from docloom.streaming import incremental
 
@@ -215,9 +216,47 @@ def test_unified(spark):
 
 
 def test_best_pairs(spark):
-    a = spark.createDataFrame([(1, 1, "the rates are old"), (1, 2, "nobody signs"), (1, 3, "zzz")], "g int, id int, t string")
-    b = spark.createDataFrame([(1, 7, "the rates are old."), (1, 8, "the rates are cold"), (1, 9, "nobody ever signs")], "g int, id int, t string")
-    assert {(r["left_id"], r["right_id"]) for r in diff.best_pairs(a, b, "g", "id", "t").collect()} == {(1, 7), (2, 9)}
+    a = spark.createDataFrame([(1, 1, "the rates are old"), (1, 2, "nobody signs"), (1, 3, "zzz"), (1, 4, None), (None, 5, "x")], "g int, id int, t string")
+    b = spark.createDataFrame([(1, 7, "the rates are old."), (1, 8, "the rates are cold"), (1, 9, "nobody ever signs"), (2, 1, "zzz"), (1, 6, "")], "g int, id int, t string")
+    assert {(r["left_id"], r["right_id"]) for r in matching.best_pairs(a, b, "g", "id", "t").collect()} == {(1, 7), (2, 9)}
+    assert matching.best_pairs(a.limit(0), b, "g", "id", "t").collect() == []
+
+
+@pytest.mark.parametrize("by", ["score", "order"])
+def test_best_pairs_are_the_greedy_ones(spark, by):
+    """Near copies and exact ones of texts with repeated words, against all pairs of each group in order."""
+    rnd = random.Random(7)
+    base = [[rnd.choice("abcdefghij") * 3 for _ in range(rnd.randint(1, 12))] for _ in range(8)]
+    near = lambda: " ".join(w if rnd.random() < 0.85 else rnd.choice("xyz") for w in rnd.choice(base))
+    rows = [[(rnd.randint(0, 2), i, near()) for i in range(40)] for _ in range(2)]
+    score = {(g, i, j): SequenceMatcher(None, x.split(), y.split(), autojunk=False).ratio() for g, i, x in rows[0] for h, j, y in rows[1] if g == h}
+    order = sorted((k for k, s in score.items() if s >= 0.6), key=lambda k: (k[0], *((-score[k], k[1]) if by == "score" else (k[1], -score[k])), k[2]))
+    used, plain = set(), []
+    for g, i, j in order:
+        if not used & {(g, 0, i), (g, 1, j)}:
+            used |= {(g, 0, i), (g, 1, j)}
+            plain.append((g, i, j))
+    left, right = (spark.createDataFrame(r, "g int, id int, t string") for r in rows)
+    assert sorted(tuple(r)[:3] for r in matching.best_pairs(left, right, "g", "id", "t", by=by).collect()) == sorted(plain)
+
+
+def test_publish(spark):
+    docs = spark.createDataFrame([(1, WRITTEN), (2, WRITTEN)], "id int, text string")
+    blank = dict.fromkeys(("test", "risk", "area", "owner", "due", "reference", "details", "consequences"), "")
+    row = lambda i, ident, title, **more: {"id": i, "ident": ident, "state": "aprobada", "kind": "recommendation", "title": title, "proposed": False, "incidence": f"Sobre {title}", "recommendation": "Hacerlo.", **blank, **more}
+    found = spark.createDataFrame(
+        [row(1, "C-01", "Tarifas · 2.11"), row(1, "C-02", "Nueva"), row(1, "C-03", "Sin validar", proposed=True), row(1, "C-04", "Mejora", kind="suggestion", recommendation=" "), row(1, "C-05", "Borrador", state="propuesta")],
+        "id int, ident string, state string, kind string, title string, proposed boolean, incidence string, recommendation string, test string, risk string, area string, owner string, due string, reference string, details string, consequences string",
+    )
+    told = {r["ident"]: (r["hindrances"], r["present"], r["enters"]) for r in publishing.plan(docs, found, "id", append=True).collect()}
+    assert told == {"C-01": ([], True, False), "C-02": ([], False, True), "C-03": (["level only proposed"], False, False), "C-04": (["no proposal"], False, False)}
+    for append, titles in ((True, ["Tarifas · 2.11", "Sin número", "Nueva"]), (False, ["Tarifas · 2.11", "Nueva"])):
+        out = publishing.published(docs, found, "id", append)
+        entries = reports.parse_entries(out, "id", "new").where("id = 1").orderBy("number").collect()
+        assert [r["title"] for r in entries] == titles
+        assert out.where("id = 2 and old = new").count() == 1
+    states = sorted((r["title"], r["state"]) for r in publishing.preview(docs, found, "id", append=True).where("id = 1 and state <> 'equal'").collect())
+    assert ("Nueva", "new") in states and all(s != "deleted" for _, s in states)
 
 
 def test_findings_round_trip(spark):
