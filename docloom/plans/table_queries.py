@@ -206,6 +206,15 @@ def pages_by_capacity(spark, sf_dir):
     return li.select("l_orderkey", F.size("rows").alias("n"), F.array_max(pages).alias("pages"))
 
 
+def pages_of_long_lists(spark, sf_dir):
+    """All order lines of a status as one list, by order: pages of 2,000 pieces, 1,500 after the first; a first line stays with what follows, small lots don't fill a page."""
+    li = _t(spark, sf_dir, "lineitem").select("l_linestatus", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("pieces"), F.col("l_extendedprice").alias("price"))
+    marked = li.withColumns({"first": F.col("l_linenumber") == 1, "small": F.col("pieces") < 3})
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price"]
+    found = budget.paginate_rows(marked, "l_linestatus", order, "pieces", 2000, 1500, "first", "small")
+    return found.groupBy("l_linestatus", "page").agg(F.count("*").alias("n"), F.sum("pieces").alias("pieces"), F.min("l_orderkey").alias("from_order"))
+
+
 # order lines as lines on a page: the order is the page, supplier and part give places, quantity the type size
 def _layout(spark, sf_dir):
     li = _t(spark, sf_dir, "lineitem")
@@ -313,6 +322,21 @@ ORACLES = {
     "layout_columns": f"""WITH {_LAY}, n AS (SELECT *, CASE WHEN x0 - lag(x0) OVER (PARTITION BY doc ORDER BY x0) > 1 THEN 1 ELSE 0 END AS new FROM l),
         c AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc ORDER BY x0) AS BIGINT) AS cluster FROM n) SELECT doc, cluster, count(*) AS n, min(x0) AS from_at, max(x0) AS to_at FROM c GROUP BY doc, cluster HAVING count(*) >= 3""",
     "layout_median": f"WITH {_LAY}, s AS (SELECT doc, size, sum(part % 13) AS w FROM l GROUP BY doc, size), u AS (SELECT doc, size, sum(w) OVER (PARTITION BY doc ORDER BY size) AS u, sum(w) OVER (PARTITION BY doc) AS t FROM s) SELECT doc, min(size) AS median FROM u WHERE u * 2 >= t GROUP BY doc",
+    "pages_by_capacity": """WITH RECURSIVE l AS (SELECT l_orderkey, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS i FROM lineitem),
+        p AS (SELECT l_orderkey, i, q AS used, 1 AS page FROM l WHERE i = 1
+              UNION ALL SELECT l.l_orderkey, l.i, CASE WHEN p.used + l.q > 60 THEN l.q ELSE p.used + l.q END, CASE WHEN p.used + l.q > 60 THEN p.page + 1 ELSE p.page END FROM p JOIN l ON l.l_orderkey = p.l_orderkey AND l.i = p.i + 1)
+        SELECT l_orderkey, CAST(count(*) AS INTEGER) AS n, CAST(max(page) AS INTEGER) AS pages FROM p GROUP BY l_orderkey""",
+    "pages_of_long_lists": """WITH RECURSIVE r AS (SELECT l_linestatus AS g, l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS q, row_number() OVER w AS i,
+                coalesce(sum(CASE WHEN l_linenumber = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY l_linestatus ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS unit
+              FROM lineitem WINDOW w AS (PARTITION BY l_linestatus ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)),
+        u AS (SELECT g, unit, sum(q) AS h, bool_or(q >= 3) AS filled FROM r GROUP BY g, unit),
+        s AS (SELECT g, unit, h, CAST(sum(h) OVER (PARTITION BY g ORDER BY unit) AS BIGINT) AS stop, filled FROM u),
+        k AS (SELECT g, unit, stop - h AS start, stop, min(CASE WHEN filled THEN unit END) OVER (PARTITION BY g ORDER BY unit ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) + 1 AS least FROM s),
+        q AS (SELECT a.g, a.unit, a.least, b.unit AS over FROM (SELECT *, start + CASE WHEN unit = 0 THEN 2000 ELSE 1500 END AS room FROM k) a ASOF JOIN k b ON a.g = b.g AND a.room < b.stop),
+        n AS MATERIALIZED (SELECT g, unit, greatest(over, least) AS nxt FROM q WHERE least IS NOT NULL),
+        c AS (SELECT g, CAST(0 AS HUGEINT) AS unit, 1 AS page FROM (SELECT DISTINCT g FROM u) UNION ALL SELECT n.g, n.nxt, c.page + 1 FROM c JOIN n ON n.g = c.g AND n.unit = c.unit JOIN u ON u.g = n.g AND u.unit = n.nxt)
+        SELECT l_linestatus, CAST(page AS INTEGER) AS page, count(*) AS n, CAST(sum(q) AS BIGINT) AS pieces, min(l_orderkey) AS from_order
+        FROM (SELECT r.g AS l_linestatus, r.q, r.l_orderkey, c.page FROM r ASOF JOIN c ON r.g = c.g AND r.unit >= c.unit) GROUP BY l_linestatus, page""",
     "layout_headers": f"WITH {_LAY}, a AS (SELECT doc, count(DISTINCT page) AS n FROM l GROUP BY doc) SELECT doc, text, count(DISTINCT page) AS pages FROM l JOIN a USING (doc) GROUP BY doc, text, n HAVING count(DISTINCT page) >= 2 AND count(DISTINCT page) > 0.6 * n",
     "layout_levels": f"""WITH {_LAY}, s AS (SELECT doc, size, count(*) AS w FROM l GROUP BY doc, size), u AS (SELECT doc, size, sum(w) OVER (PARTITION BY doc ORDER BY size) AS u, sum(w) OVER (PARTITION BY doc) AS t FROM s), m AS (SELECT doc, min(size) AS median FROM u WHERE u * 2 >= t GROUP BY doc),
         d AS (SELECT DISTINCT doc, size FROM l JOIN m USING (doc) WHERE size > median) SELECT doc, CAST(size AS DOUBLE) AS size, CAST(level AS INTEGER) AS level FROM (SELECT doc, size, dense_rank() OVER (PARTITION BY doc ORDER BY size DESC) AS level FROM d) WHERE level <= 4""",
@@ -329,6 +353,6 @@ QUERIES = {
     for f in (
         speaker_islands, speaker_seconds, first_appearance_ids, relevant_speakers, interval_overlap_anti, best_runs, top_voices, part_offsets, asof_backward, asof_forward, alias_chain, new_documents, dup_by_hash, manifest_verify,
         latest_orders, latest_different, snapshot_names, registry_upsert, draft_pairs, unpaired_drafts, status_pivot, workflow_phase, required_fields, domain_check, publication_gate, next_ids, field_updates, approvals, annex_rows,
-        fair_share_budget, corpus_cut, pages_fixed, pages_by_capacity, layout_bands, layout_columns, layout_median, layout_headers, layout_levels, layout_outside, scalar_labels, portfolio, searched,
+        fair_share_budget, corpus_cut, pages_fixed, pages_by_capacity, pages_of_long_lists, layout_bands, layout_columns, layout_median, layout_headers, layout_levels, layout_outside, scalar_labels, portfolio, searched,
     )
 }

@@ -1,5 +1,6 @@
 """Streams and walks over ranges: the same rows as from the whole at once."""
 
+import itertools
 import json
 import os
 import random
@@ -7,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import meetings
+from docloom.operators import budget, meetings, running
 from docloom.streaming import reorder
 
 PARTS = "recording string, part int, offset double, at timestamp, segments array<struct<start:double,end:double,speaker:string,text:string>>"
@@ -69,6 +70,49 @@ def test_roots_over_ranges(spark):
     assert meetings.roots(spark.createDataFrame([], "g int, k string"), "g", "k").collect() == []
 
 
+def plain_pages(rows, capacity, rest):
+    """A fold over (height, stays, light): units with what follows, pages with something that isn't light."""
+    units, out = [], []
+    for h, stays, light in rows:
+        if units and units[-1][2]:
+            units[-1] = (units[-1][0] + h, units[-1][1] and light, stays, units[-1][3] + 1)
+        else:
+            units.append((h, light, stays, 1))
+    page, used, room, filled = 1, 0, capacity, False
+    for h, light, _, n in units:
+        if used + h > room and filled:
+            page, used, room, filled = page + 1, 0, rest, False
+        used, filled = used + h, filled or not light
+        out += [page] * n
+    return out
+
+
+def test_pages_of_lists_of_any_length(spark):
+    rnd = random.Random(8)
+    lists = {g: [(rnd.randint(0, 40), rnd.random() < 0.2, rnd.random() < 0.3) for _ in range(n)] for g, n in (("a", 1), ("b", 3), ("c", 150), ("d", 40))}
+    lists["e"] = [(1, False, True)] * 30  # nothing but light rows
+    rows = [(g, i, *r) for g, own in lists.items() for i, r in enumerate(own)]
+    df = spark.createDataFrame(rows, "g string, i int, h int, stays boolean, light boolean")
+    got = {(r["g"], r["i"]): r["page"] for r in budget.paginate_rows(df, "g", ["i"], "h", 60, 45, "stays", "light").collect()}
+    assert got == {(g, i): p for g, own in lists.items() for i, p in enumerate(plain_pages(own, 60, 45))}
+    assert budget.paginate_rows(df.limit(0), "g", ["i"], "h", 60).collect() == []
+
+
+def test_million_rows_on_pages(spark):
+    long = spark.range(1_000_000).select(F.lit(1).alias("g"), F.col("id").alias("i"), (F.col("id") * 7 % 13 + 1).alias("h"))
+    found = budget.paginate_rows(long, "g", ["i"], "h", 5000).groupBy("page").agg(F.sum("h").alias("h"), F.min("i").alias("a"), F.max("i").alias("b")).orderBy("page").collect()
+    assert [r["page"] for r in found] == list(range(1, len(found) + 1)) and found[-1]["b"] == 999_999
+    assert all(r["h"] <= 5000 < r["h"] + ((r["b"] + 1) * 7 % 13 + 1) and r["b"] + 1 == n["a"] for r, n in itertools.pairwise(found))
+
+
+def test_running_sums_over_ranges(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice(["hot"] * 8 + ["x", "y", None]), i, rnd.randint(0, 9)) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, i int, v int")
+    got = {r["i"]: (r["s"], r["nxt"]) for r in running.following(running.before(df, "g", ["i"], s=F.col("v")), "g", ["i"], F.when(F.col("v") > 6, F.col("i")), "nxt").collect()}
+    assert got == {i: (sum(v for h, j, v in rows if h == g and j < i), next((j for h, j, v in rows if h == g and j > i and v > 6), None)) for g, i, _ in rows}
+
+
 def test_meetings(spark):
     names = ["2024-05-01_0900_Kickoff_transcripcion.vtt", "2024-05-02_1000_2024-05-01_0900_kickoff.md", "2024-05-03_1100_kickoff_b.txt", "2024-05-04_1200_otra.docx", "x.png", "2024-05-04_1200_.md", "old/2023-01-01_0000_kick.md"]
     files = spark.createDataFrame([("f", n) for n in names] + [("g", names[0])], "folder string, name string")
