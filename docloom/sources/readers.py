@@ -133,23 +133,32 @@ def _pptx(name: str, data: bytes) -> Iterator[tuple]:
 DECODERS = {"md": _plain, "txt": _plain, "vtt": _plain, "docx": _docx, "xlsx": _xlsx, "pptx": _pptx}
 
 
+NAMES = [x.split()[0] for x in re.split(r", (?=\w+ )", BLOCKS)]
+_KINDS = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.list_(pa.string())), pa.string())
+
+
+def decoded(path: str, ext: str, data: bytes, known: dict) -> list[tuple]:
+    """A file's rows of BLOCKS; one of kind error with the reason if it can't be decoded."""
+    try:
+        if ext not in known:
+            raise ValueError(f"no reader for .{ext}; there are {', '.join(sorted(known))}")
+        return [(path, ext, x[0], n, *x[1:]) for n, x in enumerate(known[ext](path, data))]
+    except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as e:
+        return [(path, ext, None, None, "error", None, None, None, str(e))]
+
+
+def columns(rows: list[tuple]) -> list[pa.Array]:
+    return [pa.array([x[i] for x in rows], k) for i, k in enumerate(_KINDS)]
+
+
 def blocks(files: DataFrame, decoders: dict | None = None) -> DataFrame:
     """Rows of BLOCKS of files from scan(). What can't be decoded is one row of kind error with the reason as note."""
     known = decoders or DECODERS
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.list_(pa.string())), pa.string())
-        names = [x.split()[0] for x in re.split(r", (?=\w+ )", BLOCKS)]
         for b in it:
-            out = []
-            for path, ext, data in zip(*(b.column(c).to_pylist() for c in ("path", "ext", "content")), strict=True):
-                try:
-                    if ext not in known:
-                        raise ValueError(f"no reader for .{ext}; there are {', '.join(sorted(known))}")
-                    out += [(path, ext, x[0], n, *x[1:]) for n, x in enumerate(known[ext](path, data))]
-                except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as e:
-                    out.append((path, ext, None, None, "error", None, None, None, str(e)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=names)
+            files = zip(*(b.column(c).to_pylist() for c in ("path", "ext", "content")), strict=True)
+            yield pa.RecordBatch.from_arrays(columns([x for path, ext, data in files for x in decoded(path, ext, data, known)]), names=NAMES)
 
     return files.select("path", "ext", "content").mapInArrow(batches, BLOCKS)
 

@@ -7,8 +7,10 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, StringStartsWith
 
 from docloom.operators import budget, meetings, running
+from docloom.sources import documents, readers
 from docloom.streaming import reorder
 
 PARTS = "recording string, part int, offset double, at timestamp, segments array<struct<start:double,end:double,speaker:string,text:string>>"
@@ -113,6 +115,26 @@ def test_running_sums_over_ranges(spark):
     assert got == {i: (sum(v for h, j, v in rows if h == g and j < i), next((j for h, j, v in rows if h == g and j > i and v > 6), None)) for g, i, _ in rows}
 
 
+def test_documents_as_a_source(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name, text in (("a.md", "# One\n\ntext"), ("b.txt", "two"), ("c.vtt", "WEBVTT\n\n00:01 --> 00:02\nhi"), ("d.png", "no"), ("e.docx", "not a zip"), ("sub/f.TXT", "six"), ("plan b.md", "x"), ("empty.md", "")):
+        (tmp_path / name).write_text(text)
+    documents.register(spark)
+    load = lambda **more: spark.read.format("documents").options(**more).load(str(tmp_path))
+    plain = readers.blocks(readers.scan(spark, str(tmp_path)))
+    assert sorted(map(str, load().drop("name").collect())) == sorted(map(str, plain.collect())) and load().count() > 4
+    assert {r["name"] for r in load(recursive="true").collect()} >= {"f.TXT"}
+    (tmp_path / "b.txt").chmod(0)
+    (tmp_path / "b.txt").unlink()  # what a filter leaves out isn't read
+    some = load().where("ext = 'md' and name like 'pl%' and length(coalesce(text, '')) >= 0")
+    assert [r["name"] for r in some.select("name").distinct().collect()] == ["plan b.md"]
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "ext" in plan and not any(line.strip().startswith("Filter") and "ext#" in line for line in plan.split("\n"))
+    reader = documents.DocumentsReader(str(tmp_path), False)
+    rest = list(reader.pushFilters([EqualTo(("ext",), "md"), StringStartsWith(("name",), "a"), EqualTo(("page",), 1)]))
+    assert [type(f).__name__ for f in rest] == ["EqualTo"] and [_n for p in reader.partitions() for _n in p.paths] == [str(tmp_path / "a.md")]
+
+
 def test_meetings(spark):
     names = ["2024-05-01_0900_Kickoff_transcripcion.vtt", "2024-05-02_1000_2024-05-01_0900_kickoff.md", "2024-05-03_1100_kickoff_b.txt", "2024-05-04_1200_otra.docx", "x.png", "2024-05-04_1200_.md", "old/2023-01-01_0000_kick.md"]
     files = spark.createDataFrame([("f", n) for n in names] + [("g", names[0])], "folder string, name string")
