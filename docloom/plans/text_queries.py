@@ -145,13 +145,12 @@ def condense_acceptance(spark, sf_dir):
 
 def coverage_check(spark, sf_dir):
     """Benchmark items whose first five words stand in no document."""
-    words = lambda c: F.concat(F.lit(" "), F.array_join(X.words(F.lower(c)), " "), F.lit(" "))
     key = F.array_join(F.slice(X.words(F.lower("text")), 1, 5), " ")
     items = _t(spark, sf_dir, "benchmark").select("item_id", key.alias("key"))
-    docs = _t(spark, sf_dir, "documents").select(words(F.col("text")).alias("t"))
+    # words are a column of their own: inside the function below they would be split again for every window
+    docs = _t(spark, sf_dir, "documents").select(X.words(F.lower("text")).alias("w"))
     # five-word windows make the containment an equality, which joins by hash instead of by comparing all with all
-    w = F.split(F.trim("t"), " ")
-    windows = docs.where(F.size(w) >= 5).select(F.explode(F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.array_join(F.slice(w, i, 5), " "))).alias("key"))
+    windows = docs.where("size(w) >= 5").select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, 5), " "))).alias("key"))
     # the items' few keys meet the windows where these are made; only keys that stand somewhere are shuffled
     met = windows.join(items.select("key"), "key", "left_semi").distinct()
     return items.join(met, "key", "left_anti").select("item_id", "key")
