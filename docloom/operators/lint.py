@@ -1,16 +1,26 @@
-"""Rule-based linting: rules are data, compiled to column expressions, so that a text is read once and nothing shuffles."""
+"""Rule-based linting: rules are data; a text's words are read once, whatever the number of rules, and nothing shuffles."""
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from docloom.functions import text as X
 from docloom.operators import segment
 
+if TYPE_CHECKING:
+    from docloom.operators.rules import Style
+
 #: Parts that each fragment's documents are dealt to before the first ones are chosen.
 PARTS = 64
 
@@ -25,40 +35,110 @@ class Rule:
     lang: str | None = None  # texts in this language only
 
 
-def _count(norm: Column, rule: Rule, lang: Column | None) -> Column:
-    n = F.regexp_count(norm, F.lit(X.term_pattern(rule.term))).cast("long")
-    return F.when(lang == rule.lang, n).otherwise(0) if rule.lang and lang is not None else n
+_WORD = re.compile(r"\w+", re.ASCII)
+
+
+def _folded(term: str) -> str:
+    plain = "".join(c for c in unicodedata.normalize("NFD", term.lower()) if unicodedata.category(c) != "Mn")
+    return re.sub(r"[^\W\d_]", lambda m: m[0] if m[0].isascii() else "z", plain)
+
+
+class _Matcher:
+    """Finds all rules' terms in one pass over a text's words: a word leads to the terms that begin with it."""
+
+    def __init__(self, rules: list[Rule], by_lang: bool):
+        self.by_lang = by_lang
+        self.first: dict[str | None, dict[str, list[tuple[int, str]]]] = {}
+        self.odd: list[tuple[int, str | None, re.Pattern]] = []  # terms that don't begin with a word
+        for n, r in enumerate(rules):
+            term, lang = _folded(r.term), r.lang if by_lang else None
+            if m := _WORD.match(term):
+                self.first.setdefault(lang, {}).setdefault(m[0], []).append((n, term))
+            elif term:
+                self.odd.append((n, lang, re.compile(rf"\b{re.escape(term)}\b", re.ASCII)))
+
+    def find(self, text: str, lang: str | None) -> list[tuple[int, int, int]]:
+        """(rule, place, length) in order of places, then rules; occurrences of one rule don't overlap."""
+        tables = [t for t in (self.first.get(None), self.first.get(lang) if lang is not None else None) if t]
+        out, done = [], {}
+        for m in _WORD.finditer(text) if tables else ():
+            for table in tables:
+                for n, term in table.get(m[0], ()):
+                    at, end = m.start(), m.start() + len(term)
+                    inner = end == m.end() or text.startswith(term, at) and (term[-1:].isalnum() or term[-1] == "_") != (end < len(text) and bool(_WORD.match(text, end)))
+                    if inner and at >= done.get(n, 0):
+                        out.append((n, at, len(term)))
+                        done[n] = end
+        out += [(n, m.start(), len(m[0])) for n, own, pattern in self.odd if own in (None, lang) for m in pattern.finditer(text)]
+        return sorted(out, key=lambda x: (x[1], x[0]))
+
+
+def _hits(docs: DataFrame, rules: list[Rule], id_col: str, text_col: str, lang_col: str | None, counted: bool) -> DataFrame:
+    """(id, rule, at, fragment) of every match, or (id, rule, n) of every rule that matches."""
+    matcher = _Matcher(rules, lang_col is not None)
+    lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
+    source = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.coalesce(X.for_words(F.col(text_col)), F.lit("")).alias("norm"), lang.alias("lang"))
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            rows, places = [], []
+            for place, (text, norm, own) in enumerate(zip(*(b.column(c).to_pylist() for c in ("text", "norm", "lang")), strict=True)):
+                found = matcher.find(norm, own)
+                each = sorted(Counter(n for n, _, _ in found).items()) if counted else [(n, at, text[at : at + size]) for n, at, size in found]
+                rows += each
+                places += [place] * len(each)
+            kinds = (pa.int32(), pa.int64()) if counted else (pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(places, pa.int64())), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["id", *names])
+
+    names = ["rule", "n"] if counted else ["rule", "at", "fragment"]
+    out = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL("rule int, n long" if counted else "rule int, at int, fragment string").fields])
+    return source.mapInArrow(batches, out)
+
+
+def _told(rules: list[Rule], *names: str) -> list[Column]:
+    """Columns of the rule that a row's number tells."""
+    known = F.array(*(F.struct(*(F.lit(getattr(r, k)).alias(k) for k in names)) for r in rules))
+    return [F.element_at(known, F.col("rule") + 1)[k].alias(k) for k in names]
 
 
 def counts(docs: DataFrame, rules: list[Rule], id_col: str, text_col: str = "text", lang_col: str | None = None) -> DataFrame:
     """(id, term, kind, severity, n): how often each rule's term stands in each text, where it does."""
-    lang = F.col(lang_col) if lang_col else None
-    source = docs.select(id_col, *([lang_col] if lang_col else []), X.for_words(F.col(text_col)).alias("norm"))
-    each = F.array(*(F.struct(F.lit(r.term).alias("term"), F.lit(r.kind).alias("kind"), F.lit(r.severity).alias("severity"), _count(F.col("norm"), r, lang).alias("n")) for r in rules))
-    return source.select(id_col, F.explode(F.filter(each, lambda x: x["n"] > 0)).alias("r")).select(id_col, "r.*")
-
-
-def _places(norm: Column, term: str) -> Column:
-    """Where a term stands, from zero: matches have the term's length, so places follow from what lies between."""
-    parts = F.transform(F.split(norm, X.term_pattern(term)), lambda x: F.length(x))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    step = lambda acc, n: F.struct((acc["at"] + n + len(term)).alias("at"), F.concat(acc["out"], F.array(acc["at"] + n)).alias("out"))
-    return F.aggregate(F.slice(parts, 1, F.size(parts) - 1), start, step, lambda acc: acc["out"])
+    return _hits(docs, rules, id_col, text_col, lang_col, True).select(F.col("id").alias(id_col), *_told(rules, "term", "kind", "severity"), "n")
 
 
 def findings(docs: DataFrame, rules: list[Rule], id_col: str, text_col: str = "text", lang_col: str | None = None, longest: int | None = None) -> DataFrame:
-    """(id, kind, severity, term, pos, fragment, message, suggestion) of every match, and of every sentence of over
-    ``longest`` words. Terms are matched without case and accents between word borders; rules may overlap."""
-    keep = list(dict.fromkeys([id_col, *([lang_col] if lang_col else [])]))
-    source = docs.select(*keep, F.col(text_col).alias("_text"), X.for_words(F.col(text_col)).alias("_norm"))
-    each = []
-    for n, r in enumerate(rules):
-        places = F.when(F.col(lang_col) == r.lang, _places(F.col("_norm"), r.term)).otherwise(F.array().cast("array<int>")) if r.lang and lang_col else _places(F.col("_norm"), r.term)
-        each.append(F.struct(F.lit(n).alias("rule"), *(F.lit(v).alias(k) for k, v in (("kind", r.kind), ("severity", r.severity), ("term", r.term), ("message", r.message), ("suggestion", r.suggestion))), places.alias("at")))
-    hits = source.select(id_col, "_text", F.explode(F.array(*each)).alias("r")).where(F.size("r.at") > 0)
-    found = hits.select(id_col, "_text", "r.kind", "r.severity", "r.term", "r.message", "r.suggestion", F.explode("r.at").alias("pos"))
-    out = found.select(id_col, "kind", "severity", "term", "pos", F.expr("substring(_text, pos + 1, length(term))").alias("fragment"), "message", "suggestion")
-    return out.unionByName(long_sentences(docs, longest, id_col, text_col)) if longest else out
+    """(id, kind, severity, term, pos, fragment, message, suggestion, rule) of every match, and of every sentence of over
+    ``longest`` words. Terms are matched without case and accents between word borders; rules may overlap. rule is the
+    place of the rule among ``rules``, and their number for sentences; findings of a text are in order by pos, then rule."""
+    found = _hits(docs, rules, id_col, text_col, lang_col, False)
+    out = found.select(F.col("id").alias(id_col), *_told(rules, "kind", "severity", "term"), F.col("at").alias("pos"), "fragment", *_told(rules, "message", "suggestion"), "rule")
+    return out.unionByName(long_sentences(docs, longest, id_col, text_col).withColumn("rule", F.lit(len(rules)))) if longest else out
+
+
+def record_findings(records: DataFrame, style: Style, id_col: str, fields: list[str], level: str | None = None) -> DataFrame:
+    """(id, field, kind, severity, pos, fragment, message, suggestion) of structured findings: fields that are missing, a level that isn't valid, and
+    the findings of every text field. pos is -1 where a field as a whole is meant. Fields that the style asks for and the table hasn't count as missing."""
+    blank = lambda f: X.strip(F.coalesce(F.col(f).cast("string"), F.lit(""))) == "" if f in records.columns else F.lit(True)
+    said = [
+        F.struct(
+            F.lit(f).alias("field"), F.lit("structure").alias("kind"), F.lit("error" if must else "warning").alias("severity"), F.lit(-1).alias("pos"), F.lit(f).alias("fragment"),
+            F.lit(f"Falta el campo obligatorio «{f}» ({told})." if must else f"Campo «{f}» pendiente ({told}).").alias("message"), F.lit("Completar antes de volcar al informe." if must else "").alias("suggestion"), blank(f).alias("hit"),
+        )
+        for f, told, must in style.fields
+    ]
+    if level and style.levels:
+        value = X.strip(F.regexp_replace(F.coalesce(F.col(level), F.lit("")), r"\(propuesto por el modelo, sin evidencia en PT\)", ""))
+        shown = F.concat(F.upper(F.left(value, F.lit(1))), F.lower(F.substring(value, 2, 1 << 30)))
+        wrong = F.lit(f"Nivel de riesgo no válido. Valores permitidos: {', '.join(style.levels)}.")
+        said.append(F.struct(F.lit(level).alias("field"), F.lit("structure").alias("kind"), F.lit("error").alias("severity"), F.lit(-1).alias("pos"), shown.alias("fragment"), wrong.alias("message"), F.lit("").alias("suggestion"), ((shown != "") & ~shown.isin(style.levels)).alias("hit")))
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields)))
+    texts = records.select(F.col(id_col).alias("_i"), each.alias("_f")).where(X.strip(F.coalesce("_f.text", F.lit(""))) != "").select(F.struct(F.col("_i").alias("i"), F.col("_f.field").alias("f")).alias("_k"), F.col("_f.text").alias("_t"))
+    found = findings(texts, style.rules, "_k", "_t", longest=style.longest)
+    prose = found.select(F.col("_k.i").alias(id_col), F.col("_k.f").alias("field"), "kind", "severity", "pos", "fragment", F.concat(F.lit("["), "_k.f", F.lit("] "), "message").alias("message"), "suggestion")
+    if not said:
+        return prose
+    whole = records.select(id_col, F.explode(F.filter(F.array(*said), lambda x: x["hit"])).alias("s")).select(id_col, *(f"s.{c}" for c in prose.columns[1:]))
+    return whole.unionByName(prose)
 
 
 def long_sentences(docs: DataFrame, longest: int, id_col: str, text_col: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import diff, edits, layout, meetings, reports
+from docloom.operators import diff, edits, layout, lint, meetings, reports, rules
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,7 +94,21 @@ def meeting_files(spark, sf_dir):
     return found.select("folder", "origin", "newest", F.array_join("minutes", ",").alias("minutes"), F.array_join("transcripts", ",").alias("transcripts"))
 
 
-QUERIES = {f.__name__: f for f in (report_entries, report_heads, report_changes, section_alignment, unified_diff, reading_order, meeting_files)}
+STYLE = rules.from_config({
+    "palabras_prohibidas": [{"termino": "Balance of", "motivo": "Say which.", "sugerencia": "Balance at closing"}],
+    "tono": {"expresiones_a_cuestionar": [{"termino": "balance", "alternativa": "position"}, {"termino": "not: a", "alternativa": ""}], "adjetivos_a_cuestionar": [{"termino": "second"}]},
+    "reglas": {"longitud_maxima_frase": 7, "niveles_riesgo_validos": ["Crítico", "Alto", "Medio"]},
+    "estructura_conclusion": [{"campo": "owner", "descripcion": "who"}, {"campo": "due", "descripcion": "when", "requerido": False}],
+})
+
+
+def record_lint(spark, sf_dir):
+    """Findings of all fields of the reports' entries, counted by kind and field."""
+    found = lint.record_findings(_reports(spark, sf_dir)[1], STYLE, "number", ["title", "incidence", "details", "consequences", "recommendation"], "risk")
+    return found.groupBy(F.col("number").alias("entry"), "field", "kind", "severity").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
+
+
+QUERIES = {f.__name__: f for f in (report_entries, report_heads, report_changes, section_alignment, unified_diff, reading_order, meeting_files, record_lint)}
 
 _ENTRIES = r"""
     SELECT c_nationkey AS report, CASE WHEN c_custkey % 3 = 0 THEN 'suggestion' ELSE 'recommendation' END AS kind, CAST(c_custkey AS INTEGER) AS num,
@@ -151,4 +165,14 @@ ORACLES = {
         r AS (SELECT a.folder, a.key, arg_min(b.key, length(b.key)) AS root FROM d a JOIN d b ON a.folder = b.folder AND starts_with(a.key, b.key) GROUP BY a.folder, a.key)
         SELECT folder, root AS origin, replace(left(max(name), 16), '_', ' ') AS newest, coalesce(string_agg(name, ',' ORDER BY name DESC) FILTER (kind = 'm'), '') AS minutes,
                coalesce(string_agg(name, ',' ORDER BY name DESC) FILTER (kind = 't'), '') AS transcripts FROM k JOIN r USING (folder, key) WHERE kind IS NOT NULL GROUP BY folder, root""",
+    "record_lint": f"""WITH e AS ({_ENTRIES}), t AS (SELECT num, 'incidence' AS field, incidence AS text FROM e UNION ALL SELECT num, 'details', details FROM e)
+        SELECT num AS entry, 'owner' AS field, 'structure' AS kind, 'error' AS severity, 1::BIGINT AS n, -1::INTEGER AS first_pos FROM e WHERE owner = ''
+        UNION ALL SELECT num, 'due', 'structure', 'warning', 1, -1 FROM e
+        UNION ALL SELECT num, 'risk', 'structure', 'error', 1, -1 FROM e WHERE risk = 'Bajo'
+        UNION ALL SELECT num, 'incidence', 'forbidden', 'error', 1, 0 FROM e
+        UNION ALL SELECT num, 'incidence', 'tone', 'warning', 2, 0 FROM e
+        UNION ALL SELECT num, 'details', 'tone', 'warning', 1, CAST(strpos(details, 'Balance') - 1 AS INTEGER) FROM e WHERE details <> ''
+        UNION ALL SELECT num, field, 'long_sentence', 'warning', count(*), CAST(min(strpos(text, s) - 1) AS INTEGER) FROM (
+            SELECT num, field, text, unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM t)
+            WHERE len(list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> '')) > 7 GROUP BY num, field""",
 }

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import external
 from docloom.functions import text as X
-from docloom.operators import budget, diff, edits, lint, markdown, matching, patch, publishing, reports
+from docloom.operators import budget, diff, edits, lint, markdown, matching, patch, publishing, reports, rules
 from docloom.sources import readers
 from docloom.streaming import incremental
 
@@ -83,6 +83,42 @@ def test_lines_written_anew():
     assert diff.compared_lines(None, None) == []
 
 
+def test_lint_reads_words_once(spark):
+    """Terms of several words, terms within others, terms that don't begin with a word, accents, borders; against a scan a term."""
+    terms = ["mal", "mal hecho", "hecho", "la la", "ñandú", "no: a", "%", "(x)", "de_la", "ab"]
+    rows = [(1, "Mal hecho, MAL  hecho; malo. la la la la, ñandú Nandu ñandúes"), (2, "no: a no: ab %b a%b (x) b(x)c de_la ab ab_ é"), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "i int, text string")
+    rules = [lint.Rule(t) for t in terms]
+    got = sorted((r["i"], r["rule"], r["pos"], r["fragment"]) for r in lint.findings(docs, rules, "i").collect())
+    plain = []
+    for i, text in rows:
+        norm = lint._folded(text or "")
+        plain += [(i, n, m.start(), text[m.start() : m.end()]) for n, t in enumerate(terms) for m in re.finditer(rf"\b{re.escape(lint._folded(t))}\b", norm, re.ASCII)]
+    assert got == sorted(plain) and len(got) > 12
+    counted = {(r["i"], r["term"]): r["n"] for r in lint.counts(docs, rules, "i").collect()}
+    assert counted == {(i, t): n for i, _ in rows for k, t in enumerate(terms) if (n := sum(1 for p in plain if p[:2] == (i, k)))}
+
+
+def test_style_of_a_file(spark):
+    yaml = pytest.importorskip("yaml")
+    text = yaml.safe_dump({
+        "palabras_prohibidas": [{"termino": "siempre", "motivo": "Absoluto.", "sugerencia": "en los casos analizados"}], "primera_persona": ["yo"],
+        "tono": {"expresiones_a_cuestionar": [{"termino": "falta de", "alternativa": "oportunidades"}]}, "reglas": {"longitud_maxima_frase": 6, "niveles_riesgo_validos": ["Alto", "Medio"]},
+        "estructura_conclusion": [{"campo": "titulo", "descripcion": "Título"}, {"campo": "plazo", "descripcion": "Plazo", "requerido": False}, {"campo": "otro", "descripcion": "?"}],
+    })
+    style = rules.load(text)
+    assert [(r.term, r.kind, r.severity) for r in style.rules] == [("siempre", "forbidden", "error"), ("yo", "first_person", "error"), ("falta de", "tone", "warning")]
+    assert rules.load("") == rules.Style([]) and style.longest == 6
+    with pytest.raises(ValueError, match="term"):
+        rules.from_config({"primera_persona": [3]})
+    records = spark.createDataFrame([("C-01", "Siempre", "Falta de control. Una frase de más de seis palabras en total.", "alto (propuesto por el modelo, sin evidencia en PT)"), ("C-02", " ", None, "Nulo")], "id string, titulo string, incidencia string, nivel string")
+    got = {(r["id"], r["field"], r["kind"], r["severity"]) for r in lint.record_findings(records, style, "id", ["titulo", "incidencia"], "nivel").collect()}
+    assert got == {
+        ("C-01", "titulo", "forbidden", "error"), ("C-01", "incidencia", "tone", "warning"), ("C-01", "incidencia", "long_sentence", "warning"), ("C-01", "plazo", "structure", "warning"), ("C-01", "otro", "structure", "error"),
+        ("C-02", "titulo", "structure", "error"), ("C-02", "plazo", "structure", "warning"), ("C-02", "otro", "structure", "error"), ("C-02", "nivel", "structure", "error"),
+    }
+
+
 def test_edit_scripts():
     def plain(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
