@@ -88,10 +88,38 @@ def content_tokens(x: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(fold(x), F.lit(r"([a-z0-9€%]{4,})"), 1))
 
 
+# Fixed value: what counts as a figure, date, percentage or code; a bracket after it tells numbers of a list.
+FIGURE = r"(?:\d[\d.,:/%]*|[A-Z]{2,}[A-Z\d-]*-\d+)\)?"
+
+
 def figures(x: Column) -> Column:
-    """Distinct numbers and codes: runs that hold a digit, without stops at their ends; «1)» and «12)» are no figures."""
-    found = F.regexp_extract_all(F.regexp_replace(x, r"(?<![\w.,/%-])\d{1,2}\)", " "), F.lit(r"([\w€$%][\w.,:/%€$-]*)"), 1)
-    return F.array_distinct(F.filter(F.transform(found, lambda v: F.regexp_replace(v, r"^[.,:]+|[.,:]+$", "")), lambda v: v.rlike(r"\d")))
+    """Distinct figures and codes, without stops at their ends; «1)» and «12)» are no figures."""
+    found = F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(FIGURE), 0)
+    listed = r"^\d{1,2}[.,:]*\)$"
+    bare = F.transform(F.filter(found, lambda v: ~F.regexp_like(v, F.lit(listed))), lambda v: F.regexp_replace(v, r"^[.,:]+|[.,:]*\)?$", ""))
+    return F.array_distinct(F.filter(bare, lambda v: v != ""))
+
+
+def lost_figures(before: Column, after: Column) -> Column:
+    """Figures of a text that another hasn't, sorted."""
+    return F.array_sort(F.array_except(figures(before), figures(after)))
+
+
+def n_terms(x: Column) -> Column:
+    """Number of runs of letters, digits and underscores."""
+    return F.regexp_count(F.coalesce(x, F.lit("")), F.lit(r"[\p{L}\p{N}_]+"))
+
+
+def shortening_refused(before: Column, after: Column, fixed: tuple[str, ...] = (), errors: Column | None = None) -> Column:
+    """Why a shortened text isn't taken, or null: there was nothing to shorten, nothing is left, it is longer, it loses figures or a fixed phrase, or it has
+    lint errors (their number, if given)."""
+    empty = lambda c: strip(F.coalesce(c, F.lit(""))) == ""
+    lost = lost_figures(before, after)
+    why = F.when(empty(before), F.when(~empty(after), "nothing to shorten")).when(empty(after), "empty").when(n_terms(after) > n_terms(before), "longer")
+    why = why.when(F.size(lost) > 0, F.concat(F.lit("lost figures: "), F.array_join(F.slice(lost, 1, 6), ", ")))
+    for phrase in fixed:
+        why = why.when(F.contains(before, F.lit(phrase)) & ~F.contains(after, F.lit(phrase)), f"lost phrase: {phrase[:40]}")
+    return why if errors is None else why.when(errors > 0, "against the style")
 
 
 def code_id(x: Column, prefix: str = "C") -> Column:

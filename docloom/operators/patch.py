@@ -25,8 +25,8 @@ def loose(text: str) -> str:
     return " ".join(plain.translate(_QUOTES).split()).strip("' .")
 
 
-#: A heading's number or code, and what sets it apart from the title. Fixed values.
-_NUMBER = re.compile(r"((?:[a-z]+-)?\d+(?:\.\d+)*)\s*[.):·–-]*\s*")
+#: A heading's code or number, of which the first figures count, and what sets it apart from the title. Fixed value.
+_NUMBER = re.compile(r"(?:(?:obs|c)-)?(\d+)(?:\.\d+)*\b\s*[.):·–-]*\s*")
 #: Least likeness of a heading to the section asked for, and that of one whose words hold the other's. Fixed values.
 LEAST_LIKE, HOLDS = 0.6, 0.9
 _STOP = re.compile(r"(?<=[.!?])\s+")
@@ -57,7 +57,7 @@ def sections(text: str) -> list[Section]:
 
 
 def likeness(title: str, asked: str) -> float:
-    """How like a heading is to the section asked for: 0 if both have numbers and they differ, 1 if they say the same."""
+    """How like a heading is to the section asked for: 0 if both have numbers and they differ as numbers, 1 if they say the same."""
     title, asked = loose(title), loose(asked.strip().lstrip("#"))
     if not asked or title == asked:
         return float(bool(asked))
@@ -71,7 +71,7 @@ def likeness(title: str, asked: str) -> float:
 
 def _numbered(heading: str) -> tuple[str, str]:
     m = _NUMBER.match(heading)
-    return (m[1], heading[m.end() :]) if m else ("", heading)
+    return (str(int(m[1])), heading[m.end() :]) if m else ("", heading)
 
 
 def section_range(text: str, section: str) -> tuple[int, int] | None:

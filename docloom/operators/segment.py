@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions import text as X
 
@@ -13,31 +15,31 @@ def lines(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     return docs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("line", "text")).select(id_col, (F.col("line") + 1).alias("line"), "text")
 
 
+def _paragraphs(text: str | None) -> list[dict]:
+    out: list[tuple[int, list[str]]] = []
+    cut = True
+    for n, line in enumerate(text.split("\n") if text is not None else (), 1):
+        if not line.strip():
+            cut = True
+        elif not line.lstrip().startswith(">"):
+            if cut:
+                out.append((n, []))
+            out[-1][1].append(line)
+            cut = False
+    return [{"line": n, "text": "\n".join(own)} for n, own in out]
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("text", T.StringType())])))
+def _cut(texts: pd.Series) -> pd.Series:
+    return pd.Series([_paragraphs(t) for t in texts])
+
+
 def paragraphs(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(id, line, text): stretches of lines between blank ones, with the number of the first; quoted lines left out.
 
-    Built within each row, so no shuffle: blank lines cut the text, and a paragraph's first line is counted from what
-    stands before it.
+    Built within each row, so no shuffle, in time with its length.
     """
-    marked = F.transform(F.split(text_col, "\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
-    empty = F.array().cast("array<struct<line:int,text:string>>")
-    step = lambda acc, x: F.when(
-        F.trim(x["text"]) == "", F.struct(acc["done"].alias("done"), F.lit(True).alias("cut"))
-    ).when(
-        F.ltrim(x["text"]).startswith(">"), acc
-    ).when(
-        acc["cut"], F.struct(F.concat(acc["done"], F.array(x)).alias("done"), F.lit(False).alias("cut"))
-    ).otherwise(
-        F.struct(
-            F.concat(
-                F.slice(acc["done"], 1, F.size(acc["done"]) - 1),
-                F.array(F.struct(F.element_at(acc["done"], -1)["line"].alias("line"), F.concat_ws("\n", F.element_at(acc["done"], -1)["text"], x["text"]).alias("text"))),
-            ).alias("done"),
-            F.lit(False).alias("cut"),
-        )
-    )
-    found = F.aggregate(marked, F.struct(empty.alias("done"), F.lit(True).alias("cut")), step, lambda acc: acc["done"])
-    return docs.select(id_col, F.explode(found).alias("p")).select(id_col, "p.line", "p.text")
+    return docs.select(id_col, F.explode(_cut(text_col)).alias("p")).select(id_col, "p.line", "p.text")
 
 
 def sentences(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:

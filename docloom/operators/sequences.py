@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def first_k(rows: DataFrame, key: str, order: list[str], k: int) -> DataFrame:
@@ -29,20 +31,27 @@ def merged_runs(rows: DataFrame, key: str, order: list[str], same: list[str], te
     return cut.groupBy(key, "run", *same).agg(F.count("*").alias("n"), F.array_join(F.transform(ordered, lambda x: x["_t"]), " ").alias(text))
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("m", T.LongType())])))
+def _apart(spans: pd.Series) -> pd.Series:
+    out = []
+    for row in spans:
+        kept, to = [], None
+        for x in row:
+            if to is None or x["s"] >= to:
+                kept.append(x)
+                to = -x["m"]
+        out.append(kept)
+    return pd.Series(out)
+
+
 def highlights(spans: DataFrame, key: str, start: str = "start", end: str = "end") -> DataFrame:
     """Spans that don't overlap: in order of start, the longest first, each kept if it begins after the last one kept ends.
 
-    A key's spans are folded within one row, as every choice depends on the one before.
+    A key's spans are gathered, as numbers, as every choice depends on the one before.
     """
-    ordered = F.array_sort(F.collect_set(F.struct(F.col(start).alias("s"), (-F.col(end)).alias("m"))))
-    begin = F.struct(F.lit(-1).cast("long").alias("to"), F.array().cast("array<struct<s:bigint,e:bigint>>").alias("out"))
-
-    def step(acc, x):
-        taken = F.struct((-x["m"]).cast("long").alias("to"), F.concat(acc["out"], F.array(F.struct(x["s"].cast("long").alias("s"), (-x["m"]).cast("long").alias("e")))).alias("out"))
-        return F.when(x["s"] >= acc["to"], taken).otherwise(acc)
-
-    kept = spans.groupBy(key).agg(F.aggregate(ordered, begin, step, lambda acc: acc["out"]).alias("_k"))
-    return kept.select(key, F.explode("_k").alias("x")).select(key, F.col("x.s").alias(start), F.col("x.e").alias(end))
+    ordered = F.array_sort(F.collect_set(F.struct(F.col(start).cast("long").alias("s"), (-F.col(end)).cast("long").alias("m"))))
+    kept = spans.groupBy(key).agg(ordered.alias("_s")).select(key, F.explode(_apart("_s")).alias("x"))
+    return kept.select(key, F.col("x.s").alias(start), (-F.col("x.m")).alias(end))
 
 
 def keyed_merge(old: DataFrame, new: DataFrame, key: str, value: str, order: str) -> DataFrame:

@@ -77,6 +77,6 @@ def deleted(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def rewritten(texts: DataFrame, paragraphs: DataFrame, answers: DataFrame, key: str, ident: str) -> DataFrame:
-    """(key, ident, rewritten text) of the answers whose paragraph still stands in the text."""
-    own = paragraphs.select(key, ident, F.col("paragraph"))
-    return answers.join(own, [key, ident]).join(texts, key).where(F.contains("text", "paragraph")).select(key, ident, "answer")
+    """(key, ident, answer) of the answers whose paragraph still stands in the text. A text's paragraphs are gathered next to it, so that it is moved once."""
+    asked = answers.join(paragraphs.select(key, ident, "paragraph"), [key, ident]).groupBy(key).agg(F.collect_list(F.struct(ident, "answer", "paragraph")).alias("_a"))
+    return texts.select(key, "text").join(asked, key).select(key, F.explode(F.filter("_a", lambda a: F.contains(F.col("text"), a["paragraph"]))).alias("_a")).select(key, f"_a.{ident}", "_a.answer")

@@ -46,7 +46,8 @@ def interval_overlap_anti(spark, sf_dir):
 
 def best_runs(spark, sf_dir):
     runs = transcripts.turns(_speech(spark, sf_dir), "user_id", ["b", "event_id"], "speaker", "b", "e")
-    best = transcripts.best_run(runs, "user_id", "speaker", "b", "e", F.col("n") > 1, 1.0, 9_000_000_000.0)
+    clean = transcripts.overlap_free(runs, "user_id", "island", "speaker", "b", "e", 3_600_000_000).select("user_id", "island", F.lit(True).alias("clean"))
+    best = transcripts.best_run(runs.join(clean, ["user_id", "island"], "left"), "user_id", "speaker", "b", "e", F.coalesce("clean", F.lit(False)), 1.0, 9_000_000_000.0)
     return best.select("user_id", "speaker", "b", F.col("clip_s").cast("long").alias("clip"))
 
 
@@ -57,7 +58,7 @@ def top_voices(spark, sf_dir):
 
 def part_offsets(spark, sf_dir):
     li = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("part"), F.col("l_quantity").alias("start"), (F.col("l_quantity") + 1).alias("end"))
-    offsets = spark.range(1, 4).select(F.col("id").cast("int").alias("part"), (F.col("id") * 300.0).alias("offset_s"))
+    offsets = spark.range(1, 8).select(F.col("id").cast("int").alias("part"), (F.col("id") * 300.0).alias("offset_s"))
     return transcripts.global_times(li, offsets).select("l_orderkey", "part", "start", "end")
 
 
@@ -72,11 +73,10 @@ def asof_forward(spark, sf_dir):
 
 
 def alias_chain(spark, sf_dir):
-    """Nations as speakers: a key that is no multiple of five merges with the next smaller; 5 and 6 point at one another."""
-    n = _t(spark, sf_dir, "nation")
-    target = F.when(F.col("n_nationkey") == 5, 6).when(F.col("n_nationkey") == 6, 5).when(F.col("n_nationkey") % 5 != 0, F.col("n_nationkey") - 1)
-    name = F.when(F.col("n_nationkey") == 20, "").otherwise(F.col("n_name"))
-    decisions = n.select(F.col("n_nationkey").alias("ident"), name.alias("name"), target.cast("int").alias("target"), (F.col("n_nationkey") == 10).alias("ignored"))
+    """Customers as speakers: a key that is no multiple of five merges with the next smaller; of each hundred the fifth and sixth point at one another."""
+    c, k = _t(spark, sf_dir, "customer"), F.col("c_custkey")
+    target = F.when(k % 100 == 5, k + 1).when(k % 100 == 6, k - 1).when(k % 5 != 0, k - 1)
+    decisions = c.select(k.alias("ident"), F.when(k % 20 == 0, "").otherwise(F.col("c_name")).alias("name"), target.alias("target"), (k % 10 == 0).alias("ignored"))
     return transcripts.resolve_aliases(decisions)
 
 
@@ -281,12 +281,12 @@ ORACLES = {
     "relevant_speakers": f"WITH {_S} SELECT user_id, speaker, CAST(sum(greatest(e - b, 0)) AS BIGINT) AS total FROM s GROUP BY user_id, speaker HAVING sum(greatest(e - b, 0)) >= 3000000000 OR speaker = 'purchase'",
     "interval_overlap_anti": f"WITH {_S} SELECT user_id, event_id, speaker FROM s WHERE NOT EXISTS (SELECT 1 FROM s AS o WHERE o.user_id = s.user_id AND o.b < s.e AND o.e > s.b AND o.speaker <> s.speaker)",
     "best_runs": f"""WITH {_S}, {_ISL}, r AS (SELECT user_id, island, speaker, count(*) AS n, min(b) AS b, max(e) AS e FROM i GROUP BY user_id, island, speaker)
-        SELECT user_id, speaker, b, CAST(least(greatest(e - b, 1), 9000000000) AS BIGINT) AS clip FROM r QUALIFY row_number() OVER (PARTITION BY user_id, speaker ORDER BY (n > 1) DESC, e - b DESC, b) = 1""",
+        SELECT user_id, speaker, b, CAST(least(greatest(e - b, 1), 9000000000) AS BIGINT) AS clip FROM r QUALIFY row_number() OVER (PARTITION BY user_id, speaker ORDER BY EXISTS (SELECT 1 FROM r AS o WHERE o.user_id = r.user_id AND o.b < r.e AND o.e > r.b AND o.speaker <> r.speaker), e - b DESC, b) = 1""",
     "top_voices": "SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id DESC LIMIT 4",
-    "part_offsets": 'SELECT l_orderkey, l_linenumber AS part, round(l_quantity + l_linenumber * 300.0::DOUBLE, 2) AS start, round(l_quantity + 1 + l_linenumber * 300.0::DOUBLE, 2) AS "end" FROM lineitem WHERE l_linenumber BETWEEN 1 AND 3',
+    "part_offsets": 'SELECT l_orderkey, l_linenumber AS part, round(l_quantity + l_linenumber * 300.0::DOUBLE, 2) AS start, round(l_quantity + 1 + l_linenumber * 300.0::DOUBLE, 2) AS "end" FROM lineitem',
     "asof_backward": f"WITH {_S} SELECT p.user_id, p.event_id, o.event_id AS before FROM (SELECT * FROM s WHERE speaker = 'purchase') p ASOF LEFT JOIN (SELECT * FROM s WHERE speaker <> 'purchase') o ON p.user_id = o.user_id AND p.b >= o.b",
     "asof_forward": f"WITH {_S} SELECT p.user_id, p.event_id, o.event_id AS after_id FROM (SELECT * FROM s WHERE speaker = 'purchase') p ASOF LEFT JOIN (SELECT * FROM s WHERE speaker <> 'purchase') o ON p.user_id = o.user_id AND p.b < o.b",
-    "alias_chain": """WITH RECURSIVE d AS (SELECT n_nationkey AS ident, CASE WHEN n_nationkey = 20 THEN '' ELSE n_name END AS name, CASE WHEN n_nationkey = 5 THEN 6 WHEN n_nationkey = 6 THEN 5 WHEN n_nationkey % 5 <> 0 THEN n_nationkey - 1 END AS target, n_nationkey = 10 AS ignored FROM nation),
+    "alias_chain": """WITH RECURSIVE d AS (SELECT c_custkey AS ident, CASE WHEN c_custkey % 20 = 0 THEN '' ELSE c_name END AS name, CASE WHEN c_custkey % 100 = 5 THEN c_custkey + 1 WHEN c_custkey % 100 = 6 THEN c_custkey - 1 WHEN c_custkey % 5 <> 0 THEN c_custkey - 1 END AS target, c_custkey % 10 = 0 AS ignored FROM customer),
         r AS (SELECT ident, ident AS at_id, 0 AS k FROM d UNION ALL SELECT r.ident, CASE WHEN d.target IS NOT NULL AND NOT d.ignored THEN d.target ELSE r.at_id END, k + 1 FROM r JOIN d ON d.ident = r.at_id WHERE k < 10)
         SELECT r.ident, CASE WHEN NOT d.ignored AND d.target IS NULL AND d.name <> '' THEN d.name END AS name, CASE WHEN d.ignored THEN 'ignored' WHEN d.target IS NOT NULL THEN 'cycle' WHEN d.name = '' THEN 'unresolved' ELSE 'named' END AS status
         FROM r JOIN d ON d.ident = r.at_id WHERE k = 10""",

@@ -125,22 +125,18 @@ def token_recall(spark, sf_dir):
     return p.select("doc_id", shared.cast("long").alias("shared"), F.size("b").cast("long").alias("base"), ((F.size("b") == 0) | (shared * 100 >= F.size("b") * 85)).alias("preserved"))
 
 
-_DIGITS = r"\d[\d.,]*\d|\d"
-
-
 def lost_figures(spark, sf_dir):
-    f = lambda c: F.array_distinct(F.regexp_extract_all(F.col(c), F.lit(f"({_DIGITS})"), 1))
-    p = _pairs(spark, sf_dir).select("doc_id", F.array_sort(F.array_except(f("before"), f("after"))).alias("lost"))
+    p = _pairs(spark, sf_dir).select("doc_id", X.lost_figures(F.col("before"), F.col("after")).alias("lost"))
     return p.where(F.size("lost") > 0).select("doc_id", F.size("lost").cast("long").alias("n"), F.array_join(F.slice("lost", 1, 6), ",").alias("lost"))
 
 
 def condense_acceptance(spark, sf_dir):
-    """The first reason for which a shorter version isn't taken: empty, not shorter, or lost figures."""
-    f = lambda c: F.array_distinct(F.regexp_extract_all(F.col(c), F.lit(f"({_DIGITS})"), 1))
-    reason = F.coalesce(
-        F.when(F.trim("after") == "", "empty"), F.when(X.n_words(F.col("after")) >= X.n_words(F.col("before")), "not shorter"), F.when(F.size(F.array_except(f("before"), f("after"))) > 0, "lost figures"), F.lit("accepted")
-    )
-    return _pairs(spark, sf_dir).select("doc_id", reason.alias("reason"))
+    """Why the next document can't stand for one as its shorter version, if it can't: by its length, its figures, a phrase, or the style of its language."""
+    after = _t(spark, sf_dir, "documents").select((F.col("doc_id") - 1).alias("doc_id"), "text", "lang")
+    errors = lint.counts(after, [r for r in RULES if r.severity == "error"], "doc_id", lang_col="lang").groupBy("doc_id").agg(F.sum("n").alias("errors"))
+    judged = _pairs(spark, sf_dir).join(errors, "doc_id", "left")
+    why = X.shortening_refused(F.col("before"), F.col("after"), ("All rights reserved",), F.coalesce("errors", F.lit(0)))
+    return judged.select("doc_id", F.coalesce(why, F.lit("accepted")).alias("reason"))
 
 
 def coverage_check(spark, sf_dir):
@@ -164,7 +160,7 @@ def snippets(spark, sf_dir):
 
 _P = "p AS (SELECT a.doc_id, a.text AS before, b.text AS after FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)"
 _TOK = "list_distinct(regexp_extract_all(strip_accents(lower({})), '[a-z0-9€%]{{4,}}'))"
-_FIG = "list_distinct(regexp_extract_all({}, '\\d[\\d.,]*\\d|\\d'))"
+_FIG = "list_distinct(list_filter(list_transform(list_filter(regexp_extract_all({}, '(?:[0-9][0-9.,:/%]*|[A-Z]{{2,}}[A-Z0-9-]*-[0-9]+)\\)?'), lambda v: NOT regexp_full_match(v, '[0-9]{{1,2}}[.,:]*\\)')), lambda v: regexp_replace(v, '[.,:]*\\)?$', '')), lambda v: v <> ''))"
 _LOST = f"list_filter({_FIG.format('before')}, lambda x: NOT list_contains({_FIG.format('after')}, x))"
 
 ORACLES = {
@@ -194,7 +190,10 @@ ORACLES = {
     "content_tokens": f"SELECT doc_id, CAST(len({_TOK.format('text')}) AS BIGINT) AS n, md5(array_to_string(list_sort({_TOK.format('text')}), ' ')) AS digest FROM documents",
     "token_recall": f"WITH {_P}, t AS (SELECT doc_id, {_TOK.format('before')} AS b, {_TOK.format('after')} AS a FROM p) SELECT doc_id, CAST(len(list_intersect(b, a)) AS BIGINT) AS shared, CAST(len(b) AS BIGINT) AS base, len(b) = 0 OR len(list_intersect(b, a)) * 100 >= len(b) * 85 AS preserved FROM t",
     "lost_figures": f"WITH {_P}, t AS (SELECT doc_id, list_sort({_LOST}) AS l FROM p) SELECT doc_id, CAST(len(l) AS BIGINT) AS n, array_to_string(l[1:6], ',') AS lost FROM t WHERE len(l) > 0",
-    "condense_acceptance": f"WITH {_P} SELECT doc_id, CASE WHEN trim(after) = '' THEN 'empty' WHEN {_WORDS.format('after')} >= {_WORDS.format('before')} THEN 'not shorter' WHEN len({_LOST}) > 0 THEN 'lost figures' ELSE 'accepted' END AS reason FROM p",
+    "condense_acceptance": f"""WITH {_P}, {_LINT}, x AS (SELECT DISTINCT doc_id - 1 AS doc_id FROM f WHERE severity = 'error'), l AS (SELECT *, list_sort({_LOST}) AS lost, doc_id IN (SELECT doc_id FROM x) AS bad FROM p)
+        SELECT doc_id, CASE WHEN regexp_full_match(after, '\\s*') THEN 'empty' WHEN len(regexp_extract_all(after, '[\\p{{L}}\\p{{N}}_]+')) > len(regexp_extract_all(before, '[\\p{{L}}\\p{{N}}_]+')) THEN 'longer'
+            WHEN len(lost) > 0 THEN 'lost figures: ' || array_to_string(lost[1:6], ', ') WHEN contains(before, 'All rights reserved') AND NOT contains(after, 'All rights reserved') THEN 'lost phrase: All rights reserved'
+            WHEN bad THEN 'against the style' ELSE 'accepted' END AS reason FROM l""",
     "coverage_check": """WITH w AS (SELECT list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') AS w FROM documents),
         i AS (SELECT item_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')[1:5], ' ') AS key FROM benchmark)
         SELECT item_id, key FROM i WHERE NOT EXISTS (SELECT 1 FROM w WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' ' || key || ' '))""",

@@ -38,6 +38,21 @@ def test_patch_states(change, state, has):
     assert state != patch.NOT_APPLIED or text == REPORT
 
 
+def test_patch_numbers_are_numbers():
+    text = "## 3. Approver equals requester\n\nSame words.\n\n## 4. Approver equals requester\n\nSame words.\n"
+    for asked in ("03. Approver equals requester", "OBS-03 Approver equals requester", "### 3 - Approver equals requester"):
+        out, results = patch.apply_plan(text, [{"seq": 1, "section": asked, "old": "Same words.", "new": "Other."}])
+        assert results[0]["state"] == patch.APPLIED and out.index("Other.") < out.index("## 4")
+    assert patch.apply_plan(text, [{"seq": 1, "section": "05. Approver equals requester", "old": "Same words.", "new": "x"}])[1][0]["state"] == patch.NOT_APPLIED
+
+
+def test_shortening(spark):
+    rows = [("a 12 b", "a 12"), ("a 12. b", "a b"), ("1) see 12) TMS-10, 3,5%", "TMS-10 3,5%"), ("x", "x y"), ("x", " "), ("", "y"), ("", " "), ("keep this now", "keep that"), ("x y", "bad")]
+    df = spark.createDataFrame(rows, "b string, a string")
+    got = [r[0] for r in df.select(X.shortening_refused(F.col("b"), F.col("a"), ("keep this",), (F.col("a") == "bad").cast("int"))).collect()]
+    assert got == [None, "lost figures: 12", None, "longer", "empty", "nothing to shorten", None, "lost phrase: keep this", "against the style"]
+
+
 def test_patch_order_and_conflict(spark):
     plan = [(1, 2, None, "They were set in 2019.", "b", None), (1, 1, None, "They were set in 2019.", "a", None), (1, 3, None, None, "!", "a"), (2, 1, None, "x", "y", None)]
     changes = spark.createDataFrame(plan, "doc int, seq int, section string, old string, new string, insert_after string")
