@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import external
 from docloom.functions import text as X
-from docloom.operators import budget, diff, edits, lint, markdown, matching, patch, publishing, reports, rules
+from docloom.operators import actions, budget, diff, edits, lint, markdown, matching, patch, publishing, reports, rules
 from docloom.sources import readers
 from docloom.streaming import incremental
 
@@ -134,6 +134,32 @@ def test_style_of_a_file(spark):
     }
 
 
+FOUND = "case int, ident string, state string, kind string, level string, proposed boolean, notes string, test string, title string, recommendation string"
+
+
+def test_findings_corrected_and_regenerated(spark):
+    style = rules.from_config({"palabras_prohibidas": [{"termino": "siempre"}], "estructura_conclusion": [{"campo": "title", "descripcion": "título"}]})
+    rows = [(1, "C-01", "propuesta", "recommendation", "Alto", False, "", "2.1", "Siempre tarde", "Siempre igual"), (1, "C-02", "aprobada", "suggestion", "", False, "Más corto", "", "Bien", ""), (1, "C-03", "descartada", "recommendation", "", False, "", "", "", ""), (1, "C-04", "propuesta", "recommendation", "", False, " ", "", "", ""), (1, "C-05", "propuesta", "recommendation", "", False, None, "", "siempre", "")]
+    found = spark.createDataFrame(rows, FOUND)
+    assert {r["ident"]: r["errors"] for r in actions.reviewed(found, style, ["title"]).collect()} == {"C-01": 1, "C-02": 0, "C-04": 1, "C-05": 1}
+    answers = spark.createDataFrame([(1, "C-01", "Tarde", "Otra", "Sugerencia", "bajo", True), (1, "C-02", "Mejor", "Ya", "recomendación", "ALTO", False), (1, "C-05", "Siempre mal", "x", "", "", None)], "case int, ident string, title string, recommendation string, kind string, level string, supported boolean")
+    got = {r["ident"]: (r["outcome"], r["title"], r["recommendation"]) for r in actions.corrected(found, answers, style, ["title", "recommendation"]).collect()}
+    # the recommendation stays as it was, so its error stays too
+    assert got == {"C-01": ("still wrong", "Tarde", "Siempre igual"), "C-02": ("clean", "Bien", ""), "C-03": ("skipped", "", ""), "C-04": ("unanswered", "", ""), "C-05": ("still wrong", "Siempre mal", "")}
+    assert {r["ident"]: r["outcome"] for r in actions.corrected(found, answers, style, ["title"]).collect()}["C-01"] == "verified"
+    again = {r["ident"]: tuple(r)[2:] for r in actions.regenerated(found, answers, ["title", "recommendation"]).collect()}
+    assert again["C-02"] == ("propuesta", "recommendation", "Alto", True, "", "", "Mejor", "Ya", "regenerated")
+    assert again["C-01"][-1] == again["C-05"][-1] == "kept"
+
+
+def test_drafts_do_not_overwrite(spark):
+    heads = spark.createDataFrame([(1, "", "Old"), (2, "Mine", None), (3, "a", "b")], "id int, introduction string, summary string")
+    answers = spark.createDataFrame([(1, "New", "New"), (2, "New", "New")], "id int, introduction string, summary string")
+    got = lambda **more: {r["id"]: tuple(r)[1:] for r in actions.drafted(heads, answers, "id", **more).collect()}
+    assert got(sections=["introduction", "summary"]) == {1: ("New", "Old", ["introduction"]), 2: ("Mine", "New", ["summary"]), 3: ("a", "b", [])}
+    assert got(sections=["summary"], force=True) == {1: ("", "New", ["summary"]), 2: ("Mine", "New", ["summary"]), 3: ("a", "b", [])}
+
+
 def test_edit_scripts():
     def plain(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
