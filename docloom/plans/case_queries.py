@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.operators import actions, cases, reports
+from docloom.operators import actions, cases, reports, speakers
 from docloom.plans.report_queries import _reports
 
 
@@ -109,10 +109,40 @@ def recommended_findings(spark, sf_dir):
     return found.select("case", "ident", "state", "kind", "title", "recommendation", "outcome")
 
 
+def _recordings(spark, sf_dir):
+    """Users' events as the segments of recordings of two parts, an event type a voice; one type is a known name."""
+    e = _t(spark, sf_dir, "events")
+    at = (F.unix_micros(F.col("ts").cast("timestamp")) % 3_600_000_000) / 1_000_000.0
+    text = F.when(F.col("event_id") % 9 == 0, " ").otherwise(F.col("event_id").cast("string"))
+    segments = e.select(F.col("user_id").alias("recording"), (F.col("event_id") % 2).cast("int").alias("part"), F.round(at, 2).alias("start"), F.round(at + F.floor(F.coalesce("value", F.lit(0.0))) / 10, 2).alias("end"), F.col("event_type").alias("speaker"), text.alias("text"))
+    users = e.select(F.col("user_id").alias("recording")).distinct()
+    both = F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.lit(s).alias("offset_s")) for p, s in ((0, 0.0), (1, 3600.0)))))
+    offsets = users.select("recording", both.alias("o")).select("recording", "o.*").where("part = 0 or recording % 3 <> 0")
+    return segments, offsets, users.select("recording", F.lit("purchase").alias("name"))
+
+
+def voices(spark, sf_dir):
+    segments, offsets, known = _recordings(spark, sf_dir)
+    heard = speakers.voices(speakers.whole(segments, offsets, known), known, 30.0)
+    return heard.select("recording", "speaker", "ident", "known", F.round("seconds", 1).alias("seconds"), "n")
+
+
+def labelled_transcripts(spark, sf_dir):
+    """Turns under final names: the first voice is named, the second merges with it, the third is ignored, others have no name."""
+    segments, offsets, known = _recordings(spark, sf_dir)
+    own = speakers.whole(segments, offsets, known)
+    heard = speakers.voices(own, known, 30.0)
+    others = heard.where("not known").select("recording", "ident")
+    number = F.substring("ident", 9, 2).cast("int")
+    decisions = others.where(number <= 3).select("recording", "ident", F.when(number == 1, "Ana").alias("name"), F.when(number == 2, "SPEAKER_01").alias("target"), (number == 3).alias("ignored"))
+    turns = speakers.transcript(own, speakers.named(heard, decisions))
+    return speakers.written(turns).select("recording", F.md5("text").alias("digest"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        case_listing, trace_tokens, case_status, evidence_inventory, leading_voices, frequent_terms, published_ids, stale_decks, scaled_rows, placed_blocks, report_sections,
+        voices, labelled_transcripts, case_listing, trace_tokens, case_status, evidence_inventory, leading_voices, frequent_terms, published_ids, stale_decks, scaled_rows, placed_blocks, report_sections,
         extracted_findings, uncovered_tests, recommended_findings,
     )
 }
@@ -121,7 +151,19 @@ _F = """f AS (SELECT c_nationkey AS "case", printf('C-%02d', c_custkey) AS ident
         CASE WHEN c_custkey % 3 = 0 THEN 'suggestion' ELSE 'recommendation' END AS kind, ['Crítico', 'Alto', 'Medio', 'Bajo'][CAST(c_custkey % 4 + 1 AS INTEGER)] AS level, c_custkey % 2 = 0 AS proposed, '2.' || c_custkey || ' a) x: y' AS test,
         c_name || ' · 2.1' AS title, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE 'Settle it.' || chr(10) || chr(10) || 'Watch it.' END AS recommendation, c_custkey AS num FROM customer)"""
 
+_V = """p AS (SELECT DISTINCT user_id AS recording FROM events), o AS (SELECT recording, part, part * 3600.0::DOUBLE AS off FROM p, (VALUES (0), (1)) AS x(part) WHERE part = 0 OR recording % 3 <> 0),
+        e AS (SELECT user_id AS recording, CAST(event_id % 2 AS INTEGER) AS part, (epoch_us(ts) % 3600000000) / 1000000.0::DOUBLE AS t, floor(coalesce(value, 0)) / 10 AS len, event_type, event_id FROM events),
+        g AS (SELECT e.recording, e.part, round(round(t, 2) + off, 2) AS b, round(round(t + len, 2) + off, 2) AS f, event_id::VARCHAR AS text,
+                CASE WHEN event_type = 'purchase' OR e.recording % 3 = 0 THEN event_type ELSE event_type || '·p' || (e.part + 1) END AS speaker FROM e JOIN o USING (recording, part) WHERE event_id % 9 <> 0),
+        n AS (SELECT recording, speaker, speaker = 'purchase' AS known, round(sum(greatest(f - b, 0)), 2) AS seconds, count(*) AS n, min((b, part, f)) AS first FROM g GROUP BY recording, speaker HAVING speaker = 'purchase' OR round(sum(greatest(f - b, 0)), 2) >= 30),
+        v AS (SELECT *, CASE WHEN known THEN speaker ELSE printf('SPEAKER_%02d', count(*) FILTER (NOT known) OVER (PARTITION BY recording ORDER BY first, speaker)) END AS ident FROM n)"""
+
 ORACLES = {
+    "voices": f"WITH {_V} SELECT recording, speaker, ident, known, round(seconds, 1) AS seconds, n FROM v",
+    "labelled_transcripts": f"""WITH {_V}, w AS (SELECT g.*, CASE WHEN known THEN g.speaker ELSE 'Ana' END AS name FROM g JOIN v USING (recording, speaker) WHERE known OR ident IN ('SPEAKER_01', 'SPEAKER_02')),
+        i0 AS (SELECT *, CASE WHEN lag(name) OVER (PARTITION BY recording ORDER BY b, part, f) <> name THEN 1 ELSE 0 END AS new FROM w), i AS (SELECT *, sum(new) OVER (PARTITION BY recording ORDER BY b, part, f) AS turn FROM i0),
+        t AS (SELECT recording, turn, name || ': ' || string_agg(text, ' ' ORDER BY b, part, f, text) AS line FROM i GROUP BY recording, turn, name)
+        SELECT recording, md5(string_agg(line, chr(10) ORDER BY turn)) AS digest FROM t GROUP BY recording""",
     "case_listing": "WITH n AS (SELECT user_id, count(*) AS files, max(epoch_us(ts)) AS modified FROM events WHERE event_id % 13 <> 0 AND props IS NOT NULL GROUP BY user_id) SELECT *, CAST(row_number() OVER (ORDER BY modified DESC, user_id) AS INTEGER) AS place FROM n",
     "trace_tokens": "WITH n AS (SELECT event_id, CAST(props::JSON ->> '$.k' AS BIGINT) AS prompt, CASE WHEN event_id % 3 <> 0 THEN event_id END AS answer FROM events) SELECT *, coalesce(prompt, 0) + coalesce(answer, 0) AS total FROM n",
     "case_status": """WITH n AS (SELECT o_custkey, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS n_f, count(*) FILTER (o_orderstatus = 'O') AS n_o, count(*) FILTER (o_orderstatus = 'P') AS n_p,

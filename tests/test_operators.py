@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import external
 from docloom.functions import text as X
-from docloom.operators import actions, budget, diff, edits, lint, markdown, matching, patch, publishing, reports, rules
+from docloom.operators import actions, budget, diff, edits, lint, markdown, matching, patch, publishing, reports, rules, speakers
 from docloom.sources import readers
 from docloom.streaming import incremental
 
@@ -160,6 +160,23 @@ def test_drafts_do_not_overwrite(spark):
     assert got(sections=["summary"], force=True) == {1: ("", "New", ["summary"]), 2: ("Mine", "New", ["summary"]), 3: ("a", "b", [])}
 
 
+def test_speakers_enrolled_and_named(spark):
+    cols = "recording int, part int, start double, end double, speaker string, text string"
+    part = spark.createDataFrame([(1, 0, 0.0, 8.0, "A", "x"), (1, 0, 7.0, 9.0, "B", "x"), (1, 0, 9.0, 10.0, "C", "x"), (1, 0, 10.0, 13.0, "Eva", "x"), (1, 0, 14.0, 17.0, "D", "x"), (1, 0, 18.0, 20.5, "E", "x"), (2, 0, 0.0, 3.0, "A", "x")], cols)
+    known = spark.createDataFrame([(1, "Eva"), (1, "HABLANTE_1")], "recording int, name string")
+    got = {(r["recording"], r["speaker"]): (r["name"], r["start"], r["clip_s"]) for r in speakers.enrolled(part, known).collect()}
+    assert got == {(1, "A"): ("HABLANTE_2", 0.0, 8.0), (1, "D"): ("HABLANTE_3", 14.0, 3.0), (2, "A"): ("HABLANTE_1", 0.0, 3.0)}
+    offsets = spark.createDataFrame([(1, 0, 0.0), (1, 1, 300.0), (2, 0, 0.0)], "recording int, part int, offset_s double")
+    two = part.unionByName(spark.createDataFrame([(1, 1, 0.5, 30.0, "A", " later "), (1, 2, 0.0, 1.0, "A", "failed part"), (1, 1, 2.0, 3.0, "Eva", " ")], cols))
+    own = speakers.whole(two, offsets, known)
+    assert {(r["speaker"], r["start"], r["text"]) for r in own.where("part = 1").collect()} == {("A·p2", 300.5, "later")}
+    heard = speakers.voices(own, known, 5.0)
+    assert {(r["recording"], r["speaker"]): r["ident"] for r in heard.collect()} == {(1, "A·p1"): "SPEAKER_01", (1, "Eva"): "Eva", (1, "A·p2"): "SPEAKER_02"}
+    told = speakers.named(heard, spark.createDataFrame([(1, "SPEAKER_01", "", "SPEAKER_02", False), (1, "SPEAKER_02", " Luis ", None, False)], "recording int, ident string, name string, target string, ignored boolean"))
+    assert {r["speaker"]: (r["name"], r["status"]) for r in told.collect()} == {"A·p1": ("Luis", "named"), "A·p2": ("Luis", "named"), "Eva": ("Eva", "known")}
+    assert speakers.written(speakers.transcript(own, told)).collect()[0]["text"] == "Luis: x\nEva: x\nLuis: later"
+
+
 def test_edit_scripts():
     def plain(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
