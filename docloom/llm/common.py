@@ -100,6 +100,14 @@ def forget(df: DataFrame) -> None:
 FILTER_WORDS = 1 << 17
 
 
+def free_name(taken: list[str], base: str) -> str:
+    """``base``, with underscores before it as long as a column has that name."""
+    known = {c.lower() for c in taken}
+    while base.lower() in known:
+        base = f"_{base}"
+    return base
+
+
 class IdFilter:
     """Which ids a table may hold: one bit of each id's hash. It never denies an id that is there.
 
@@ -114,9 +122,11 @@ class IdFilter:
 
     def split(self, df: DataFrame, col: str, there: bool) -> DataFrame:
         """The rows of df whose id may be there, or those whose id isn't."""
-        hashed = df.withColumn("__h", F.xxhash64(F.col(col).cast("string")))
-        judged = hashed.join(F.broadcast(self.words), F.pmod("__h", F.lit(FILTER_WORDS)) == F.col("__w"), "left")
-        may = F.expr("coalesce(shiftrightunsigned(__b, cast(shiftrightunsigned(__h, 58) as int)) & 1L = 1L, false)")
+        h, w, b = (free_name(df.columns, x) for x in ("__h", "__w", "__b"))
+        hashed = df.withColumn(h, F.xxhash64(F.col(col).cast("string")))
+        words = self.words.select(F.col("__w").alias(w), F.col("__b").alias(b))
+        judged = hashed.join(F.broadcast(words), F.pmod(h, F.lit(FILTER_WORDS)) == F.col(w), "left")
+        may = F.expr(f"coalesce(shiftrightunsigned({b}, cast(shiftrightunsigned({h}, 58) as int)) & 1L = 1L, false)")
         return judged.where(may if there else ~may).select(*df.columns)
 
 

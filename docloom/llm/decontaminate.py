@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_name, stored
 
 #: Bytes of benchmark windows and their items that are broadcast at most; more are joined by shuffle, with the same rows.
 MOST_BROADCAST = 64 << 20
@@ -112,5 +112,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 13, id_col: str = "doc
     text = F.xxhash64(F.col(text_col))
     found = _scanned(docs.where(F.col(id_col).isNotNull()), benchmark, n, F.struct(F.col(id_col).alias("own"), text.alias("text")), text_col)
     # written first, so that its size is known when the join is planned
-    bad = stored(found.where(contaminated(F.col("n_words"), F.col("n_hit"))).select(F.col("id.own").alias("__bad"), F.col("id.text").alias("__bad_text")), "contaminated")
-    return docs.join(bad, (F.col(id_col) == F.col("__bad")) & (text == F.col("__bad_text")), "left_anti")
+    own, hashed = free_name(docs.columns, "__bad"), free_name(docs.columns, "__bad_text")
+    bad = stored(found.where(contaminated(F.col("n_words"), F.col("n_hit"))).select(F.col("id.own").alias(own), F.col("id.text").alias(hashed)), "contaminated")
+    return docs.join(bad, (F.col(id_col) == F.col(own)) & (text == F.col(hashed)), "left_anti")

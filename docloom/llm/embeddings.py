@@ -208,11 +208,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     gives an empty one. All arithmetic is in double precision.
     """
     spark = bounded(vectors.sparkSession)
-    v = F.col(vector_col).cast("array<double>")
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    sound = F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.coalesce(norm.isNotNull() & (norm > 0) & (norm < F.lit(float("inf"))) & ~F.isnan(norm), F.lit(False))
-    named = vectors.select(
-        F.col(id_col), F.col(label_col).cast("string").alias("label"), v.alias("v"), norm.alias("norm"), sound.alias("sound")
+    raw = F.col(vector_col).cast("array<double>")
+    # divided by the greatest component first: squares of very large or small ones would leave the range of numbers
+    most = F.array_max(F.transform("raw", lambda x: F.abs(x)))
+    finite = F.coalesce(~F.exists("raw", lambda x: x.isNull() | F.isnan(x)) & (F.col("most") > 0) & (F.col("most") < F.lit(float("inf"))), F.lit(False))
+    sound = F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & finite
+    scaled = vectors.select(F.col(id_col), F.col(label_col), raw.alias("raw")).withColumn("most", most).withColumn("sound", sound).withColumn("v", F.when(F.col("sound"), F.transform("raw", lambda x: x / F.col("most"))))
+    named = scaled.select(
+        F.col(id_col), F.col(label_col).cast("string").alias("label"), "v", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"), "sound"
     ).withColumns({"h1": F.when(F.col("sound"), F.xxhash64("label", "v")), "h2": F.when(F.col("sound"), F.xxhash64(F.lit(1), "v", "label"))})
     named = stored(named, "vectors")
     classes = named.where("sound").groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(id_col).alias("id"), F.first("label").alias("label"), F.first("v").alias("v"), F.first("norm").alias("norm"))

@@ -31,11 +31,25 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset(
     "address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody tfoot thead tr ul caption legend".split()
 ) | (LEFT_OUT - {"svg", "math", "button"})
-#: Words in class, id or role that mark what isn't the article.
+#: Words in class, id or role that mark what isn't the article, and words that may stand beside them in a name.
 NOT_MAIN = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|sidebar\w*|side|nav|navbar|navigation|menu\w*|breadcrumbs?|footer|header|masthead|topbar|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|"
-    r"comments?|commentlist|replies|respond|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|login|search|widget\w*|pagination|pager|complementary|contentinfo)(?:$|[\s_-])"
+    r"ads?|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|sidebar\w*|side|nav|navbar|navigation|menu\w*|breadcrumbs?|footer|header|masthead|topbar|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|"
+    r"comments?|commentlist|replies|respond|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|login|search|widget\w*|pagination|pager|complementary|contentinfo"
 )
+BESIDE = frozenset(
+    "site main page top bottom left right first last primary secondary global local post posts article articles box block wrap wrapper container outer inner area region section list item items link links bar slot unit button buttons form icons media js".split()
+)
+
+
+def not_main(marks: str) -> bool:
+    """Whether one of the names says that an element isn't the article: a whole name, or its parts, are such words, with none but BESIDE between them."""
+    for name in marks.split():
+        parts = [x for x in re.split(r"[_-]+", name) if x]
+        if any(NOT_MAIN.fullmatch(x) for x in parts) and all(x in BESIDE or x.isdigit() or NOT_MAIN.fullmatch(x) for x in parts):
+            return True
+    return False
+
+
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z|(?=<))|([^<]+)|(<)""", re.S)
 MARKS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 ARTICLE = re.compile(r"""itemprop\s*=\s*["']?articleBody|role\s*=\s*["']?(?:main|article)\b""", re.I)
@@ -94,7 +108,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             at = end.end() if end else len(page)
             continue
         marks = " ".join(filter(None, (x for y in MARKS.findall(m[3]) for x in y))).lower() if m[3] else ""
-        left_out = name in LEFT_OUT or name not in ("html", "body", "article", "main") and bool(marks) and bool(NOT_MAIN.search(marks))
+        left_out = name in LEFT_OUT or name not in ("html", "body", "article", "main") and bool(marks) and not_main(marks)
         left_out = left_out or name == "article" and bool(re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", marks))
         if name in ("p", "li", "option", "tr", "td", "th", "dd", "dt") and stack and stack[-1][0] == name:
             skip -= stack.pop()[1]  # its end tag may be left out

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, text_bytes
+from .common import bounded, free_name, text_bytes
 
 BUCKETS, DIMS, SPARSE, REACH = 1 << 13, 32, 4, 2
 #: Labelled rows that the network is fitted on at most: those with the least hashes of their ids.
@@ -209,8 +209,8 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     return *model.value, Network(x, np.array([r["y"] for r in known], np.float64))
 
 
-def _with_scores(source: DataFrame, model: tuple, data: str) -> DataFrame:
-    """source with column score in place of column ``data``."""
+def _with_scores(source: DataFrame, model: tuple, data: str, score: str) -> DataFrame:
+    """source with column ``score`` in place of column ``data``."""
     shared = source.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in source.columns if c != data]
 
@@ -218,10 +218,10 @@ def _with_scores(source: DataFrame, model: tuple, data: str) -> DataFrame:
         vectors, weight, net = shared.value
         for b in it:
             scores = net(pooled(b.column(data).to_pylist(), vectors, weight).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(scores, pa.float64())], names=[*keep, "__score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(scores, pa.float64())], names=[*keep, score])
 
     bounded(source.sparkSession)
-    return source.mapInArrow(batches, T.StructType([*(source.schema[c] for c in keep), T.StructField("__score", T.DoubleType())]))
+    return source.mapInArrow(batches, T.StructType([*(source.schema[c] for c in keep), T.StructField(score, T.DoubleType())]))
 
 
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
@@ -233,7 +233,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     model = learned(docs, labels, id_col, text_col, label_col, sample)
     source = docs.select(F.col(id_col), F.coalesce(fold(F.col(id_col), 4) == 2, F.lit(False)).alias("held_out"), text_bytes(text_col).alias("__data"))
-    return _with_scores(source, model, "__data").withColumnRenamed("__score", "score")
+    return _with_scores(source, model, "__data", "score")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,5 +242,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.7, id_col: st
     Each row is judged by its own text, where it stands; nothing is joined.
     """
     model = learned(docs, labels, id_col, text_col, "quality", SAMPLE)
-    judged = _with_scores(docs.withColumn("__data", text_bytes(text_col)), model, "__data")
-    return judged.where((F.col("__score") >= least) | F.col(id_col).isNull()).select(*docs.columns)
+    data, score = free_name(docs.columns, "__data"), free_name(docs.columns, "__score")
+    judged = _with_scores(docs.withColumn(data, text_bytes(text_col)), model, data, score)
+    return judged.where((F.col(score) >= least) | F.col(id_col).isNull()).select(*docs.columns)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IdFilter, bounded, per_row, stored, text_bytes
+from .common import IdFilter, bounded, free_name, per_row, stored, text_bytes
 from .components import components
 
 #: First bit and number of bits of each part that is left out in turn.
@@ -146,7 +146,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     groups = near_duplicates(docs.where(F.col(id_col).isNotNull()).select(id_col, text_col), id_col, text_col)
     # written first, so that its size is known when the join is planned
-    dropped = stored(groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__dropped")).distinct(), "dropped")
-    may = IdFilter(dropped, "__dropped")  # documents that can't be among them aren't shuffled
-    judged = may.split(docs, id_col, True).join(dropped, F.col(id_col) == F.col("__dropped"), "left_anti")
+    gone = free_name(docs.columns, "__dropped")
+    dropped = stored(groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct(), "dropped")
+    may = IdFilter(dropped, gone)  # documents that can't be among them aren't shuffled
+    judged = may.split(docs, id_col, True).join(dropped, F.col(id_col) == F.col(gone), "left_anti")
     return judged.unionByName(may.split(docs, id_col, False))

@@ -293,3 +293,14 @@ def test_decontaminate(spark, monkeypatch, limit):
 def test_decontaminate_is_native(spark):
     plan = decontaminate.scan(docs(spark, [(1, "a")]), spark.createDataFrame([(1, "a b")], "item_id long, text string"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_class_names_of_an_article():
+    """Words of menus within other names don't count; whole names and their parts do."""
+    text = "A sentence of the article that is long enough to be read as text, twice over and more."
+    page = lambda name: f"<html><body><div>{'<p>' + text + '</p>'}</div><div class='{name}'><p>{text} Too.</p></div></body></html>"
+    for name in ("side-by-side", "social-history", "upside", "related-work-history", "research", "navigator-of-the-seas"):
+        assert html.main_text(page(name)).endswith("Too."), name
+        assert html.main_text(f"<div class='{name}'><p>{text}</p></div>") == text
+    for name in ("ad", "cookie-notice", "site-header", "related-posts", "big share-links", "ad_slot_2", "nav", "primary sidebar"):
+        assert "Too." not in html.main_text(page(name)), name

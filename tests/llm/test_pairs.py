@@ -368,3 +368,10 @@ def test_embeddings_that_share_an_id(spark):
 def test_stored_outlives_its_source(spark):
     df = stored(spark.range(5).toDF("a"), "x")
     assert sorted(r["a"] for r in df.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_vectors_of_any_size(spark):
+    """Squares of very large and very small components don't fit a double; directions decide all the same."""
+    rows = [(1, [1e200, 1e200, 0.0]), (2, [1e200, 1e200, 0.0]), (3, [2e200, 2e200, 0.0]), (4, [1e-200, 1e-200, 0.0]), (5, [1e-200, 1e-200, 0.0]), (6, [1.0, 1.0, 0.0]), (7, [0.0, 0.0, 0.0]), (8, [1e200, float("inf"), 0.0]), (9, [1.0, float("nan"), 1.0]), (10, [1.0, None, 1.0]), (11, [-1.0, -1.0, 0.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {i: (5, 1) if i <= 6 else (0, i) for i, _ in rows}
