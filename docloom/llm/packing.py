@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -26,9 +27,9 @@ from .common import bounded, forget, stored
 #: Buckets of hashed tokens, dimensions of the curve, bits of a dimension, and deviations on either side that the cells span.
 BUCKETS, DIMS, BITS, SPAN = 256, 4, 15, 4.0
 #: Words kept with their ids by a worker, characters of such a word, and tokens in one range of the sort.
-WORDS, WORD_CHARS, RANGE_TOKENS = 400_000, 40, 1 << 24
+WORDS, WORD_CHARS, RANGE_TOKENS = 500_000, 40, 1 << 24
 #: Characters encoded in one call, of a word that has calls of its own, and of the texts worked on at once.
-CALL_CHARS, LONG, SLICE = 100_000, 10_000, 1 << 19
+CALL_CHARS, LONG, SLICE = 100_000, 10_000, 1 << 20
 #: Within words too long to keep, places where no token and no normal form reaches across.
 _SAFE = re.compile(r"(?<=[0-9。、，])(?=[A-Za-zぁ-ゖァ-ヺ一-鿿])")
 
@@ -217,7 +218,7 @@ def pieces_of(first: int, n: int, total: int, size: int) -> list[tuple[int, int,
 
 def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The batch in parts of some SLICE bytes of text: what is held of a part's words is many times its text."""
-    start, ends = 0, np.cumsum([len(t) for t in b.column("text").to_pylist()])
+    start, ends = 0, np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False))
     while start < b.num_rows:
         end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE)))
         yield b.slice(start, end - start)
