@@ -7,7 +7,7 @@ any greedy choice, so all of these are taken at once and their sides leave. No g
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
+from collections import Counter
 from functools import reduce
 
 import pandas as pd
@@ -17,19 +17,19 @@ from pyspark.sql import types as T
 
 from docloom.functions import text as X
 from docloom.functions.durable import kept
+from docloom.operators.edits import longest_common
 
 #: Similarity of words from which texts match.
 ALIKE = 0.6
 
 
 def _ratio(a: list[str], b: list[str], least: float) -> float:
-    """Ratcliff and Obershelp's similarity of two lists of words, or 0 if a bound shows it to be less than ``least``."""
-    if len(a) == 0 or len(b) == 0:
+    """Share of two lists of words that a longest common subsequence covers, or 0 if the words they share show it to be less than ``least``."""
+    a, b = a.tolist(), b.tolist()
+    total = len(a) + len(b)
+    if not a or not b or 2 * (Counter(a) & Counter(b)).total() < least * total:
         return 0.0
-    if len(a) == len(b) and (a == b).all():
-        return 1.0
-    m = SequenceMatcher(None, a.tolist(), b.tolist(), autojunk=False)
-    return m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else 0.0
+    return 1.0 if a == b else 2 * len(longest_common(a, b)) / total
 
 
 def words(text: Column) -> Column:

@@ -4,7 +4,6 @@ import itertools
 import random
 import re
 import zipfile
-from difflib import SequenceMatcher
 
 import pandas as pd
 import pytest
@@ -323,7 +322,15 @@ def test_best_pairs_are_the_greedy_ones(spark, by):
     base = [[rnd.choice("abcdefghij") * 3 for _ in range(rnd.randint(1, 12))] for _ in range(8)]
     near = lambda: " ".join(w if rnd.random() < 0.85 else rnd.choice("xyz") for w in rnd.choice(base))
     rows = [[(rnd.randint(0, 2), i, near()) for i in range(40)] for _ in range(2)]
-    score = {(g, i, j): SequenceMatcher(None, x.split(), y.split(), autojunk=False).ratio() for g, i, x in rows[0] for h, j, y in rows[1] if g == h}
+
+    def likeness(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        return 2 * t[-1][-1] / (len(a) + len(b))
+
+    score = {(g, i, j): likeness(x.split(), y.split()) for g, i, x in rows[0] for h, j, y in rows[1] if g == h}
     order = sorted((k for k, s in score.items() if s >= 0.6), key=lambda k: (k[0], *((-score[k], k[1]) if by == "score" else (k[1], -score[k])), k[2]))
     used, plain = set(), []
     for g, i, j in order:
