@@ -72,7 +72,8 @@ def placed_blocks(spark, sf_dir):
 
 def report_sections(spark, sf_dir):
     """Sections of the written reports, in order."""
-    found = reports.sections(reports.render_reports(*_reports(spark, sf_dir), "report"), "report")
+    heads, entries = _reports(spark, sf_dir)
+    found = reports.sections_of(reports.render_lines(heads, entries, "report"), heads.select("report"), "report")
     return found.select("report", "kind", "title", F.row_number().over(Window.partitionBy("report").orderBy("ord")).alias("place"))
 
 

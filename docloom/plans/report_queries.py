@@ -32,21 +32,21 @@ def _reports(spark, sf_dir):
 
 def report_entries(spark, sf_dir):
     """Reports written and read again: entries."""
-    return reports.parse_entries(reports.render_reports(*_reports(spark, sf_dir), "report"), "report")
+    return reports.entries_of(reports.render_lines(*_reports(spark, sf_dir), "report"), "report")
 
 
 def report_heads(spark, sf_dir):
     """Reports written and read again: heads."""
-    return reports.parse_heads(reports.render_reports(*_reports(spark, sf_dir), "report"), "report")
+    heads, entries = _reports(spark, sf_dir)
+    return reports.heads_of(reports.render_lines(heads, entries, "report"), heads.select("report"), "report")
 
 
 def report_changes(spark, sf_dir):
     """Each report against a version with every eleventh entry left out, every seventh renamed in its prose and the introduction kept."""
     heads, entries = _reports(spark, sf_dir)
-    old = reports.render_reports(heads, entries, "report").withColumnRenamed("text", "old")
     changed = F.when(F.col("number") % 7 == 0, F.concat("incidence", F.lit(" now"))).otherwise(F.col("incidence"))
-    new = reports.render_reports(heads, entries.where("number % 11 <> 0").withColumn("incidence", changed), "report").withColumnRenamed("text", "new")
-    found = reports.compare_reports(old.join(new, "report"), "report")
+    left = entries.where("number % 11 <> 0").withColumn("incidence", changed)
+    found = reports.compare_lines(*(reports.render_lines(heads, e, "report") for e in (entries, left)), heads.select("report"), "report")
     return found.where("kind in ('introduction', 'summary') or state = 'deleted'").groupBy("report", "kind", "state").agg(F.count("*").alias("sections"))
 
 

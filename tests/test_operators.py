@@ -277,6 +277,47 @@ def test_compare_reports(spark):
     assert (marked["added"], marked["deleted"]) == (2, 2)
 
 
+def _long_report(spark, n):
+    heads = spark.createDataFrame([(1, "Intro", "", "Razonable"), (2, "", "Summary\n\nof two", ""), (3, "", "", "")], "id int, introduction string, summary string, rating string")
+    words = ("test", "risk", "area", "owner", "due", "reference", "details", "consequences")
+    entries = spark.range(n).select((F.col("id") % 2 + 1).cast("int").alias("id"), F.when(F.col("id") % 5 == 4, "suggestion").otherwise("recommendation").alias("kind"), (F.lit(n) - F.col("id")).cast("int").alias("number"), F.concat(F.lit("T "), "id").alias("title"), F.lit(False).alias("proposed"), *(F.lit("").alias(c) for c in words), F.lit("Some.\n\n# not a heading of ours").alias("incidence"), F.lit("Do it.\n\nAnd that.").alias("recommendation"))
+    return heads, entries.where("id < 3")
+
+
+def test_reports_as_lines(spark):
+    heads, entries = _long_report(spark, 40)
+    texts = {r["id"]: r["text"] for r in reports.render_reports(heads, entries, "id").collect()}
+    rows = reports.render_lines(heads, entries, "id")
+    got = {i: [r["text"] for r in rows.where(f"id = {i}").orderBy("line").collect()] for i in texts}
+    assert {i: "\n".join(x).rstrip() + "\n" for i, x in got.items()} == texts
+    assert all([r["line"] for r in rows.where(f"id = {i}").orderBy("line").collect()] == list(range(len(x))) for i, x in got.items())
+    whole = spark.createDataFrame(list(texts.items()), "id int, text string")
+    order = lambda df: sorted(map(repr, df.collect()))
+    assert order(reports.entries_of(rows, "id")) == order(reports.parse_entries(whole, "id"))
+    assert order(reports.heads_of(rows, heads.select("id"), "id")) == order(reports.parse_heads(whole, "id"))
+    new = reports.render_lines(heads.withColumn("introduction", F.when(F.col("id") == 1, "Other").otherwise("")), entries.where("number % 7 <> 0"), "id")
+    news = new.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("new"))
+    assert order(reports.compare_lines(rows, new, heads.select("id"), "id")) == order(reports.compare_reports(whole.withColumnRenamed("text", "old").join(news, "id"), "id"))
+
+
+def test_long_reports_are_not_one_window(spark):
+    """No window, sort or list of the lines of a report: only its headings and sums of stretches are ordered as a whole."""
+    plan = reports.entries_of(reports.render_lines(*_long_report(spark, 10), "id"), "id")._jdf.queryExecution().optimizedPlan().toString()
+    by_report = [x for x in re.findall(r"Window \[(.*?)\], \[id#\d+\w*(?:, part#\d+\w*)?\], ", plan)]
+    assert by_report and all("lead(line" in x or "_part" in x or "sum(_number" in x for x in by_report)
+
+
+def test_states_without_edit_scripts(spark):
+    """Line breaks and blanks as Python has them; the state alone needs no Python."""
+    texts = [("a\u2028b", "a\nb"), ("a\u00a0", "a"), ("a\n\u3000\x1f\nb", "a\r\nb"), ("a\x85b", "a b"), ("", "\n \n"), ("a", "a"), ("a\x0bb\x1c", "a\n\nb")]
+    old, new = (spark.createDataFrame([(i, "k", "T", 1, x[side]) for i, x in enumerate(texts)], "doc int, kind string, title string, ord long, text string") for side in (0, 1))
+    found = diff.compare_sections(old, new, "doc")
+    rows = found.collect()
+    assert len(rows) == len(texts) and all((r["state"] == "modified") == (r["added"] + r["deleted"] > 0) for r in rows)
+    assert {r["doc"] for r in rows if r["state"] == "equal"} == {0, 2, 4, 5, 6}
+    assert "line_diff" not in found.select("doc", "state")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def patched(old, text):
     """What a unified difference makes of a text."""
     lines, out, at = (old or "").splitlines(), [], 0
