@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.functions.batches import bounded
+
 _OPERATIONS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("text", T.StringType())]))
 
 Pairs = list[tuple[int, int]]
@@ -133,7 +135,7 @@ def hunks(pairs: DataFrame, id_col: str, old: str = "old", new: str = "new", con
     a and b are the lines before the hunk, n and m its lines on either side; lines are its rows with their sign. Null texts are
     empty; equal texts have no hunk. Ids must differ. A window over a text's lines finds those near a change, another one numbers the runs of them.
     """
-    script = pairs.select(id_col, F.posexplode(operations(lines_of(F.col(old)), lines_of(F.col(new)))).alias("place", "o")).select(id_col, "place", "o.*")
+    script = bounded(pairs).select(id_col, F.posexplode(operations(lines_of(F.col(old)), lines_of(F.col(new)))).alias("place", "o")).select(id_col, "place", "o.*")
     w = Window.partitionBy(id_col).orderBy("place")
     near = F.max(F.col("kind") != " ").over(w.rowsBetween(-context, context))
     shown = script.withColumn("near", near).where("near").withColumn("first", F.coalesce(F.col("place") - F.lag("place").over(w) > 1, F.lit(True)))
