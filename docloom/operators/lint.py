@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from docloom.functions import text as X
+from docloom.functions.batches import bounded
 from docloom.operators import segment
 
 if TYPE_CHECKING:
@@ -92,7 +93,7 @@ def _hits(docs: DataFrame, rules: list[Rule], id_col: str, text_col: str, lang_c
 
     names = ["rule", "n"] if counted else ["rule", "at", "fragment"]
     out = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL("rule int, n long" if counted else "rule int, at int, fragment string").fields])
-    return source.mapInArrow(batches, out)
+    return bounded(source).mapInArrow(batches, out)
 
 
 def _told(rules: list[Rule], *names: str) -> list[Column]:

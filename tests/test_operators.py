@@ -398,8 +398,11 @@ def test_batches_of_texts_are_small(spark):
     try:
         spark.conf.set(key, "10000")
         pairs = spark.createDataFrame([(1, "a", "b")], "id int, old string, new string")
-        edits.hunks(pairs, "id")
-        assert int(spark.conf.get(key)) <= 1000
+        changes = pairs.select("id", F.lit(1).alias("seq"), F.lit(None).cast("string").alias("section"), "old", "new", F.lit(None).cast("string").alias("insert_after"))
+        for call in (lambda: edits.hunks(pairs, "id"), lambda: patch.apply_changes(pairs, changes, "id", "old"), lambda: lint.findings(pairs, [lint.Rule("a", message="b")], "id", "old")):
+            spark.conf.set(key, "10000")
+            call()
+            assert int(spark.conf.get(key)) <= 1000
     finally:
         spark.conf.set(key, before)
 
