@@ -423,3 +423,58 @@ def test_vectors_of_any_size(spark):
     rows = [(1, [1e200, 1e200, 0.0]), (2, [1e200, 1e200, 0.0]), (3, [2e200, 2e200, 0.0]), (4, [1e-200, 1e-200, 0.0]), (5, [1e-200, 1e-200, 0.0]), (6, [1.0, 1.0, 0.0]), (7, [0.0, 0.0, 0.0]), (8, [1e200, float("inf"), 0.0]), (9, [1.0, float("nan"), 1.0]), (10, [1.0, None, 1.0]), (11, [-1.0, -1.0, 0.0])]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")).collect()}
     assert got == {i: (5, 1) if i <= 6 else (0, i) for i, _ in rows}
+
+
+def _prose(rnd, size):
+    """Words of few syllables, as unlike lines of one language share many n-grams."""
+    syllables = "the and ing tion er re on an st ou le en de".split()
+    return " ".join("".join(rnd.choices(syllables, k=rnd.randrange(1, 4))) for _ in range(size)).encode()
+
+
+def test_unlike_lines_cost_no_edit_distance(monkeypatch):
+    """Lines that meet by chance are told apart by bounds of their distance, and no bound denies a link."""
+    rnd = random.Random(8)
+    texts = [lines.normal(_prose(rnd, rnd.choice([12, 40, 90]))) for _ in range(60)]
+    for a in texts[:12]:
+        for share in (0.02, 0.1, 0.18, 0.25):
+            b = bytearray(a)
+            for _ in range(int(share * len(a))):
+                k = rnd.randrange(len(b))
+                b[k : k + 1] = rnd.choice([b"", b"q", b"zx"])
+            texts.append(bytes(b))
+    sizes = np.array([len(x) for x in texts])
+    near = {(i, j): plain_distance(texts[i], texts[j]) <= int(0.2 * max(sizes[i], sizes[j]) + 1e-9) for i in range(60, len(texts)) for j in range(60 // 5)}
+    profiles = lines._profiles(texts, int(sizes.max()))
+    for (i, j), want in near.items():
+        assert lines.edit_similar(texts[i], texts[j]) == want
+        assert not want or lines._may_be_similar(profiles[[i]], sizes[[i]], profiles[j], sizes[j])[0]
+    assert any(near.values())
+    assert all(lines._common(a, b) == _plain_common(a, b) for a, b in zip(texts[:4], texts[60:64], strict=True))
+
+    counted = []
+    monkeypatch.setattr(lines, "_many_edits", lambda a, b, most: counted.append(1) or False)
+    group = [(k, 0, -1, x) for k, x in enumerate(lines.normal(_prose(rnd, 60)) for _ in range(40))]
+    assert lines._links_of(group) == []
+    assert not counted
+
+
+def _plain_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_small_groups_step_together():
+    """The groups of many keys at once, against one after the other."""
+    rnd = np.random.default_rng(3)
+    counts = np.array([3, 70, 4, 40, 64, 65, 9] + [5] * 50)
+    starts = np.cumsum(counts) - counts
+    n = counts.sum()
+    sims = (rnd.integers(0, 1 << 62, 6)[rnd.integers(0, 6, n)] ^ (1 << rnd.integers(0, 60, n))).astype(np.int64)
+    rows = np.stack([np.repeat(np.arange(len(counts)), counts), rnd.integers(0, 1 << 40, n), sims, rnd.integers(80, 130, n), rnd.integers(-1, 40, n)])
+    got = {(s, frozenset(m.tolist()), m[0], dense) for s, m, dense in lines._stars_of(rows, starts, counts)}
+    want = {(s, frozenset(s + k for k in m), s + m[0], dense) for s, c in zip(starts.tolist(), counts.tolist(), strict=True) for m, dense in lines._star_of(rows[2, s : s + c].view(np.uint64), rows[3, s : s + c], rows[4, s : s + c])}
+    assert got == want and len(want) > 20
