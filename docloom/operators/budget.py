@@ -69,8 +69,8 @@ def paginate_rows(rows: DataFrame, group: str, order: list[str], height: str, ca
 
     A row for which ``stays`` holds is a unit with the one after it. A page has at least one row for which ``light`` (titles, blank lines) doesn't
     hold, however high. Heights are whole numbers or decimals, no null; ``order`` tells the rows of a list apart. Running sums give the
-    unit at which a page that begins at any unit would end; which units do begin pages is found by following these links from the first, twice as far in
-    each round, so a list of n pages takes log n joins.
+    unit at which a page that begins at any unit would end; which units do begin pages is found by following these links from the first. Links within
+    a stretch of units are followed in one task; only units at which one from an earlier stretch ends are joined, twice as far in each round.
     """
     glued, empty = (F.col(c) if c else F.lit(False) for c in (stays, light))
     placed = kept(running.before(rows, group, order, _start=F.col(height), _unit=F.when(glued, 0).otherwise(1)))
@@ -86,16 +86,64 @@ def paginate_rows(rows: DataFrame, group: str, order: list[str], height: str, ca
     links = over.join(full, ["_list", "_u"]).where("next is not null and least is not null").select("_list", "_u", F.greatest(F.col("next"), F.col("least") + 1).alias("next"))
     last = units.groupBy("_list").agg(F.max("_u").alias("last"))
     jumps = kept(links.join(last, "_list").where("next <= last").drop("last"))
-    found = kept(units.where("_u = 0").select("_list", "_u"))
-    while not jumps.isEmpty():
-        found = kept(found.unionByName(found.join(jumps, ["_list", "_u"]).select("_list", F.col("next").alias("_u"))))
-        jumps = kept(jumps.join(jumps.select("_list", F.col("_u").alias("next"), F.col("next").alias("further")), ["_list", "next"]).select("_list", "_u", F.col("further").alias("next")))
+    found = _followed(jumps, units.where("_u = 0").select("_list", "_u"))
     begins = found.select("_list", "_u", F.lit(1).alias("begins"))
     marked = units.select("_list", "_u").join(begins, ["_list", "_u"], "left")
     numbered = running.before(marked, "_list", ["_u"], upto=F.coalesce("begins", F.lit(0))).select("_list", "_u", (F.col("upto") + F.coalesce("begins", F.lit(0))).cast("int").alias("page"))
     return placed.join(numbered, F.col(group).eqNullSafe(F.col("_list")) & (F.col("_unit") == F.col("_u"))).select(*rows.columns, "page")
 
 
+#: Units of a list whose links one task follows.
+STRETCH = 1 << 16
+
+
+def _hops(units: np.ndarray, nexts: np.ndarray) -> np.ndarray:
+    """For each link of a stretch, the one that goes on where it ends; -1 if that is in another stretch or the last page's unit."""
+    at = np.minimum(np.searchsorted(units, nexts), len(units) - 1)
+    return np.where(units[at] == nexts, at, -1)
+
+
+def _ends(links: pd.DataFrame) -> pd.DataFrame:
+    """Links of a stretch, each followed as far as links of the stretch go."""
+    links = links.sort_values("_u", ignore_index=True)
+    ends = links["next"].to_numpy().copy()
+    hops = _hops(links["_u"].to_numpy(), ends)
+    while len(more := np.flatnonzero(hops >= 0)):
+        to = hops[more]
+        ends[more], hops[more] = ends[to], hops[to]
+    return links.assign(next=ends)[["_list", "_u", "next"]]
+
+
+def _walked(links: pd.DataFrame) -> pd.DataFrame:
+    """The ends of a stretch's links that are followed from its marked unit."""
+    links = links.sort_values("_u", ignore_index=True)
+    nexts, marks = links["next"].to_numpy(), np.flatnonzero(links["begins"].notna())
+    hops, out = _hops(links["_u"].to_numpy(), nexts).tolist(), []
+    at = int(marks[0]) if len(marks) else -1
+    while at >= 0:
+        out.append(at)
+        at = hops[at]
+    return pd.DataFrame({"_list": links["_list"].iloc[out], "_u": nexts[out]})
+
+
+def _followed(links: DataFrame, first: DataFrame, stretch: int | None = None) -> DataFrame:
+    """(_list, _u): the units that links (_list, _u, next), next beyond _u, lead to from the first ones, and these."""
+    stretch = stretch or STRETCH
+    number = lambda c: F.floor(F.col(c) / stretch)
+    unit = links.schema["_u"].dataType.simpleString()
+    links = links.select("_list", F.col("_u").cast("long"), F.col("next").cast("long"), number("_u").alias("_s"))
+    first = first.select("_list", F.col("_u").cast("long"))
+    kind = f"`_list` {links.schema['_list'].dataType.simpleString()}, `_u` bigint"
+    entries = links.where(number("next") != F.col("_s")).select("_list", F.col("next").alias("_u")).unionByName(first).distinct()
+    jumps = kept(links.groupBy("_list", "_s").applyInPandas(_ends, f"{kind}, next bigint").join(entries, ["_list", "_u"], "left_semi"))
+    found = kept(first)
+    while not jumps.isEmpty():
+        found = kept(found.unionByName(found.join(jumps, ["_list", "_u"]).select("_list", F.col("next").alias("_u"))))
+        jumps = kept(jumps.join(jumps.select("_list", F.col("_u").alias("next"), F.col("next").alias("further")), ["_list", "next"]).select("_list", "_u", F.col("further").alias("next")))
+    marked = links.join(found.withColumn("begins", F.lit(1)), ["_list", "_u"], "left")
+    return kept(found.unionByName(marked.groupBy("_list", "_s").applyInPandas(_walked, kind)).distinct().select("_list", F.col("_u").cast(unit)))
+
+
 def text_height(text: Column, per_line: int, points: float) -> Column:
     """Height of a text in lines of so many characters."""
     lines = F.aggregate(F.split(text, "\n"), F.lit(0), lambda a, x: a + F.greatest(F.ceil(F.length(x) / per_line), F.lit(1)).cast("int"))

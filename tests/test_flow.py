@@ -147,3 +147,33 @@ def test_meetings(spark):
     }
     keys = files.select(F.lit("Ä/b.c.md").alias("n")).select(meetings.meeting_key(F.col("n"))).first()
     assert keys[0] == "b.c"
+
+
+def test_links_of_pages_are_followed_by_stretches(spark, monkeypatch):
+    """Lists of several stretches, pages longer than one, lists that end anywhere; of the links only those at the stretches' edges are joined."""
+    sizes = []
+
+    def kept(df):
+        out = real(df)
+        sizes.append(out.count())
+        return out
+
+    real = budget.kept
+    monkeypatch.setattr(budget, "kept", kept)
+    step = {"a": lambda u: 3, "b": lambda u: 1 + u % 5, "c": lambda u: 150 if u % 7 == 2 else 2, "d": lambda u: 1000}
+    links = [(g, u, u + f(u)) for g, f in step.items() for u in range(2000) if u + f(u) < 2000]
+    want = set()
+    for g, f in step.items():
+        u = 0
+        while u < 2000:
+            want.add((g, u))
+            u += f(u)
+    df = spark.createDataFrame(links, "_list string, _u long, next long")
+    first = spark.createDataFrame([(g, 0) for g in step], "_list string, _u long")
+    got = budget._followed(df, first, 64).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert sizes[0] < len(links) / 2  # c and d alone leave their stretches often
+
+    sizes.clear()
+    budget._followed(df.where("_list in ('a', 'b')"), first.where("_list in ('a', 'b')"), 64)
+    assert sizes[0] <= 2 * 6 * (2000 // 64 + 1)
