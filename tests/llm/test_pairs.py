@@ -478,3 +478,54 @@ def test_small_groups_step_together():
     got = {(s, frozenset(m.tolist()), m[0], dense) for s, m, dense in lines._stars_of(rows, starts, counts)}
     want = {(s, frozenset(s + k for k in m), s + m[0], dense) for s, c in zip(starts.tolist(), counts.tolist(), strict=True) for m, dense in lines._star_of(rows[2, s : s + c].view(np.uint64), rows[3, s : s + c], rows[4, s : s + c])}
     assert got == want and len(want) > 20
+
+
+def test_pairs_of_lines_are_judged_together_as_one_by_one():
+    rng = random.Random(11)
+    texts = []
+    for size in (3, 20, 63, 64, 65, 128, 200, 330, 700, 2100):
+        for _ in range(6):
+            base = bytes(rng.choice(b"abcde ") for _ in range(size))
+            texts.append(base)
+            for share in (0.1, 0.19, 0.22, 0.3):
+                other = bytearray(base)
+                for _ in range(int(share * size)):
+                    k, kind = rng.randrange(len(other) + 1), rng.randrange(3)
+                    other[k : k + (kind > 0)] = b"" if kind == 1 else bytes([rng.choice(b"xyz")])
+                texts.append(bytes(other) or b"a")
+    of = np.arange(len(texts))
+    near = np.abs(of[:, None] - of) < 5
+    a, b = np.nonzero(near & (of[:, None] != of))
+    want = [lines.edit_similar(texts[i], texts[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    calls = []
+    single = lines.edit_similar
+    lines.edit_similar = lambda x, y: calls.append((x, y)) or single(x, y)
+    try:
+        got = lines.similar_pairs(lines._Lines(texts), a, b)
+    finally:
+        lines.edit_similar = single
+    assert got.tolist() == want and 0.1 < np.mean(want) < 0.9
+    assert len(calls) < len(a) / 3  # the longest, and those of a size that few have
+
+
+def test_links_of_many_groups_connect_what_plain_comparisons_do():
+    rng, rows, groups = random.Random(5), {}, []
+    for n in (2, 2, 3, 9, 40, 90):
+        bases, group = [bytes(rng.choice(b"abcdefg ") for _ in range(rng.choice((40, 90, 150)))) for _ in range(max(1, n // 6))], []
+        for _ in range(n):
+            text = bytearray(rng.choice(bases))
+            for _ in range(len(text) // 12):
+                text[rng.randrange(len(text))] = rng.choice(b"uvwxyz")
+            h1 = len(rows)
+            rows[h1] = bytes(text)
+            group.append((h1, int(lines.fingerprints([bytes(text)])[0].astype(np.int64)), -1, bytes(text)))
+        groups.append(group)
+    want = []
+    for group in groups:
+        sims, sizes, places = np.array([x[1] for x in group], np.int64).view(np.uint64), np.array([len(x[3]) for x in group]), np.full(len(group), -1)
+        for i in range(len(group)):
+            ok = lines._may_link(sims, sizes, places, sims[i], sizes[i], places[i])
+            want += [(group[i][0], group[j][0]) for j in range(i) if ok[j] and lines.edit_similar(group[i][3], group[j][3])]
+    got = lines._links_among(groups)
+    assert roots(rows, got) == roots(rows, want) and {tuple(sorted(x)) for x in got} <= {tuple(sorted(x)) for x in want}
+    assert len(set(roots(rows, got).values())) < len(rows)
