@@ -164,6 +164,11 @@ class Tokenizer:
         self._keep(self.done, part, ids)
         return ids
 
+    def forget(self) -> None:
+        """Drop what is remembered: a worker that runs other tasks next needs its memory."""
+        for kept in (self.fits, self.done, self.known):
+            kept.clear()
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, memoryview(ids).cast("I")))
 
@@ -183,7 +188,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     gives an empty one. Texts may be of any length: a piece takes time in proportion to its bytes.
     """
     source = docs.select(F.col(id_col), text_bytes(text_col).alias("data"))
-    return per_row(source, lambda x: (tokenizer(path, pattern).encode(x.decode("utf-8", "surrogateescape")),), "ids binary", id_col)
+    return per_row(source, lambda x: (tokenizer(path, pattern).encode(x.decode("utf-8", "surrogateescape")),), "ids binary", id_col, after=lambda: tokenizer(path, pattern).forget())
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,4 +200,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
 
     source = docs.select(F.col(id_col), text_bytes(text_col).alias("data"))
-    return per_row(source, digest, "n_tokens long, ids_sha256 string, decoded_sha256 string", id_col)
+    return per_row(source, digest, "n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, after=lambda: tokenizer(path, pattern).forget())

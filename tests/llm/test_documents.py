@@ -304,3 +304,27 @@ def test_class_names_of_an_article():
         assert html.main_text(f"<div class='{name}'><p>{text}</p></div>") == text
     for name in ("ad", "cookie-notice", "site-header", "related-posts", "big share-links", "ad_slot_2", "nav", "primary sidebar"):
         assert "Too." not in html.main_text(page(name)), name
+
+
+def test_a_task_ends_without_remembered_pieces(spark):
+    """A worker that has encoded texts keeps the ranks for the next task, but not what it remembered of texts."""
+    import pyarrow as pa
+    import public_tokenizers
+
+    from docloom.llm import bpe
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    own = bpe.tokenizer(path, pattern)
+    ids = own.encode("some words that are remembered")
+    assert own.known and own.done
+    own.forget()
+    assert not own.known and not own.done and not own.fits and own.encode("some words that are remembered") == ids
+
+    def kept(it):
+        for _ in it:
+            own = bpe.tokenizer(path, pattern)
+            yield pa.RecordBatch.from_arrays([pa.array([len(own.known) + len(own.done) + len(own.fits)])], names=["n"])
+
+    docs = spark.createDataFrame([(i, f"words number {i} of many") for i in range(40)], "doc_id long, text string").repartition(1)
+    assert bpe.round_trip(docs, path, pattern).count() == 40
+    assert spark.range(0, 8, 1, 1).mapInArrow(kept, "n long").collect()[0]["n"] == 0
