@@ -8,8 +8,18 @@ from pyspark.sql import functions as F
 from docloom.functions import text as X
 
 
+def spread(lines: DataFrame, page: str | list[str]) -> DataFrame:
+    """lines dealt out by page once, over all shuffle partitions: merged into fewer, a task's sorts grow large, as rows of numbers take little room on the way."""
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return lines.repartition(n, *([page] if isinstance(page, str) else page))
+
+
 def bands(lines: DataFrame, page: str | list[str], low: str, high: str, out: str = "band") -> DataFrame:
     """lines with a band number: lines whose extents overlap, directly or through others, share one."""
+    return _banded(spread(lines, page), page, low, high, out)
+
+
+def _banded(lines: DataFrame, page: str | list[str], low: str, high: str, out: str) -> DataFrame:
     w = Window.partitionBy(page).orderBy(low, high)
     reach = F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1))
     return lines.withColumn("_new", F.coalesce((F.col(low) >= reach).cast("int"), F.lit(0))).withColumn(out, F.sum("_new").over(w)).drop("_new")
@@ -61,8 +71,12 @@ def outside(lines: DataFrame, tables: DataFrame, page: str) -> DataFrame:
     return lines.join(own, F.expr(f"{page} = _p and x0 < _x1 and x1 > _x0 and y0 < _y1 and y1 > _y0"), "left_anti")
 
 
-def alone(lines: DataFrame, page: str, band: str) -> DataFrame:
-    """lines with column alone: whether nothing else stands in their band."""
+def alone(lines: DataFrame, page: str, band: str, order: list[str] | None = None) -> DataFrame:
+    """lines with column alone: whether nothing else stands in their band. In an order in which bands follow each other, only neighbours are looked at and nothing is sorted anew."""
+    if order:
+        w = Window.partitionBy(page).orderBy(*order)
+        same = [F.coalesce(f(band).over(w) == F.col(band), F.lit(False)) for f in (F.lag, F.lead)]
+        return lines.withColumn("alone", ~same[0] & ~same[1])
     return lines.withColumn("alone", F.count("*").over(Window.partitionBy(page, band)) == 1)
 
 
@@ -108,23 +122,22 @@ def reading_order(lines: DataFrame, page: str, ident: str, text: str = "text", g
     ``gap`` lies between it and the one before, which isn't a mere marker. The page votes: pieces with content that may begin one are
     gathered by their left edges, and only an edge where ``least`` of them stand, each within ``tolerance`` of the next,
     confirms. breaks holds for the first line of every column but the first, and of a band after one of several columns.
-    ``ident`` tells lines of a page apart. Everything is a window or an aggregate within a page; pages of any number are spread.
+    ``ident`` tells lines of a page apart. Everything is a window or an aggregate within a page; pages of any number are spread, once.
     """
-    cut = bands(bands(lines, page, "y0", "y1"), [page, "band"], "x0", "x1", "piece")
-    told = F.array_sort(F.collect_list(F.struct("x0", F.col(ident).alias("i"), F.coalesce(text, F.lit("")).alias("t"))))
+    cut = _banded(_banded(spread(lines, page), page, "y0", "y1", "band"), [page, "band"], "x0", "x1", "piece")
+    told = F.array_sort(F.collect_list(F.struct("x0", F.col(ident).alias("i"), F.coalesce(text, F.lit("")).alias("t"), "y0")))
     pieces = cut.groupBy(page, "band", "piece").agg(F.min("x0").alias("left"), F.max("x1").alias("right"), told.alias("told"))
     w = Window.partitionBy(page, "band").orderBy("piece")
     words = F.array_join(F.transform("told", lambda x: x["t"]), " ")
     parted = F.coalesce((F.col("left") - F.lag("right").over(w) >= gap) & ~is_marker(F.lag(words).over(w)), F.lit(False))
-    candidates = pieces.select(page, "band", "piece", "left", parted.alias("parted"), (~X.contentless(F.col("told")[0]["t"])).alias("votes"))
-    votes = clusters(candidates.where("parted and votes"), page, "left", tolerance, least).select(F.col(page).alias("_page"), "from_at", "to_at")
-    agreed = F.expr(f"{page} = _page and parted and left between from_at - {tolerance} and to_at + {tolerance}")
-    confirmed = candidates.join(votes, agreed, "left_semi").select(page, "band", "piece", F.lit(1).alias("confirmed"))
-    columns = candidates.select(page, "band", "piece").join(confirmed, [page, "band", "piece"], "left").withColumn("column", F.coalesce(F.sum("confirmed").over(w), F.lit(0)).cast("int"))
-    placed = cut.join(columns, [page, "band", "piece"]).select(page, ident, "band", "column", "x0", "y0")
+    candidates = pieces.select(page, "band", "piece", "left", parted.alias("parted"), (~X.contentless(F.col("told")[0]["t"])).alias("votes"), "told")
+    # a page's edges are one row, so that nothing but the page is joined on and pages stay where they are
+    edges = clusters(candidates.where("parted and votes"), page, "left", tolerance, least).groupBy(page).agg(F.collect_list(F.struct("from_at", "to_at")).alias("edges"))
+    agreed = F.col("parted") & F.coalesce(F.exists("edges", lambda e: F.col("left").between(e["from_at"] - tolerance, e["to_at"] + tolerance)), F.lit(False))
+    columns = candidates.join(edges, page, "left").withColumn("confirmed", agreed.cast("int")).withColumn("column", F.sum("confirmed").over(w).cast("int"))
+    placed = columns.select(page, "band", "column", F.explode("told").alias("l")).select(page, F.col("l.i").alias(ident), "band", "column", "l.x0", "l.y0")
     down = Window.partitionBy(page).orderBy("band", "column", "y0", "x0", ident)
     first = F.row_number().over(Window.partitionBy(page, "band", "column").orderBy("y0", "x0", ident)) == 1
     several = placed.withColumns({"first": first, "several": F.max("column").over(Window.partitionBy(page, "band")) > 0, "place": F.row_number().over(down)})
-    row = Window.partitionBy(page).orderBy("place")
-    after = F.lag("several").over(row) & (F.lag("band").over(row) != F.col("band"))
+    after = F.lag("several").over(down) & (F.lag("band").over(down) != F.col("band"))
     return several.select(page, ident, "band", "column", "place", ((F.col("first") & (F.col("column") > 0)) | F.coalesce(after, F.lit(False))).alias("breaks"))

@@ -226,7 +226,7 @@ _LAY = "l AS (SELECT l_orderkey AS page, l_linenumber AS line, l_partkey AS part
 
 
 def layout_bands(spark, sf_dir):
-    return layout.alone(layout.bands(_layout(spark, sf_dir), "page", "y0", "y1"), "page", "band").groupBy("page", "band").agg(F.count("*").alias("n"), F.min("y0").alias("top"), F.bool_and("alone").alias("alone"))
+    return layout.alone(layout.bands(_layout(spark, sf_dir), "page", "y0", "y1"), "page", "band", ["y0", "y1"]).groupBy("page", "band").agg(F.count("*").alias("n"), F.min("y0").alias("top"), F.bool_and("alone").alias("alone"))
 
 
 def layout_columns(spark, sf_dir):

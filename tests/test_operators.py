@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import external
 from docloom.functions import text as X
-from docloom.operators import actions, budget, diff, edits, lint, markdown, matching, patch, publishing, reports, rules, speakers
+from docloom.operators import actions, budget, diff, edits, layout, lint, markdown, matching, patch, publishing, reports, rules, speakers
 from docloom.sources import readers
 from docloom.streaming import incremental
 
@@ -537,3 +537,26 @@ def test_text_labels_of_nulls_and_empty_texts(spark):
     assert out[2] == ("", "", "recomendacion", "Cambio", True)
     assert out[3][4] is True and out[4][3] == "Deshacer" and out[5][1:3] == ("sug_abc", "sugerencia")
     assert out[6][0] == "una frase con letras y palabras"
+
+
+def test_bands_sort_and_deal_out_pages_once(spark):
+    """Bands, and whether lines stand alone in them, take one exchange by page that isn't merged and one sort; edges that touch part bands."""
+    rows = [(page, y, y + h) for page in range(20) for y, h in ((0, 10), (5, 3), (10, 5), (10, 5), (20, 0), (20, 0), (30, 9), (39, 1))]
+    lines = spark.createDataFrame(rows, "page int, y0 int, y1 int")
+    banded = layout.bands(lines, "page", "y0", "y1")
+    got = layout.alone(banded, "page", "band", ["y0", "y1"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, layout.alone(banded, "page", "band").collect()))
+    assert {tuple(x) for x in got.select("page", "y0", "alone").distinct().collect() if x[0] == 0} == {(0, 0, False), (0, 5, False), (0, 10, False), (0, 20, False), (0, 30, True), (0, 39, True)}
+    plan = got.groupBy("page", "band").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+def test_reading_order_deals_out_pages_once(spark):
+    """Pieces are brought back to their lines without a shuffle: all exchanges are those of the lines by page."""
+    rows = [(p, f"{p}-{r}-{c}", f"text {r} {c}", c * 100 + r % 3, c * 100 + 60, r * 20, r * 20 + 12) for p in range(3) for r in range(5) for c in range(3)]
+    lines = spark.createDataFrame(rows, "page int, ident string, text string, x0 int, x1 int, y0 int, y1 int")
+    got = layout.reading_order(lines, "page", "ident")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") <= 2
+    found = {r["ident"]: (r["column"], r["breaks"]) for r in got.where("page = 1").collect()}
+    assert {found[f"1-{r}-{c}"] for r in range(5) for c in range(3)} == {(0, False), (0, True), (1, True), (2, True)} and sum(r["place"] for r in got.where("page = 1").collect()) == 15 * 16 // 2
