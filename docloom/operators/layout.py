@@ -6,17 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as X
-
-
-def spread(lines: DataFrame, page: str | list[str]) -> DataFrame:
-    """lines dealt out by page once, over all shuffle partitions: merged into fewer, a task's sorts grow large, as rows of numbers take little room on the way."""
-    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return lines.repartition(n, *([page] if isinstance(page, str) else page))
+from docloom.operators import running
 
 
 def bands(lines: DataFrame, page: str | list[str], low: str, high: str, out: str = "band") -> DataFrame:
     """lines with a band number: lines whose extents overlap, directly or through others, share one."""
-    return _banded(spread(lines, page), page, low, high, out)
+    return _banded(running.spread(lines, page), page, low, high, out)
 
 
 def _banded(lines: DataFrame, page: str | list[str], low: str, high: str, out: str) -> DataFrame:
@@ -124,7 +119,7 @@ def reading_order(lines: DataFrame, page: str, ident: str, text: str = "text", g
     confirms. breaks holds for the first line of every column but the first, and of a band after one of several columns.
     ``ident`` tells lines of a page apart. Everything is a window or an aggregate within a page; pages of any number are spread, once.
     """
-    cut = _banded(_banded(spread(lines, page), page, "y0", "y1", "band"), [page, "band"], "x0", "x1", "piece")
+    cut = _banded(_banded(running.spread(lines, page), page, "y0", "y1", "band"), [page, "band"], "x0", "x1", "piece")
     told = F.array_sort(F.collect_list(F.struct("x0", F.col(ident).alias("i"), F.coalesce(text, F.lit("")).alias("t"), "y0")))
     pieces = cut.groupBy(page, "band", "piece").agg(F.min("x0").alias("left"), F.max("x1").alias("right"), told.alias("told"))
     w = Window.partitionBy(page, "band").orderBy("piece")

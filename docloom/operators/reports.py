@@ -115,7 +115,7 @@ def entries_of(lines: DataFrame, id_col: str) -> DataFrame:
     opening = F.regexp_like(line, F.lit(OPENING))
     details = (line == DETAILS) | F.lower(line).startswith("*a continuación, se muestran los detalles")
     sets = F.when(opening, _RECOMMENDATION).when(details, _DETAILS)
-    read = blocks.where(start | ~F.ltrim("text").startswith(">")).withColumns({"blank": line == "", "sets": F.when(~start, sets), "field": _field(F.col("text")), "start": start})
+    read = running.spread(blocks, [id_col, "part", "number"]).where(start | ~F.ltrim("text").startswith(">")).withColumns({"blank": line == "", "sets": F.when(~start, sets), "field": _field(F.col("text")), "start": start})
     read = read.withColumns({"turn": F.count("sets").over(b), "base": F.coalesce(F.last("sets", ignorenulls=True).over(b), F.lit(_DATA)), "para": F.count_if(F.col("blank") | F.col("sets").isNotNull()).over(b)})
     moves = ~F.col("start") & ~F.col("blank") & F.col("sets").isNull() & F.when(F.col("base") == _DATA, F.col("field").isNull()).when(F.col("base") == _DETAILS, ~F.regexp_like("text", F.lit(BULLET))).otherwise(F.lit(False))
     moved = F.max(moves).over(Window.partitionBy(id_col, "part", "number", "turn").orderBy("line"))

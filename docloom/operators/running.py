@@ -15,6 +15,12 @@ from docloom.functions.durable import kept
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
+def spread(rows: DataFrame, keys: str | list[str]) -> DataFrame:
+    """rows dealt out by keys over all shuffle partitions: merged into fewer, a task's sorts grow large, as such rows take little room on the way."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *([keys] if isinstance(keys, str) else keys))
+
+
 def ranged(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     """rows with column _part, in ranges of (group, order); order must tell the rows of a group apart for equal ones to be spread."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -560,3 +560,11 @@ def test_reading_order_deals_out_pages_once(spark):
     assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") <= 2
     found = {r["ident"]: (r["column"], r["breaks"]) for r in got.where("page = 1").collect()}
     assert {found[f"1-{r}-{c}"] for r in range(5) for c in range(3)} == {(0, False), (0, True), (1, True), (2, True)} and sum(r["place"] for r in got.where("page = 1").collect()) == 15 * 16 // 2
+
+
+def test_entries_of_a_report_are_spread_over_all_partitions(spark):
+    """The windows over entries stay on as many partitions as the session has, however little room their lines take on the way."""
+    lines = reports.lines_of(spark.createDataFrame([(1, "## Detalle de conclusiones\n\n### 1. One\n\n- Prueba: t\n\nProse.\n")], "report int, text string"), "report")
+    got = reports.entries_of(lines, "report")
+    assert [(r["title"], r["test"], r["incidence"]) for r in got.collect()] == [("One", "t", "Prose.")]
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
