@@ -1,7 +1,9 @@
 """Operators that relate documents, lines, vectors or strings, against plain comparisons of all with all."""
 
+import gc
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -529,3 +531,22 @@ def test_links_of_many_groups_connect_what_plain_comparisons_do():
     got = lines._links_among(groups)
     assert roots(rows, got) == roots(rows, want) and {tuple(sorted(x)) for x in got} <= {tuple(sorted(x)) for x in want}
     assert len(set(roots(rows, got).values())) < len(rows)
+
+
+def test_keys_of_lines_leave_no_arrays_behind():
+    """What one batch of lines took is free before the next, without a search for cycles."""
+    rnd = random.Random(51)
+    texts = [lines.normal(_prose(rnd, 60)) for _ in range(100)]
+    lines._keys_of(texts)
+    gc.disable()
+    try:
+        tracemalloc.start()
+        before = tracemalloc.get_traced_memory()[0]
+        for _ in range(5):
+            lines._keys_of(texts)
+            lines.fingerprints(texts)
+        left = tracemalloc.get_traced_memory()[0] - before
+    finally:
+        tracemalloc.stop()
+        gc.enable()
+    assert left < 100_000
