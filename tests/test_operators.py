@@ -3,7 +3,9 @@
 import itertools
 import random
 import re
+import tempfile
 import zipfile
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -568,3 +570,18 @@ def test_entries_of_a_report_are_spread_over_all_partitions(spark):
     got = reports.entries_of(lines, "report")
     assert [(r["title"], r["test"], r["incidence"]) for r in got.collect()] == [("One", "t", "Prose.")]
     assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_compared_sections_are_written_compressed(spark):
+    """Of two versions' texts, whose hexadecimal digits take half a byte each, less than three quarters goes into the shared folder."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
+    folder = Path(sc.getCheckpointDir().removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    old = spark.range(40).select(F.lit(1).alias("doc"), F.lit("line").alias("kind"), F.concat(F.lit("Title "), "id").alias("title"), F.col("id").alias("ord"), F.expr("array_join(transform(sequence(1, 300), k -> sha2(concat(id, ' ', k), 256)), ' ')").alias("text"))
+    new = old.where("ord <> 7").withColumn("text", F.when(F.col("ord") == 9, F.concat("text", F.lit("more"))).otherwise(F.col("text")))
+    before = size()
+    states = {r["title"]: r["state"] for r in diff.compare_sections(old, new, "doc").collect()}
+    assert states == {f"Title {i}": {7: "deleted", 9: "modified"}.get(i, "equal") for i in range(40)}
+    assert size() - before < 1.5 * old.agg(F.sum(F.length("text"))).first()[0]
