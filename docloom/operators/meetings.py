@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions.durable import kept
 
@@ -39,7 +40,7 @@ def _walk(start: dict[int, Open]):
             for group, key in zip(b.column("g").to_pylist(), b.column("k").to_pylist(), strict=True):
                 now = _next(now, group, key)
                 roots.append(now[1])
-            yield pa.RecordBatch.from_arrays([b.column("g"), b.column("k"), pa.array(roots, pa.string())], names=["g", "k", "root"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(roots, pa.string())], names=[*b.schema.names, "root"])
 
     return batches
 
@@ -55,17 +56,22 @@ def _lasts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def roots(rows: DataFrame, group: str, key: str) -> DataFrame:
     """(group, key, root) of every distinct key: root is the shortest key of its group that it begins with, itself perhaps. Null keys and groups have none."""
-    each = rows.select(F.col(group).cast("string").alias("g"), F.col(key).alias("k")).where("g is not null and k is not null").distinct()
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = rows.select(F.col(group).cast("string").alias("g"), F.col(key).alias("k")).distinct()
+    return _rooted(each).select(F.col("g").cast(rows.schema[group].dataType).alias(group), F.col("k").alias(key), "root")
+
+
+def _rooted(each: DataFrame) -> DataFrame:
+    """Rows with their columns and root, from rows with g and k, in which no two are alike; those with a null are left out."""
+    each = each.where("g is not null and k is not null")
+    n = int(each.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = kept(each.repartitionByRange(n, "g", "k").sortWithinPartitions("g", "k"))
-    left = {r["part"]: (r["g"], r["k"]) for r in ranges.mapInArrow(_lasts, "part long, g string, k string").collect()}  # a row for each range
+    left = {r["part"]: (r["g"], r["k"]) for r in ranges.select("g", "k").mapInArrow(_lasts, "part long, g string, k string").collect()}  # a row for each range
     start: dict[int, Open] = {}
     now: Open = None
     for part in sorted(left):
         start[part] = now
         now = _next(now, *left[part])
-    walked = ranges.mapInArrow(_walk(start), "g string, k string, root string")
-    return walked.select(F.col("g").cast(rows.schema[group].dataType).alias(group), F.col("k").alias(key), "root")
+    return ranges.mapInArrow(_walk(start), T.StructType([*ranges.schema.fields, T.StructField("root", T.StringType())]))
 
 
 def meetings(files: DataFrame, folder: str, name: str) -> DataFrame:
@@ -77,7 +83,10 @@ def meetings(files: DataFrame, folder: str, name: str) -> DataFrame:
     ending = F.lower(F.regexp_extract(name, r"\.([^./]*)$", 1))
     kind = F.when(ending == "md", "minutes").when(ending.isin("txt", "vtt", "docx"), "transcript")
     known = files.select(folder, name, kind.alias("kind"), meeting_key(F.col(name)).alias("key")).where("kind is not null")
-    grouped = known.join(roots(known, folder, "key"), [folder, "key"])
-    names = lambda k: F.reverse(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col(name)))))
-    newest = F.replace(F.left(F.max(name), F.lit(16)), F.lit("_"), F.lit(" "))
-    return grouped.groupBy(folder, F.col("root").alias("origin")).agg(newest.alias("newest"), names("minutes").alias("minutes"), names("transcript").alias("transcripts"))
+    # names go with their keys, so nothing is joined back
+    names = lambda k: F.collect_list(F.when(F.col("kind") == k, F.col(name))).alias(k)
+    each = known.groupBy(F.col(folder).cast("string").alias("g"), F.col("key").alias("k")).agg(F.max(name).alias("last"), names("minutes"), names("transcript"))
+    newest = F.replace(F.left(F.max("last"), F.lit(16)), F.lit("_"), F.lit(" "))
+    sorted_names = lambda k: F.reverse(F.array_sort(F.flatten(F.collect_list(k))))
+    found = _rooted(each).groupBy(F.col("g").cast(files.schema[folder].dataType).alias(folder), F.col("root").alias("origin"))
+    return found.agg(newest.alias("newest"), sorted_names("minutes").alias("minutes"), sorted_names("transcript").alias("transcripts"))

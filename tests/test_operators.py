@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import external
 from docloom.functions import text as X
-from docloom.operators import actions, budget, diff, edits, layout, lint, markdown, matching, patch, publishing, reports, rules, speakers
+from docloom.operators import actions, budget, diff, edits, layout, lint, markdown, matching, meetings, patch, publishing, reports, rules, speakers
 from docloom.sources import readers
 from docloom.streaming import incremental
 
@@ -585,3 +585,13 @@ def test_compared_sections_are_written_compressed(spark):
     states = {r["title"]: r["state"] for r in diff.compare_sections(old, new, "doc").collect()}
     assert states == {f"Title {i}": {7: "deleted", 9: "modified"}.get(i, "equal") for i in range(40)}
     assert size() - before < 1.5 * old.agg(F.sum(F.length("text"))).first()[0]
+
+
+def test_names_of_meetings_go_with_their_keys(spark):
+    """Files of a meeting from the newest on, repeated ones too, without a join that reads all names again."""
+    names = ["2024-01-02_0900_Plan.md", "2024-01-03_0900_Plan_B.txt", "2024-01-03_0900_Plan_B.txt", "2024-01-04_0900_Other.md", "2024-01-05_0900_Plan.png", None]
+    files = spark.createDataFrame([(f, n) for f in (1, 2) for n in names] + [(None, names[0])], "folder long, name string")
+    found = meetings.meetings(files, "folder", "name")
+    assert "Join" not in found._jdf.queryExecution().toString()
+    want = [("other", "2024-01-04 0900 ", ["2024-01-04_0900_Other.md"], []), ("plan", "2024-01-03 0900 ", names[:1], names[1:3])]
+    assert sorted(map(tuple, found.collect())) == [(f, *w) for f in (1, 2) for w in want]
