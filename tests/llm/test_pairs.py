@@ -6,6 +6,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -510,6 +511,24 @@ def test_pairs_of_lines_are_judged_together_as_one_by_one():
     assert len(calls) < len(a) / 3  # the longest, and those of a size that few have
 
 
+def test_links_of_a_task_are_looked_for_together(monkeypatch):
+    """Comparisons of few pairs cost as much as those of thousands, so groups of tens of thousands of lines wait for each other; more don't, and none is left."""
+    calls, rnd = [], random.Random(5)
+    found = lines._links_among
+    monkeypatch.setattr(lines, "_links_among", lambda groups: calls.append(sum(map(len, groups))) or found(groups))
+    rows = []
+    for g in range(6_000):
+        line = "".join(rnd.choices("abcdefgh ", k=40))
+        rows += [(g, 0, 0, 2 * g + k, 0, -1, f"{line}{'x' * k}".encode()) for k in range(2)]
+    cols = dict(zip(("g", "i", "j", "h1", "sim", "place", "norm"), zip(*rows, strict=True), strict=True))
+    batch = pa.RecordBatch.from_pydict({k: list(v) for k, v in cols.items()})
+    links = lambda: sorted((a, b) for x in lines._links(iter(batch.slice(at, 500) for at in range(0, len(rows), 500))) for a, b in zip(x["a"].to_pylist(), x["b"].to_pylist(), strict=True))
+    want = [(2 * g, 2 * g + 1) for g in range(6_000)]
+    assert [tuple(sorted(x)) for x in links()] == want and [n for n in calls if n] == [12_000]
+    monkeypatch.setattr(lines, "GROUPED", 5_000)
+    assert [tuple(sorted(x)) for x in links()] == want and len([n for n in calls if n]) == 4
+
+
 def test_links_of_many_groups_connect_what_plain_comparisons_do():
     rng, rows, groups = random.Random(5), {}, []
     for n in (2, 2, 3, 9, 40, 90):
